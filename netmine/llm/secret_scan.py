@@ -106,7 +106,7 @@ def _query(nodes) -> list[frozenset[str]]:
 
     def flush():
         nonlocal run
-        clauses.append(_simplified([frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in run]))
+        clauses.append(_simplified([frozenset(s[i : i + 3] for i in _covering(len(s))) for s in run]))
         run = {""}
 
     for node in nodes:
@@ -132,6 +132,11 @@ def _query(nodes) -> list[frozenset[str]]:
     return out
 
 
+def _covering(length: int) -> list[int]:
+    """Starts of the fewest trigrams that cover a string."""
+    return [*range(0, length - 2, 3), length - 3] if length >= 3 else []
+
+
 def _simplified(terms: list[frozenset[str]]) -> list[frozenset[str]]:
     terms = list(dict.fromkeys(terms))
     return [t for t in terms if not any(u < t for u in terms)]
@@ -145,7 +150,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index for these trigrams: trigram, doc_id, one row each."""
-    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))  # may fold more than A-Z, which only adds candidates
     found = docs.select("doc_id", low.alias("__low")).select(
         "doc_id", F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(t)), F.lit(t)) for t in trigrams])).alias("__found")
     )
@@ -173,16 +178,16 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
 def _spans(rule: SecretRule, rank: int) -> F.Column:
     """Array of (start, rank, end) from the texts between matches and the matches."""
     pattern = rule.pattern.replace("\\", "\\\\").replace("'", "\\'")
-    matches = f"regexp_extract_all(__t, '{pattern}', 0)"
-    gaps = f"split(__t, '{pattern}', -1)"
-    held = f"regexp_extract_all(__t, '{pattern}', {rule.group})"
-    steps = f"arrays_zip(transform({gaps}, x -> length(x)) AS g, transform({matches}, x -> length(x)) AS m, transform({held}, x -> length(x)) AS n)"
-    steps = steps.replace(" AS g", "").replace(" AS m", "").replace(" AS n", "")
+    lengths = f"transform(regexp_extract_all(__t, '{pattern}', 0), x -> length(x))"
+    held = f"transform(regexp_extract_all(__t, '{pattern}', {rule.group}), x -> length(x))"
+    parts = [f"transform(split(__t, '{pattern}', -1), x -> length(x))", lengths, *[held] * (rule.group > 0)]
+    long_enough = f"coalesce(x.`{len(parts) - 1}`, 0) >= {rule.least}"
     return F.expr(
-        f"aggregate(transform({steps}, x -> struct(x.`0` AS g, x.`1` AS m, x.`2` AS n)),"
+        f"CASE WHEN __t RLIKE '{pattern}' THEN aggregate(arrays_zip({', '.join(parts)}),"
         f" struct(0 AS at, cast(array() AS array<struct<start: int, rank: int, end: int>>) AS out),"
-        f" (a, x) -> struct(a.at + x.g + coalesce(x.m, 0) AS at, CASE WHEN x.n >= {rule.least}"
-        f" THEN concat(a.out, array(struct(a.at + x.g AS start, {rank} AS rank, a.at + x.g + x.m AS end))) ELSE a.out END AS out), a -> a.out)"
+        f" (a, x) -> struct(a.at + x.`0` + coalesce(x.`1`, 0) AS at, CASE WHEN {long_enough}"
+        f" THEN concat(a.out, array(struct(a.at + x.`0` AS start, {rank} AS rank, a.at + x.`0` + x.`1` AS end))) ELSE a.out END AS out), a -> a.out)"
+        f" ELSE cast(array() AS array<struct<start: int, rank: int, end: int>>) END"
     )
 
 
