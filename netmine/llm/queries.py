@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netmine.llm import bpe, chat_format, quality_rules, secret_scan, url_filter
+from netmine.llm import (
+    bpe, chat_format, decontaminate, html_extract, line_dedup, near_dedup, quality_model, quality_rules, secret_scan, url_filter,
+)
 from netmine.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -39,25 +41,54 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.scores(spark, docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return bpe.digests(spark, docs, vocabulary())
 
 
 def queries():
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_chat_format": op1_chat_format,
         "op2_quality_rules": op2_quality_rules,
+        "op3_quality_model": op3_quality_model,
         "op4_url_filter": op4_url_filter,
+        "op5_html_extract": op5_html_extract,
         "op6_secret_scan": op6_secret_scan,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_near_dedup": op8_near_dedup,
+        "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
     }
 
@@ -89,9 +120,25 @@ b AS (SELECT r, arg_max(struct_pack(rule := rule, verdict := verdict), length(ru
 SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, '{url_filter.DEFAULT_VERDICT}') AS verdict FROM h LEFT JOIN b USING (r)"""
 
 
+# Whole texts by brute force; DuckDB joins the windows by hash.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+n AS (SELECT DISTINCT least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, k, k + least(10, len(w)) - 1) AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+dw AS (SELECT r, n, k, list_slice(w, k, k + n - 1) AS s FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, n WHERE len(w) >= n)),
+m AS (SELECT DISTINCT r, n, k, item_id FROM dw JOIN iw USING (n, s)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+
 def oracle_sql():
     return {
         "op1_chat_format": OP1_SQL,
+        "op9_decontaminate": OP9_SQL,
         "op2_quality_rules": quality_rules.oracle(),
         "op4_url_filter": _op4_sql(),
         "op6_secret_scan": secret_scan.oracle(),
