@@ -35,6 +35,7 @@ PART_WORDS = 2_000_000
 SHARD_WORDS = 1 << 20
 SAMPLE = 8
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Lower-cases A-Z and turns every other ASCII code point that is no digit or letter into a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -246,7 +247,7 @@ def _search(parts, texts):
 def removal_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     """Code points from the first to the last word of every stretch of hit words."""
     spans, last = [], -2
-    for i, m in enumerate(WORD.finditer(text)):
+    for i, m in enumerate(WORD.finditer(text.translate(_LOWER))):  # one code point for one
         if hit[i]:
             if last == i - 1:
                 spans[-1][1] = m.end()

@@ -202,6 +202,12 @@ def test_decontamination(spark, monkeypatch):
     cleaned = decontaminate.clean(spark, docs, bench)
     assert cleaned.columns == docs.columns and cleaned.count() == len(texts)
     left = {r.doc_id: r.text for r in cleaned.collect()}
+    spans = {r.doc_id: [tuple(x) for x in r.spans] for r in decontaminate.find(spark, docs, bench).collect()}
+    assert all(len(decontaminate.words_of("".join(texts[i][a:b] for a, b in s))) > 0 for i, s in spans.items() if s)
+    upper = "KEEP Me. " + items[0][1].upper() + " END"
+    hit = decontaminate.find_in_shard(decontaminate.Windows([(0, decontaminate.words_of(items[0][1].upper()))]), [decontaminate.words_of(upper)])[0][0]
+    (a, b), = decontaminate.removal_spans(upper, hit)
+    assert upper[:a] + upper[b:] == "KEEP Me.  END"
     assert left[0] is None and left[3] == "" and left[4] == "" and left[2] == "?!"
     assert decontaminate.find(spark, docs.limit(0), bench).count() == 0
     assert decontaminate.find(spark, docs, bench.limit(0)).where("contaminated").count() == 0
