@@ -153,6 +153,6 @@ def area_gain(areas: DataFrame, library: DataFrame) -> DataFrame:
         F.avg("area").alias("__avg"),
     )
     return stats.join(library.select("p_key", "cell", F.col("area").alias("new_area")), "p_key", "left").select(
-        "p_key", F.coalesce("cell", F.lit("(none)")).alias("cell"), "n_clusters", "avg_area", "min_area", "max_area", "new_area",
+        "p_key", F.coalesce("cell", F.lit("(none)")).alias("cell"), "n_clusters", "avg_area", "min_area", "max_area", F.coalesce("new_area", F.lit(-1)).alias("new_area"),
         F.round(F.col("__avg") - F.col("new_area"), 4).alias("gain"),
     )

@@ -26,7 +26,7 @@ def integrity(cells: DataFrame, edges: DataFrame, masters: DataFrame) -> DataFra
 def drop_sequential(cells: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = cells.where("NOT is_seq")
     ids = kept.select("id")
-    return kept, edges.join(ids.toDF("driver"), "driver", "left_semi").join(ids.toDF("load"), "load", "left_semi")
+    return kept, edges.join(ids.toDF("driver"), "driver", "left_semi").join(ids.toDF("load"), "load", "left_semi").select("driver", "load", "term")
 
 
 def collapse_buffers(cells: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:
@@ -60,7 +60,7 @@ def reach(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     level = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
     found = level
     for d in range(1, depth + 1):
-        level = level.join(edges.toDF("to", "id", "term").select("to", "id"), "id").select("root", F.col("to").alias("id"), F.lit(d).alias("depth")).distinct()
+        level = level.join(edges.select(F.col("driver").alias("to"), F.col("load").alias("id")), "id").select("root", F.col("to").alias("id"), F.lit(d).alias("depth")).distinct()
         found = found.union(level)
     return found.groupBy("root", "id").agg(F.min("depth").alias("depth"))
 
