@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,26 +25,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow for a function from one record batch to a dict of columns (or None)."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            out = fn(batch)
-            if out is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
-
-
-def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in schema], schema=schema
-    )
-
-
-def text_of(column: str = "text"):
-    """A text column with null read as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to any more, so that executors delete old shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hash sets of texts; words' hashes are cached up to a bound."""
 
-    CACHE = 1 << 19
+    CACHE = 1 << 16
 
     def __init__(self, size: int = 2):
         self.size, self.cache = size, {}
