@@ -147,7 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, epochs: in
     made = rows.select("doc_id", "label", "text").mapInArrow(featured, "doc_id long, label int, slots array<int>, vals array<float>")
     passes = made.select("*", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("epoch"))
     one = passes.repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "doc_id"), "label")
-    return np.frombuffer(one.mapInArrow(fit, "weights binary").first().weights, dtype=np.float32)
+    made_weights = one.mapInArrow(fit, "weights binary").first()
+    if made_weights is None:  # no labelled row, so no task ran
+        return np.zeros((1 << BITS) + 1, dtype=np.float32)
+    return np.frombuffer(made_weights.weights, dtype=np.float32)
 
 
 def _score(spark: SparkSession, docs: DataFrame, weights: np.ndarray, keep, ddl: str) -> DataFrame:
