@@ -2,11 +2,12 @@
 
 `link` gets (key, id) rows.  A group of at most SMALL ids gives all its pairs.  A
 larger group has a few leaders, those ids that are in most large groups, and
-every id is paired with the foremost of its leaders; where members stay outside
-all their leaders' components, the
-members of that group are keyed again by stricter keys (the next level), which
-split it, and so on.  So pairs grow linearly with a group's size, and no group is
-collected: rows are streamed in sorted order, and only SMALL ids are held.
+every id is paired with the foremost of its leaders.  That is only the order of
+work: the members of every large group that is still in several components are
+joined exactly on their full sets, by prefixes in which rare shingles come first,
+and only pairs from different components are verified.  So no link between two
+ids that share a key is lost.  No group is collected: rows are streamed in sorted
+order, and only SMALL ids, or two blocks of about BLOCK, are held.
 """
 
 from __future__ import annotations
@@ -23,6 +24,13 @@ from netmine.llm.common import cut, release
 SMALL = 16
 LEADERS = 3
 PAIRS = 12
+#: The exact join: links have at least this Jaccard similarity.
+PERCENT = 80
+#: Shingles are counted in so many classes; any counts give a right order, true ones give short lists.
+BUCKETS = 1 << 19
+#: A list of more members is dealt out as pairs of blocks of about so many.
+BLOCK = 256
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Edges (16 bytes each) that one task may hold while components are made; more are dealt out.
 ONE_TASK = 500_000
 
@@ -134,7 +142,145 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _counted(batches):
+    """(bucket, n): how many shingles of the sets are in each bucket."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        flat = batch.column("hashes").flatten().to_numpy().view(np.uint64)
+        total += np.bincount((flat % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+
+_ROWS = "key long, id long, component long, n long, pos long, side long, whole boolean"
+
+
+def _prefixes(counts: np.ndarray):
+    """The prefix of each set as keys, with the set's size and the shingle's position; long lists as pairs of blocks."""
+    def run(batches):
+        for batch in batches:
+            ids, comps = batch.column("id").to_numpy(), batch.column("component").to_numpy()
+            lists = batch.column("hashes")
+            flat, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            blocks = _mix(ids.view(np.uint64))
+            out, held = [], 0
+            for i in range(len(ids)):
+                x = flat[offsets[i] : offsets[i + 1]]
+                n = len(x)
+                if not n:
+                    continue
+                often = counts[(x % np.uint64(BUCKETS)).astype(np.int64)]
+                pos = np.arange(n - (PERCENT * n + 99) // 100 + 1)
+                first = np.lexsort((x, often))[: len(pos)]
+                x, often = x[first], often[first]
+                met = often > 1  # a shingle of one set alone meets nothing
+                x, often, pos = x[met], often[met], pos[met]
+                parts = (often - 1) // BLOCK + 1
+                row = np.repeat(np.arange(len(x)), parts)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                own = (blocks[i] % parts.astype(np.uint64)).astype(np.int64)[row]
+                low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+                key = _mix(_mix(x[row] * _GOLD + low) * _GOLD + high)
+                out.append((key.view(np.int64), np.full(len(row), ids[i]), np.full(len(row), comps[i]), np.full(len(row), n), pos[row], own, own == other))
+                held += len(row)
+                if held > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=_NAMES)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=_NAMES)
+
+    return run
+
+
+_NAMES = [c.split()[0] for c in _ROWS.split(", ")]
+
+
+def _met(batches):
+    """Pairs of sorted rows with one key whose sizes and positions let them reach PERCENT, from different components."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def emit(c):
+        key, ids, comp, n, pos, side, whole = c
+        rest = n - pos
+        left, right, held = [], [], 0
+        for d in range(1, len(key)):
+            at = np.flatnonzero(key[d:] == key[:-d])
+            if not len(at):
+                break
+            to = at + d
+            good = (comp[at] != comp[to]) & (whole[at] | (side[at] != side[to]))
+            good &= 180 * np.minimum(rest[at], rest[to]) >= PERCENT * (n[at] + n[to])
+            left.append(np.minimum(ids[at], ids[to])[good])
+            right.append(np.maximum(ids[at], ids[to])[good])
+            held += len(left[-1])
+            if held > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], schema=schema)
+                left, right, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], schema=schema)
+
+    kept = None
+    for batch in batches:
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in _NAMES]
+        kept = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
+        if not len(kept[0]):
+            continue
+        last = int(np.searchsorted(kept[0], kept[0][-1]))
+        yield from emit([c[:last] for c in kept])
+        kept = [c[last:] for c in kept]
+    if kept is not None:
+        yield from emit(kept)
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """Every pair (a < b) of sets (id, component, hashes) that can reach PERCENT, where the components differ.
+
+    With one order for all sets, two sets at PERCENT share a shingle among the first
+    n - ceil(0.8 n) + 1 of both, and the first they share leaves enough after it.
+    """
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in sets.select("hashes").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
+        counts[r.bucket] = r.n
+    rows = sets.mapInArrow(_prefixes(counts), _ROWS)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "a long, b long").distinct()
+
+
 def link(
+    keyed: DataFrame,
+    prepare: Callable[[DataFrame], None],
+    verify: Callable[[DataFrame], DataFrame],
+    sets: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """(id, component) of every id that has a verified link.
+
+    keyed has (key, id) rows; prepare(ids) is told once which ids may have to be verified; verify keeps the
+    true links of pairs (a, b); sets(ids) gives (id, hashes), the sorted full sets of such ids.
+    """
+    pairs, large = grouped(keyed)
+    pairs = cut(pairs.union(led_pairs(led(large))).distinct())
+    prepare(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    edges = cut(verify(pairs))
+    release(edges.sparkSession)
+    found = components(edges)
+    named = large.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    apart = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    still = cut(named.join(apart, "key", "left_semi").select("id", "component").distinct())
+    if still.isEmpty():
+        return found
+    full = cut(sets(still.select("id")).join(still, "id").select("id", "component", "hashes"))
+    more = cut(verify(cut(candidates(full))))
+    release(more.sparkSession)
+    return found if more.isEmpty() else components(edges.union(more))
+
+
+def link_levels(
     keyed: Callable[[int, DataFrame | None], DataFrame | None],
     prepare: Callable[[DataFrame], None],
     verify: Callable[[DataFrame], DataFrame],

@@ -10,8 +10,8 @@ the sketches hold the whole sets (four fifths of the values cannot be cut into
 runs of three by the other fifth); small sets are also listed by runs of two,
 which is complete for any union; for larger sets a run is missed with
 probability 0.8**K at 0.8.  Lists longer than linking.SMALL give the pairs with
-their leaders and are split by runs of 8, 16, 32 and K values where those leave
-something open.  The union-sketch estimate drops pairs far below 0.8, and the
+their leaders, and what those leave open is joined exactly on the full sets
+(linking.link).  The union-sketch estimate drops pairs far below 0.8, and the
 rest is confirmed on the full sets, made again from the texts, which travel
 compressed.
 
@@ -34,7 +34,7 @@ from netmine.llm import linking
 from netmine.llm.common import cut
 
 K = 48
-RUNS = (4, 8, 16, 32, K)
+RUN = 4
 SMALL_SET = 20
 #: Five standard deviations below 0.8 of the share of K union values in both sketches.
 ESTIMATE = 0.5
@@ -114,25 +114,22 @@ def run_keys(sketch: np.ndarray, run: int, seed: int) -> np.ndarray:
     return h
 
 
-def _keys(run: int):
-    def keys(batches):
-        schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
-        for batch in batches:
-            out, who = [], []
-            sketches = batch.column("sketch")
-            flat, offsets = sketches.flatten().to_numpy().view(np.uint64), sketches.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            for i, (rep, n) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist())):
-                s = flat[offsets[i] : offsets[i + 1]]
-                h = run_keys(s, run, 0)
-                if run == RUNS[0] and n <= SMALL_SET:
-                    h = np.append(h, run_keys(s, 2, 1))
-                out.append(h)
-                who.append(np.full(len(h), rep, np.int64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], schema=schema)
-
-    return keys
+def _keys(batches):
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+    for batch in batches:
+        out, who = [], []
+        sketches = batch.column("sketch")
+        flat, offsets = sketches.flatten().to_numpy().view(np.uint64), sketches.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        for i, (rep, n) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist())):
+            s = flat[offsets[i] : offsets[i + 1]]
+            h = run_keys(s, RUN, 0)
+            if n <= SMALL_SET:
+                h = np.append(h, run_keys(s, 2, 1))
+            out.append(h)
+            who.append(np.full(len(h), rep, np.int64))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], schema=schema)
 
 
 def _packed(batches):
@@ -143,6 +140,16 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], schema=schema)
 
 
+def _full(batches):
+    schema = pa.schema([("id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    unpack, shingler = zstandard.ZstdDecompressor().decompress, Shingler()
+    for batch in batches:
+        ids, packed = batch.column("id"), batch.column("packed")
+        for at in range(0, batch.num_rows, 256):
+            sets = [shingler.hashes(unpack(p).decode("utf-8", "surrogatepass")).view(np.int64) for p in packed[at : at + 256].to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids[at : at + 256], pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+
+
 def _confirmed(batches):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     unpack, shingler = zstandard.ZstdDecompressor().decompress, Shingler()
@@ -170,14 +177,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ties = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     held: dict[str, DataFrame] = {}
 
-    def keyed(level, ids):
-        if level >= len(RUNS):
-            return None
-        some = classes.select("rep", "n", "sketch")
-        if ids is not None:
-            some = some.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi")
-        return some.mapInArrow(_keys(RUNS[level]), "key long, id long")
-
     def prepare(ids):
         needed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumnRenamed("doc_id", "id").select("id", "text")
         held["texts"] = cut(needed.mapInArrow(_packed, "id long, packed binary").join(ids, "id", "left_semi"))
@@ -197,7 +196,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         full = near.join(texts.toDF("a", "pa"), "a").join(texts.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
         return full.mapInArrow(_confirmed, "a long, b long").distinct()
 
-    found = linking.link(keyed, prepare, verify)
+    def full(ids):
+        return held["texts"].join(ids, "id", "left_semi").mapInArrow(_full, "id long, hashes array<long>")
+
+    keyed = classes.select("rep", "n", "sketch").mapInArrow(_keys, "key long, id long")
+    found = linking.link(keyed, prepare, verify, full)
     # links between classes, and ties by doc_id, make the components
     if not several.isEmpty():
         found = linking.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(ties))

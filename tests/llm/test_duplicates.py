@@ -83,6 +83,19 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r.n_shingles == len(shingles(dict(rows)[d])) and r.kept == (d == r.component_id) for d, r in got.items())
 
 
+def check_docs(spark, rows):
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_docs(rows)
+
+
+def test_star_of_short_texts(spark):
+    rows = []
+    for n in (5, 6, 8):  # copies link with their base only, which has the lowest id
+        base = " ".join(f"s{n}x{i}" for i in range(n))
+        rows += [(1000 * n, base)] + [(1000 * n + k, f"{base} t{n}y{k}") for k in range(1, 201)]
+    check_docs(spark, rows)
+
+
 def test_near_duplicates_odd_ids(spark):
     long = " ".join(f"x{i}" for i in range(50))
     rows = [(5, "a b c"), (5, long), (9, "a b c"), (7, long), (None, "a b c"), (None, None), (3, "")]
