@@ -23,6 +23,7 @@ from netmine.llm.common import cut, release
 
 SMALL = 16
 LEADERS = 3
+#: Leader pairs of an id that are verified first; what they leave apart goes to the exact join.
 PAIRS = 12
 #: The exact join: links have at least this Jaccard similarity.
 PERCENT = 80

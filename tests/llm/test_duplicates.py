@@ -96,6 +96,19 @@ def test_star_of_short_texts(spark):
     check_docs(spark, rows)
 
 
+def test_families_without_their_base(spark):
+    rng = random.Random(17)
+    rows = []
+    for n, edits, copies in ((20, (1, 1), 400), (100, (2, 5), 400)):
+        base = [f"f{n}x{rng.randrange(5000)}" for _ in range(n)]
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(rng.randint(*edits)):
+                t[rng.randrange(n)] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    check_docs(spark, rows)
+
+
 def test_near_duplicates_odd_ids(spark):
     long = " ".join(f"x{i}" for i in range(50))
     rows = [(5, "a b c"), (5, long), (9, "a b c"), (7, long), (None, "a b c"), (None, None), (3, "")]
