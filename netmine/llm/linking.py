@@ -279,48 +279,3 @@ def link(
     more = cut(verify(cut(candidates(full))))
     release(more.sparkSession)
     return found if more.isEmpty() else components(edges.union(more))
-
-
-def link_levels(
-    keyed: Callable[[int, DataFrame | None], DataFrame | None],
-    prepare: Callable[[DataFrame], None],
-    verify: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """(id, component) of every id that has a verified link.
-
-    keyed(level, ids) gives (key, id) rows, of these ids only if they are given, None past the last level;
-    prepare(ids) is told once which ids may have to be verified; verify keeps the true links of pairs (a, b).
-    """
-    level, ids, edges, found = 0, None, None, None
-    while (rows := keyed(level, ids)) is not None:
-        pairs, large = grouped(rows)
-        lead = led(large)
-        pairs = pairs.union(led_pairs(lead)).distinct()
-        if found is not None:
-            pairs = (
-                pairs.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-                .join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-                .where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
-            )
-        pairs = cut(pairs)
-        if level == 0:
-            prepare(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        true = cut(verify(pairs))
-        release(true.sparkSession)
-        edges = true if edges is None else edges.union(true)
-        found = components(edges)
-        if large.isEmpty():
-            break
-        at = lambda c: F.coalesce(F.col(c), F.col("id" if c == "mine" else "leader"))
-        apart = (
-            lead.join(found.select("id", F.col("component").alias("mine")), "id", "left")
-            .join(found.select(F.col("id").alias("leader"), F.col("component").alias("theirs")), "leader", "left")
-            .groupBy("key", "id").agg(F.bool_and(at("mine") != at("theirs")).alias("out"))
-            .where("out").select("key").distinct()
-        )
-        ids = cut(large.join(apart, "key", "left_semi").select("id").distinct())
-        if ids.isEmpty():
-            break
-        level += 1
-        release(ids.sparkSession)
-    return found

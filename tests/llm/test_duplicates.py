@@ -193,6 +193,24 @@ def test_line_dedup_against_all_pairs(spark):
     assert line_dedup.clean(docs.limit(0)).count() == 0
 
 
+def test_line_family_without_its_base(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    base = [word() for _ in range(20)]
+    rows = []
+    for d in range(400):
+        t = list(base)
+        t[rng.randrange(20)] = word()
+        rows.append((d, " ".join(t)))
+    left = {r.doc_id: r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lines, keys = [t for _, t in rows], line_dedup.band_keys([t for _, t in rows])
+    links = [(a, b) for a in range(400) for b in range(a + 1, 400) if line_dedup.similar(lines[a], lines[b])]
+    every, listed = groups(range(400), links), groups(range(400), [(a, b) for a, b in links if (keys[a] == keys[b]).any()])
+    # links of lines that share a band must all be found; a line that shares none may be reached or not
+    assert not [d for d in range(400) if listed[d] != d and left[d] or every[d] == d and not left[d]]
+    assert sum(listed[d] != every[d] for d in range(400)) < 5
+
+
 def test_exact_codes_agree_with_sets():
     rng = random.Random(16)
     lines = ["".join(rng.choice("abcé" + ("日" if rng.random() < 0.1 else "")) for _ in range(rng.randint(1, 60))) for _ in range(300)]
