@@ -1,6 +1,6 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
-A document's set holds the distinct shingles of two words (A-Z lower-cased, words
+A document's set holds the distinct shingles of `size` words, two in op8 (A-Z lower-cased, words
 are `[^\\x20\\x09-\\x0D]+`); with fewer words, the whole sequence is the one shingle.
 Equal sets are one class.  The sketch is the K smallest hashes of a set.  The
 inverted lists are those of runs of RUN neighbouring retained values: every
@@ -23,6 +23,8 @@ together; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -87,9 +89,9 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
-def _sketches(batches):
+def _sketches(batches, size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-    shingler = Shingler()
+    shingler = Shingler(size)
     for batch in batches:
         sets = [shingler.hashes(t or "") for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -140,9 +142,9 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], schema=schema)
 
 
-def _full(batches):
+def _full(batches, size: int):
     schema = pa.schema([("id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
-    unpack, shingler = zstandard.ZstdDecompressor().decompress, Shingler()
+    unpack, shingler = zstandard.ZstdDecompressor().decompress, Shingler(size)
     for batch in batches:
         ids, packed = batch.column("id"), batch.column("packed")
         for at in range(0, batch.num_rows, 256):
@@ -150,9 +152,9 @@ def _full(batches):
             yield pa.RecordBatch.from_arrays([ids[at : at + 256], pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
 
-def _confirmed(batches):
+def _confirmed(batches, size: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    unpack, shingler = zstandard.ZstdDecompressor().decompress, Shingler()
+    unpack, shingler = zstandard.ZstdDecompressor().decompress, Shingler(size)
     for batch in batches:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         keep, kept, last = [], None, None
@@ -164,10 +166,10 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in at], pa.int64()), pa.array([b[i] for i in at], pa.int64())], schema=schema)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; shingles have `size` words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(rows.mapInArrow(_sketches, "doc_id long, n long, digest binary, sketch array<long>"))
+    base = cut(rows.mapInArrow(partial(_sketches, size=size), "doc_id long, n long, digest binary, sketch array<long>"))
     sets = base.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = cut(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
     reps = classes.select("digest", "rep")
@@ -194,10 +196,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
         texts = held["texts"]
         full = near.join(texts.toDF("a", "pa"), "a").join(texts.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
-        return full.mapInArrow(_confirmed, "a long, b long").distinct()
+        return full.mapInArrow(partial(_confirmed, size=size), "a long, b long").distinct()
 
     def full(ids):
-        return held["texts"].join(ids, "id", "left_semi").mapInArrow(_full, "id long, hashes array<long>")
+        return held["texts"].join(ids, "id", "left_semi").mapInArrow(partial(_full, size=size), "id long, hashes array<long>")
 
     keyed = classes.select("rep", "n", "sketch").mapInArrow(_keys, "key long, id long")
     found = linking.link(keyed, prepare, verify, full)

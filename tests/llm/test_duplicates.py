@@ -143,6 +143,18 @@ def test_groups_are_split_right(spark):
     assert large == sorted((k, i) for k, m in members.items() if len(m) > linking.SMALL for i in m)
 
 
+def test_pipeline_stage_has_shingles_of_five_words(spark):
+    import corpus_pipeline
+
+    base = [f"p{i}" for i in range(100)]
+    one, three = list(base), list(base)
+    one[50] = "q"  # 0.90 on five words
+    for i in (20, 50, 80):
+        three[i] = f"r{i}"  # 0.89 on two words, 0.73 on five
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(one)), (3, " ".join(three))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [1, 3]
+
+
 # ---- lines
 
 
