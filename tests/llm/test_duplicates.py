@@ -205,6 +205,12 @@ def test_line_dedup_against_all_pairs(spark):
     assert line_dedup.clean(docs.limit(0)).count() == 0
 
 
+def test_line_goes_only_from_its_own_text(spark):
+    rows = [(1, "a line that comes again"), (2, "words of one text\na line that comes again"), (2, "another text\nwith a line of its own")]
+    got = [r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted([rows[0][1], "words of one text", rows[2][1]])
+
+
 def test_line_family_without_its_base(spark):
     rng = random.Random(18)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
