@@ -44,7 +44,8 @@ HINT = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+#: One attribute after another, so that no word within a value counts; a quote cut off goes to the end.
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*)))?""")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""")
 
 

@@ -138,6 +138,13 @@ def test_html():
 # ---- secrets
 
 
+def test_html_attributes_are_read_whole():
+    for other in ('style="overflow:hidden"', 'title="hidden gems"', 'data-role="banner"', "title='a class=menu b'", "data-id=footer", 'href=/a?hidden'):
+        assert not html_extract._is_aside("p", f" {other}"), other
+    for aside in ('class="x menu"', "ID=footer", "role = 'banner'", "hidden", 'title="a" hidden', "aria-hidden=true", 'a="b"class="ad"'):
+        assert html_extract._is_aside("p", f" {aside}"), aside
+
+
 def brute_secrets(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
