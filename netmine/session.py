@@ -1,7 +1,12 @@
-"""Session settings and table access."""
+"""Session settings, table access, and cuts of lineage in the folder that a cluster shares."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +24,51 @@ def tuned(builder: SparkSession.Builder | None = None) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, `spark.checkpoint.dir`.
+
+    A session on one machine (tests) that has none gets a temporary folder; on a cluster that is refused.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        folder = tempfile.mkdtemp(prefix="netmine-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint; how its rows are dealt out and sorted stays known to the planner."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def saved(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read back, so that sizes are those of files.
+
+    In a loop a checkpoint would keep the estimates of the plans that it came from, which multiply
+    each round.  `instead` is an earlier result of this function that nothing needs any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    if instead is not None:
+        delete(spark, instead._saved_at)
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store through Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
