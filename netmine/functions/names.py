@@ -56,7 +56,7 @@ def split_fields(line: Column, most: int) -> Column:
 
 def signature_parts(signature: Column) -> Column:
     """Parts of a signature between semicolons, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(signature, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(signature, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def joined_key(parts: Column) -> Column:

@@ -147,3 +147,27 @@ def polarity_dim(spark: SparkSession, n: int) -> DataFrame:
     """p_key, np_key ('0b' strings), ei, eo, exact."""
     rows = [(f"0b{bits_of(r.p, n)}", f"0b{bits_of(r.np_, n)}", r.input_inverters, r.output_inverter, r.exact) for r in polarity_rows(n)]
     return F.broadcast(spark.createDataFrame(rows, "p_key string, np_key string, ei int, eo int, exact boolean"))
+
+
+@functools.cache
+def least_integer_table(n: int) -> np.ndarray:
+    """For every function the least integer, row 0 its lowest bit, over permutations, input masks and output negation.
+
+    Its classes are those of the greatest form but its labels are of another convention; never mix the two.
+    """
+    size = 1 << n
+    values = np.arange(1 << size, dtype=np.int64)
+    turned = _gather(values, list(range(size - 1, -1, -1)))
+    ones, best = (1 << size) - 1, None
+    for perm in itertools.permutations(range(n)):
+        rows = permuted_rows(perm)
+        for mask in range(size):
+            form = _gather(turned, [r ^ mask for r in rows])
+            least = np.minimum(form, ones ^ form)
+            best = least if best is None else np.minimum(best, least)
+    return best
+
+
+def least_integer_dim(spark: SparkSession, n: int) -> DataFrame:
+    """value and its least integer over all equivalent functions."""
+    return F.broadcast(spark.createDataFrame(pd.DataFrame({"value": np.arange(1 << (1 << n), dtype=np.int64), "least": least_integer_table(n)})))

@@ -183,3 +183,8 @@ def minterms(bits: Column, n: int) -> Column:
         F.when(row(bits, a) == "1", "*".join(("" if a >> (n - 1 - i) & 1 else "!") + f"A{i + 1}" for i in range(n))) for a in range(1 << n)
     ]
     return F.when(~bits.contains("1"), "0").when(~bits.contains("0"), "1").otherwise(F.concat_ws(" + ", *terms))
+
+
+def projection(bits: Column, n: int) -> Column:
+    """Whether the function is one of its inputs."""
+    return bits.isin(["".join(str(a >> (n - 1 - i) & 1) for a in range(1 << n)) for i in range(n)])

@@ -79,23 +79,26 @@ def contained(pairs: DataFrame) -> DataFrame:
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """Every pair in both directions, from one computation of the pairs."""
+    return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
 
 
-def components(member: DataFrame, checkpoint) -> DataFrame:
+def components(member: DataFrame, saved) -> DataFrame:
     """cluster, component: least cluster reachable through shared cells.
 
-    The pair list is never made: labels go from clusters to cells and back, then
-    jump to their label's label; a round costs two shuffles of the members.
+    The pair list is never made: labels go from clusters to cells and back, then jump to their label's label; a round
+    costs two shuffles of the members, which are written once, and its labels are written, so that plans and the size
+    estimates in them stay as small as in the first round.
     """
-    labels = checkpoint(member.select("cluster").distinct().select("cluster", F.col("cluster").alias("component")))
+    member = saved(member.select("cluster", "cell").distinct())
+    labels = saved(member.select("cluster").distinct().select("cluster", F.col("cluster").alias("component")))
     total = None
     while True:
         cells = member.join(labels, "cluster").groupBy("cell").agg(F.min("component").alias("low"))
         low = member.join(cells, "cell").groupBy("cluster").agg(F.min("low").alias("component"))
         jump = labels.select(F.col("cluster").alias("component"), F.col("component").alias("further"))
-        labels = checkpoint(low.join(jump, "component", "left").select("cluster", F.least("component", "further").alias("component")))
-        now = labels.agg(F.sum("component")).first()[0]
+        labels = saved(low.join(jump, "component", "left").select("cluster", F.least("component", "further").alias("component")))
+        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == total:
             return labels
         total = now
@@ -156,3 +159,13 @@ def area_gain(areas: DataFrame, library: DataFrame) -> DataFrame:
         "p_key", F.coalesce("cell", F.lit("(none)")).alias("cell"), "n_clusters", "avg_area", "min_area", "max_area", F.coalesce("new_area", F.lit(-1)).alias("new_area"),
         F.round(F.col("__avg") - F.col("new_area"), 4).alias("gain"),
     )
+
+
+def totals(counts: DataFrame) -> DataFrame:
+    """One row: occurrences of all patterns and their number."""
+    return counts.agg(F.sum("cnt").alias("total"), F.count("*").alias("patterns"))
+
+
+def top(counts: DataFrame, k: int) -> DataFrame:
+    """The k most frequent patterns, ties by key."""
+    return counts.select("p_key", "cnt").orderBy(F.col("cnt").desc(), "p_key").limit(k)

@@ -67,20 +67,26 @@ def reach(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 def expand(
     cells: DataFrame, edges: DataFrame, checkpoint, max_cells: int = 8, max_depth: int = 3, min_inputs: int = 2, max_inputs: int = 4, min_cells: int = 2,
+    roots: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Accepted clusters (root, cells, depth, n_inputs) and the audit (root, cells, verdict).
+    """Accepted clusters (root, cells, depths, depth, n_inputs) and the audit (root, cells, verdict).
 
-    State: cells with their depths, inputs (distinct drivers and ports outside), and
-    the drivers that may join: all loads inside.
+    State: cells with their depths, inputs (distinct drivers, of which those below 0 are nets without a cell, and
+    n_ports further ones), and the drivers that may join: all loads inside.
     """
     pins = edges.groupBy("load").agg(F.collect_set("driver").alias("drivers"), F.count("*").alias("n_pins"))
-    fan = edges.groupBy("driver").agg(F.collect_set("load").alias("loads"))
+    # a driver of more loads than a set may hold never joins: one load that is no cell stands for them
+    fan = edges.groupBy("driver").agg(F.countDistinct("load").alias("k")).where(F.col("k") <= max_cells).select("driver")
+    loads = edges.join(fan, "driver", "left_semi").groupBy("driver").agg(F.collect_set("load").alias("loads"))
+    many = edges.select("driver").distinct().join(fan, "driver", "left_anti").select("driver", F.array(F.lit(-1).cast("long")).alias("loads"))
+    fan = loads.union(many)
     info = cells.join(pins, cells["id"] == pins["load"], "left").join(fan, cells["id"] == fan["driver"], "left").select(
         "id", F.coalesce("drivers", F.expr("cast(array() AS array<bigint>)")).alias("drivers"),
         F.coalesce("loads", F.expr("cast(array() AS array<bigint>)")).alias("loads"), F.coalesce(F.col("n_ports"), F.lit(0)).alias("ports"),
     )
     info = checkpoint(info)
-    state = info.select(
+    first = info if roots is None else info.join(roots.select("id"), "id", "left_semi")
+    state = first.select(
         F.col("id").alias("root"), F.array("id").alias("cells"), F.array(F.lit(1)).alias("depths"), F.col("drivers").alias("front"), F.col("ports").alias("ports"),
     )
     grown, audit = [], []
@@ -108,7 +114,7 @@ def expand(
     every = grown[0] if grown else state
     for s in grown[1:]:
         every = every.union(s)
-    seen = every.select("root", "cells", F.array_max("depths").alias("depth"), (F.size("front") + F.col("ports")).alias("n_inputs"))
+    seen = every.select("root", "cells", "depths", F.array_max("depths").alias("depth"), (F.size("front") + F.col("ports")).alias("n_inputs"))
     accept = (F.size("cells") >= min_cells) & F.col("n_inputs").between(min_inputs, max_inputs) & (F.col("depth") >= 2)
     verdicts = seen.select("root", "cells", F.when(accept, "include").otherwise("skip:bounds").alias("verdict"))
     for a in audit:
@@ -116,29 +122,49 @@ def expand(
     return seen.where(accept), verdicts
 
 
-def evaluate(found: DataFrame, pins: DataFrame, max_inputs: int = 4) -> DataFrame:
-    """Truth tables of clusters: found (root, cells) and pins (id, kind, a, b), a and b the driving nets.
+def load(rows: DataFrame, masters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells (id, master, is_seq) and edges (driver, load, term, net) of netlist rows (number, master, pin, net) of one module.
 
-    A table of 2**n rows is one integer, so a gate is one integer operation for
-    all rows.  Kinds: NAND, NOR, AND, OR, XOR, XNOR from 0.  Cells are folded from
-    the far end to the root; the outside nets in order are the inputs.
+    masters: name, is_seq, pins (array of name, direction).  The first output on a net drives it.  A master or pin that
+    the library lacks raises, but for masters whose name begins with $; ports drive and load nothing.  A net that no
+    combinational cell drives stands for itself, as a driver below 0, so inputs count by net.
     """
-    rows = found.select("root", "cells", F.posexplode("cells").alias("at", "id")).join(pins, "id")
-    packed = rows.groupBy("root", "cells").agg(F.array_sort(F.collect_list(F.struct("id", "kind", "a", "b"))).alias("gates"))
-    nets = F.expr("array_sort(array_except(array_union(transform(gates, g -> g.a), transform(gates, g -> g.b)), cells))")
-    packed = packed.withColumn("nets", nets).withColumn("n", F.size("nets"))
+    pins = masters.select(F.col("name").alias("master"), "is_seq", F.explode("pins").alias("p")).select("master", "is_seq", F.col("p.name").alias("pin"), "p.direction")
+    inner = rows.where((F.col("number") > 0) & ~F.col("master").startswith("$")).join(F.broadcast(pins), ["master", "pin"], "left")
+    lost = F.raise_error(F.concat(F.lit("not in the library: "), "master", F.lit("."), "pin"))
+    checked = inner.select(F.col("number").cast("long").alias("id"), "master", "pin", "net", F.coalesce("is_seq", lost.cast("boolean")).alias("is_seq"), F.coalesce("direction", lost.cast("string")).alias("direction"))
+    cells = checked.groupBy("id").agg(F.min("master").alias("master"), F.bool_or("is_seq").alias("is_seq"))
+    out = checked.where("direction = 'output'").groupBy("net").agg(F.min(F.struct("id", "pin", "is_seq")).alias("d")).select("net", "d.*")
+    loads = checked.where("NOT is_seq").join(out.toDF("net", "driver", "driver_pin", "driver_seq"), "net", "left")
+    loads = loads.where("direction <> 'output' OR (driver <> id OR driver_pin <> pin)")
+    alone = -F.pmod(F.xxhash64("net"), F.lit(1 << 62)) - 1
+    edges = loads.select(F.when(F.col("driver").isNull() | F.col("driver_seq"), alone).otherwise(F.col("driver")).alias("driver"), F.col("id").alias("load"), F.col("pin").alias("term"), "net")
+    return cells, edges
+
+
+def roots(cells: DataFrame, masters: DataFrame) -> DataFrame:
+    """Cells to start from: combinational, one output, no buffer (an output that is its only input)."""
+    pins_of = lambda d: F.transform(F.filter("pins", lambda x: x["direction"] == d), lambda x: x["name"])
+    single = masters.where(~F.col("is_seq") & (F.size(pins_of("output")) == 1)).withColumn("i", pins_of("input")).withColumn("f", F.col("functions")[0]["function"])
+    buffer = (F.size("i") == 1) & F.coalesce(F.regexp_replace("f", r"\s+", "") == F.col("i")[0], F.lit(False))
+    return cells.join(F.broadcast(single.where(~buffer).select(F.col("name").alias("master"))), "master", "left_semi").select("id")
+
+
+def evaluate(found: DataFrame, gates: DataFrame) -> DataFrame:
+    """Truth tables of clusters: found (root, cells, depths), gates (id, tt, nets): the table of each cell and its driver nets, most significant first.
+
+    Cells are folded from the greatest depth to the root, so each one's drivers have their value before it.  A value
+    is one integer of 2**n rows; the outside nets, sorted, are the inputs.  Up to five inputs.
+    """
+    rows = found.select("root", "cells", F.explode(F.arrays_zip("cells", "depths")).alias("c")).select("root", "cells", F.col("c.cells").alias("id"), F.col("c.depths").alias("d")).join(gates, "id")
+    packed = rows.groupBy("root", "cells").agg(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("far"), "id", "tt", "nets"))).alias("gates"))
+    nets = F.expr("array_sort(array_except(array_distinct(flatten(transform(gates, g -> g.nets))), cells))")
+    packed = packed.withColumn("inputs", nets).withColumn("n", F.size("inputs"))
     # the pattern of input i among n inputs
-    table = {n: [sum(1 << ((1 << n) - 1 - a) for a in range(1 << n) if a >> (n - 1 - i) & 1) for i in range(n)] for n in range(1, max_inputs + 1)}
-    patterns = F.array(*[F.array(*[F.lit(x).cast("long") for x in table[n]]) for n in range(1, max_inputs + 1)])
-    start = F.map_from_arrays("nets", F.element_at(patterns, F.col("n")))
-    ones = F.expr("shiftleft(1L, cast(shiftleft(1, n) AS int)) - 1L")
-    # far cells first: a cell stands after all cells that drive it; numbers grow with the distance from the root
-    far_first = F.reverse("gates")
-    packed = packed.withColumn("start", start).withColumn("ones", ones).withColumn("order", far_first)
-    value = (
-        "CASE g.kind WHEN 0 THEN ones - (element_at(m, g.a) & element_at(m, g.b)) WHEN 1 THEN ones - (element_at(m, g.a) | element_at(m, g.b))"
-        " WHEN 2 THEN element_at(m, g.a) & element_at(m, g.b) WHEN 3 THEN element_at(m, g.a) | element_at(m, g.b)"
-        " WHEN 4 THEN element_at(m, g.a) ^ element_at(m, g.b) ELSE ones - (element_at(m, g.a) ^ element_at(m, g.b)) END"
-    )
-    out = packed.withColumn("out", F.expr(f"element_at(aggregate(order, start, (m, g) -> map_concat(m, map(g.id, {value}))), root)"))
-    return out.select("root", "cells", F.expr("lpad(bin(out), cast(shiftleft(1, n) AS int), '0')").alias("tt"))
+    table = {n: [sum(1 << ((1 << n) - 1 - a) for a in range(1 << n) if a >> (n - 1 - i) & 1) for i in range(n)] for n in range(1, 6)}
+    patterns = F.array(*[F.array(*[F.lit(x).cast("long") for x in table[n]]) for n in range(1, 6)])
+    packed = packed.withColumn("start", F.map_from_arrays("inputs", F.element_at(patterns, F.col("n")))).withColumn("ones", F.expr("shiftleft(1L, cast(shiftleft(1, n) AS int)) - 1L"))
+    term = "aggregate(sequence(0, size(g.nets) - 1), ones, (x, i) -> x & if(getbit(r, size(g.nets) - 1 - i) = 1, element_at(m, g.nets[i]), ones - element_at(m, g.nets[i])))"
+    value = f"aggregate(sequence(0, length(g.tt) - 1), 0L, (v, r) -> if(substring(g.tt, r + 1, 1) = '1', v | {term}, v))"
+    out = packed.withColumn("out", F.expr(f"element_at(aggregate(gates, start, (m, g) -> map_concat(m, map(g.id, {value}))), root)"))
+    return out.select("root", "cells", F.col("inputs"), F.expr("lpad(bin(out), cast(shiftleft(1, n) AS int), '0')").alias("tt"))

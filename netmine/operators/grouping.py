@@ -1,45 +1,92 @@
-"""Multi-output grouping: pairs and triples of outputs that share inputs and cells.
+"""Multi-output grouping: tuples of outputs that share inputs and cells.
 
-A candidate has grp (its place), out, inputs, cells (sorted arrays), x/y bounds.
-Candidates meet through shared inputs within a place, so the join is an equi-join;
+A candidate has grp (its place), out, inputs, cells (sorted arrays), x/y bounds and,
+if asked for, key (its function).  Candidates meet through a shared input of a place,
+so the join is an equi-join on (place, input), or in mode exact on (place, inputs);
 residual conditions are array functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pairs(candidates: DataFrame, mode: str = "shared", least_shared_inputs: int = 1, least_shared_cells: int = 1, most_inputs: int = 6, span: float | None = None) -> DataFrame:
-    """Pairs of outputs (out_a < out_b) of one place; mode exact asks for equal input sets."""
+def diagonal(a: str, b: str) -> Column:
+    """Of the box around both; unknown places count as none."""
+    side = lambda c: F.greatest(f"hi_{c}_{a}", f"hi_{c}_{b}") - F.least(f"lo_{c}_{a}", f"lo_{c}_{b}")
+    return F.coalesce(F.sqrt(F.pow(side("x"), 2) + F.pow(side("y"), 2)), F.lit(-1.0))
+
+
+def pairs(
+    candidates: DataFrame, mode: str = "shared", least_shared_inputs: int = 1, least_shared_cells: int = 1, most_inputs: int = 6, span: float | None = None,
+    different_keys: bool = False,
+) -> DataFrame:
+    """Pairs of outputs (out_a < out_b) of one place that share an input; mode exact asks for equal input sets.
+
+    Pairs that share no input are never made, so fewer than one shared input cannot be asked for.
+    """
     if mode not in ("shared", "exact"):
         raise ValueError(f"unknown mode {mode!r}")
-    cols = ["out", "inputs", "cells", "lo_x", "hi_x", "lo_y", "hi_y"]
+    if least_shared_inputs < 1:
+        raise ValueError("pairs meet through a shared input")
+    cols = ["out", "inputs", "cells", "lo_x", "hi_x", "lo_y", "hi_y", *(["key"] if different_keys else [])]
     a = candidates.select("grp", *[F.col(c).alias(f"{c}_a") for c in cols])
     b = candidates.select("grp", *[F.col(c).alias(f"{c}_b") for c in cols])
-    met = a.join(b, "grp").where("out_a < out_b").select(
+    if mode == "exact":
+        met = a.join(b, (a["grp"] == b["grp"]) & (F.col("inputs_a") == F.col("inputs_b"))).drop(b["grp"]).where("out_a < out_b AND size(inputs_a) > 0")
+    else:
+        # the pair is taken where the least shared input meets, so it is made once
+        left, right = a.withColumn("via", F.explode("inputs_a")), b.withColumn("via", F.explode("inputs_b"))
+        met = left.join(right, ["grp", "via"]).where("out_a < out_b").where(F.col("via") == F.array_min(F.array_intersect("inputs_a", "inputs_b"))).drop("via")
+    met = met.select(
         "*", F.size(F.array_intersect("inputs_a", "inputs_b")).alias("ki"), F.size(F.array_intersect("cells_a", "cells_b")).alias("kc"),
-        F.size(F.array_union("inputs_a", "inputs_b")).alias("ui"), F.size(F.array_union("cells_a", "cells_b")).alias("uc"),
-        F.sqrt(
-            F.pow(F.greatest("hi_x_a", "hi_x_b") - F.least("lo_x_a", "lo_x_b"), 2) + F.pow(F.greatest("hi_y_a", "hi_y_b") - F.least("lo_y_a", "lo_y_b"), 2)
-        ).alias("diagonal"),
+        F.size(F.array_union("inputs_a", "inputs_b")).alias("ui"), F.size(F.array_union("cells_a", "cells_b")).alias("uc"), diagonal("a", "b").alias("diagonal"),
     )
     keep = (F.col("ki") >= least_shared_inputs) & (F.col("kc") >= least_shared_cells) & (F.col("ui") <= most_inputs)
-    if mode == "exact":
-        keep = keep & (F.col("inputs_a") == F.col("inputs_b"))
     if span is not None:
         keep = keep & (F.col("diagonal") <= span)
+    if different_keys:
+        keep = keep & (F.col("key_a") != F.col("key_b"))
     return met.where(keep).select(
         "grp", "out_a", "out_b", F.col("ki").cast("long").alias("shared_inputs"), F.col("kc").cast("long").alias("shared_cells"),
         F.round(F.col("ki") / F.col("ui"), 6).alias("input_overlap"), F.round(F.col("kc") / F.col("uc"), 6).alias("cell_overlap"),
     )
 
 
+def tuples(pair: DataFrame, k: int) -> DataFrame:
+    """Distinct tuples o1 < ... < ok in which every two pair up, with the mean input overlap of their pairs; level by level."""
+    if k < 2:
+        raise ValueError("a tuple has two outputs at least")
+    edge = pair.select("grp", "out_a", "out_b", "input_overlap")
+    now = edge.select("grp", F.col("out_a").alias("o1"), F.col("out_b").alias("o2"), F.col("input_overlap").alias("total"))
+    for n in range(3, k + 1):
+        # the new output pairs with the last one, and then with each of the others
+        step = edge.select("grp", F.col("out_a").alias(f"o{n - 1}"), F.col("out_b").alias(f"o{n}"), F.col("input_overlap").alias(f"s{n - 1}"))
+        now = now.join(step, ["grp", f"o{n - 1}"])
+        for i in range(1, n - 1):
+            other = edge.select("grp", F.col("out_a").alias(f"o{i}"), F.col("out_b").alias(f"o{n}"), F.col("input_overlap").alias(f"s{i}"))
+            now = now.join(other, ["grp", f"o{i}", f"o{n}"])
+        total = reduce(lambda x, y: x + y, [F.col(f"s{i}") for i in range(1, n)], F.col("total"))
+        now = now.select("grp", *[f"o{i}" for i in range(1, n + 1)], total.alias("total"))
+    return now.select("grp", *[f"o{i}" for i in range(1, k + 1)], F.round(F.col("total") / (k * (k - 1) // 2), 6).alias("mean_overlap"))
+
+
 def triples(pair: DataFrame) -> DataFrame:
-    """Distinct triples a < b < c in which a, b and c pairwise share; one row for each."""
-    ab = pair.select("grp", F.col("out_a").alias("a"), F.col("out_b").alias("b"), F.col("input_overlap").alias("s1"))
-    bc = pair.select("grp", F.col("out_a").alias("b"), F.col("out_b").alias("c"), F.col("input_overlap").alias("s2"))
-    ac = pair.select("grp", F.col("out_a").alias("a"), F.col("out_b").alias("c"), F.col("input_overlap").alias("s3"))
-    met = ab.join(bc, ["grp", "b"]).join(ac, ["grp", "a", "c"])
-    return met.select("grp", "a", "b", "c", F.round((F.col("s1") + F.col("s2") + F.col("s3")) / 3, 6).alias("mean_overlap"))
+    return tuples(pair, 3).select("grp", F.col("o1").alias("a"), F.col("o2").alias("b"), F.col("o3").alias("c"), "mean_overlap")
+
+
+def similarities(candidates: DataFrame, pair: DataFrame) -> DataFrame:
+    """Means for each pair of functions over its pairs: number, Jaccard of inputs, Jaccard of cells; candidates have key."""
+    of = lambda side: candidates.select("grp", F.col("out").alias(f"out_{side}"), F.col("key").alias(f"key_{side}"))
+    named = pair.join(of("a"), ["grp", "out_a"]).join(of("b"), ["grp", "out_b"])
+    low, high = F.least("key_a", "key_b"), F.greatest("key_a", "key_b")
+    return named.groupBy(low.alias("key_a"), high.alias("key_b")).agg(F.count("*").alias("n"), F.round(F.avg("input_overlap"), 6).alias("avg_input_overlap"), F.round(F.avg("cell_overlap"), 6).alias("avg_cell_overlap"))
+
+
+def merged(candidates: DataFrame, pair: DataFrame) -> DataFrame:
+    """Frequency of merged functions: the two keys sorted and joined, their number, and the mean overlaps."""
+    s = similarities(candidates, pair)
+    return s.select(F.array_join(F.array_sort(F.array("key_a", "key_b")), ";").alias("p_key"), "n", "avg_input_overlap", "avg_cell_overlap")

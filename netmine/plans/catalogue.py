@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from netmine.functions import space, truth
 from netmine.operators import clusters, demand, features, graph, grouping
 from netmine.plans import cone_sql
-from netmine.session import table
+from netmine.session import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,13 +37,8 @@ def query(sql: str | None = None):
 
 
 def reliable(spark: SparkSession):
-    """Checkpoint in the shared folder of the session; a temporary one only where none is set."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="netmine-"))
-    return lambda df: df.checkpoint()
+    """Cuts lineage in the folder that the cluster shares."""
+    return saved
 
 
 # ---------------------------------------------------------------- SQL pieces
@@ -296,7 +291,10 @@ def q_cluster_subset_pairs(spark, sf_dir):
     return clusters.contained(clusters.with_sizes(clusters.overlap_pairs(m), m))
 
 
-@query()  # iterative: held against brute force in the tests
+@query("""WITH RECURSIVE m AS MATERIALIZED (SELECT DISTINCT l_orderkey AS c, l_partkey * 100 + l_suppkey % 100 AS p FROM lineitem),
+e AS MATERIALIZED (SELECT DISTINCT x.c AS a, y.c AS b FROM m x JOIN m y USING (p) WHERE x.c <> y.c),
+r(cluster, component) USING KEY (cluster) AS (SELECT DISTINCT c, c FROM m UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.cluster JOIN recurring.r AS o ON o.cluster = e.b WHERE r.component < o.component GROUP BY e.b)
+SELECT cluster, component FROM r""")
 def q_overlap_components(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") * 100 + F.pmod("l_suppkey", F.lit(100))).alias("cell"))
     return clusters.components(clusters.members(rows, "l_orderkey", "cell"), reliable(spark))
@@ -355,6 +353,16 @@ def q_select_candidates(spark, sf_dir):
     return anchor.select(F.lit("anchor").alias("kind"), "p_key", "label", "cnt").union(best.select(F.lit("overlap"), "p_key", "label", "cnt"))
 
 
+@query(f"WITH {KEYED} SELECT count(*) AS total, count(DISTINCT p_key) AS patterns FROM k")
+def q_total_occurrences(spark, sf_dir):
+    return clusters.totals(counts(spark, sf_dir))
+
+
+@query(f"WITH {KEYED} SELECT p_key, count(*) AS cnt FROM k GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def q_top_patterns(spark, sf_dir):
+    return clusters.top(counts(spark, sf_dir), 10)
+
+
 @query(f"""WITH {MEMBERS} SELECT c AS cluster, count(*) AS n_cells, CAST(sum(p_size) AS BIGINT) AS total_area, count(DISTINCT p_brand) AS n_masters,
 CAST(max(p_size) AS BIGINT) AS max_area FROM m JOIN part ON p_partkey = p GROUP BY 1""")
 def q_cluster_attributes(spark, sf_dir):
@@ -377,9 +385,9 @@ def _outputs(spark, sf_dir):
     )
 
 
-_OUTPUTS_SQL = """o AS (SELECT l_orderkey AS grp, l_returnflag || l_linestatus AS out, list_sort(list_distinct(list(l_partkey % 4))) AS i, list_sort(list_distinct(list(l_suppkey % 6))) AS c,
+_OUTPUTS_SQL = """o AS MATERIALIZED (SELECT l_orderkey AS grp, l_returnflag || l_linestatus AS out, list_sort(list_distinct(list(l_partkey % 4))) AS i, list_sort(list_distinct(list(l_suppkey % 6))) AS c,
 min(p_retailprice) AS lx, max(p_retailprice) AS hx, min(p_size) AS ly, max(p_size) AS hy FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
-x AS (SELECT a.grp, a.out AS out_a, b.out AS out_b, len(list_intersect(a.i, b.i)) AS ki, len(list_intersect(a.c, b.c)) AS kc, len(list_distinct(list_concat(a.i, b.i))) AS ui,
+x AS MATERIALIZED (SELECT a.grp, a.out AS out_a, b.out AS out_b, len(list_intersect(a.i, b.i)) AS ki, len(list_intersect(a.c, b.c)) AS kc, len(list_distinct(list_concat(a.i, b.i))) AS ui,
 len(list_distinct(list_concat(a.c, b.c))) AS uc, a.i = b.i AS same, sqrt(pow(greatest(a.hx, b.hx) - least(a.lx, b.lx), 2) + pow(greatest(a.hy, b.hy) - least(a.ly, b.ly), 2)) AS span
 FROM o a JOIN o b ON a.grp = b.grp AND a.out < b.out)"""
 _PAIR_COLS = "grp, out_a, out_b, ki AS shared_inputs, kc AS shared_cells, round(ki / ui, 6) AS input_overlap, round(kc / uc, 6) AS cell_overlap"
@@ -395,13 +403,20 @@ def q_pair_grouping_exact(spark, sf_dir):
     return grouping.pairs(_outputs(spark, sf_dir), "exact", least_shared_cells=0)
 
 
-@query(f"""WITH {_OUTPUTS_SQL}, p AS (SELECT grp, out_a, out_b, round(ki / ui, 6) AS s FROM x WHERE ki >= 1 AND kc >= 0 AND ui <= 6)
+@query(f"""WITH {_OUTPUTS_SQL}, p AS MATERIALIZED (SELECT grp, out_a, out_b, round(ki / ui, 6) AS s FROM x WHERE ki >= 1 AND kc >= 0 AND ui <= 6)
 SELECT p.grp, p.out_a AS a, p.out_b AS b, q.out_b AS c, round((p.s + q.s + r.s) / 3, 6) AS mean_overlap FROM p JOIN p q ON q.grp = p.grp AND q.out_a = p.out_b
 JOIN p r ON r.grp = p.grp AND r.out_a = p.out_a AND r.out_b = q.out_b""")
 def q_triple_grouping(spark, sf_dir):
     return grouping.triples(grouping.pairs(_outputs(spark, sf_dir), "shared", least_shared_cells=0))
 
 
+@query(f"""WITH {_OUTPUTS_SQL}, k AS (SELECT least(out_a, out_b) AS key_a, greatest(out_a, out_b) AS key_b, round(ki / ui, 6) AS i, round(kc / uc, 6) AS c FROM x WHERE ki >= 1 AND kc >= 1 AND ui <= 6)
+SELECT key_a || ';' || key_b AS p_key, count(*) AS n, round(avg(i), 6) AS avg_input_overlap, round(avg(c), 6) AS avg_cell_overlap FROM k GROUP BY key_a, key_b""")
+def q_merge_frequency(spark, sf_dir):
+    outputs = _outputs(spark, sf_dir).withColumn("key", F.col("out"))
+    return grouping.merged(outputs, grouping.pairs(outputs, "shared", different_keys=True))
+
+
 # ---------------------------------------------------------------- graph
 
 
@@ -445,9 +460,10 @@ def q_cone_truth_table(spark, sf_dir):
     cells, edges = _graph(spark, sf_dir)
     found, _ = graph.expand(cells, edges, checkpoint)
     kinds = cells.select("gate").distinct()
-    kind = kinds.select("gate", (F.row_number().over(Window.orderBy("gate")) - 1).alias("kind"))  # six gates
-    pins = cells.join(F.broadcast(kind), "gate").select("id", "kind", (2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b"))
-    rows = graph.evaluate(found, pins)
+    tables = F.array(*map(F.lit, ["1110", "1000", "0001", "0111", "0110", "1001"]))  # NAND, NOR, AND, OR, XOR, XNOR
+    kind = kinds.select("gate", F.element_at(tables, F.row_number().over(Window.orderBy("gate"))).alias("tt"))  # six gates
+    gates = cells.join(F.broadcast(kind), "gate").select("id", "tt", F.array(2 * F.col("id"), 2 * F.col("id") + 1).alias("nets"))
+    rows = graph.evaluate(found, gates)
     return rows.select("root", F.array_join(F.col("cells").cast("array<string>"), ",").alias("cells"), "tt")
 
 

@@ -43,12 +43,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; how its rows are dealt out and sorted stays known to the planner."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
+    """Reliable checkpoint of which the planner still knows how its rows are dealt out and sorted.
+
+    An adaptive plan doesn't tell that before it has run, so this one is planned without; the setting is put back.
+    """
+    spark = df.sparkSession
+    folder, sc = shared_folder(spark), spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
 
 
 def saved(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ input raises.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,10 @@ def whole_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 def _mapped(files: DataFrame, parse, schema: str, arrow: pa.Schema) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = [r for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()) for r in parse(p, t)]
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], schema=arrow)
+            for k in range(batch.num_rows):  # one file at a time, its rows in pieces
+                rows = parse(batch.column("path")[k].as_py(), batch.column("text")[k].as_py())
+                while piece := list(islice(rows, 4096)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in piece], schema=arrow)
 
     return files.select("path", "text").mapInArrow(run, schema)
 
@@ -110,6 +113,82 @@ def liberty(files: DataFrame) -> DataFrame:
     )
 
 
+def light(cells: DataFrame) -> DataFrame:
+    """Combinational cells with one output: name, area, function, sorted inputs."""
+    outputs = F.filter("pins", lambda x: x["direction"] == "output")
+    inputs = F.array_sort(F.transform(F.filter("pins", lambda x: x["direction"] == "input"), lambda x: x["name"]))
+    return cells.where(~F.col("is_seq") & (F.size(outputs) == 1) & (F.size("functions") == 1)).select("name", "area", F.col("functions")[0]["function"].alias("function"), inputs.alias("inputs"))
+
+
+def classified(cells: DataFrame) -> DataFrame:
+    """path, name, class and the first function of each file: seq, const (no variable), buf_inv (one), logic."""
+    from netmine.functions import expr
+
+    first = cells.withColumn("function", F.col("functions")[0]["function"])
+    n = F.size(expr.variables(F.col("function")))
+    kind = F.when(F.col("is_seq"), "seq").when(F.col("function").isNull(), "none").when(n == 0, "const").when(n == 1, "buf_inv").otherwise("logic")
+    return first.select("path", "name", kind.alias("cell_class"), "function").groupBy("path").agg(F.min(F.struct("name", "cell_class", "function")).alias("m")).select("path", "m.*")
+
+
+def cell_names(files: DataFrame) -> DataFrame:
+    """path, stem (what stands before `_tt_` in the file's name) and the name of every cell group; built-in functions only."""
+    base = F.element_at(F.split("path", "/"), -1)
+    stem = F.regexp_replace(F.split_part(base, F.lit("_tt_"), F.lit(1)), r"\.lib$", "")
+    return files.select("path", stem.alias("stem"), F.explode(F.regexp_extract_all("text", F.lit(r"\bcell\s*\(\s*\"?([^\s\")]+)"), F.lit(1))).alias("name"))
+
+
+def _library_text(path: str, text: str) -> tuple[str, list[str]]:
+    """What stands in a library before its first cell, and the cells."""
+    start = re.search(r"\blibrary\s*\([^)]*\)\s*\{", text)
+    if not start:
+        raise ValueError(f"{path}: no library")
+    depth, at, cells, head, begin = 1, start.end(), [], None, None
+    for m in re.finditer(r"[{}]|\bcell\s*\(", text[at:]):
+        place = at + m.start()
+        if m[0] == "{":
+            depth += 1
+        elif m[0] == "}":
+            depth -= 1
+            if depth == 1 and begin is not None:
+                cells.append(text[begin : place + 1])
+                begin = None
+            if depth == 0:
+                break
+        elif depth == 1 and begin is None:
+            begin = place
+            head = text[at:place] if head is None else head
+    if not cells:
+        raise ValueError(f"{path}: no cell")
+    return head, cells
+
+
+def merged_library(files: DataFrame, name: str) -> DataFrame:
+    """One library text from many: files with equal heads (comments and date aside) form a variant, whose templates get the ending _v<number>.
+
+    Variants are numbered in the order of their first path.  A library is a few MB, so all of it is one row.
+    """
+    schema = pa.schema([("path", pa.string()), ("head", pa.string()), ("cells", pa.list_(pa.string()))])
+
+    def run(batches):
+        for batch in batches:
+            found = [(p, *_library_text(p, t)) for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in found], schema=schema)
+
+    parts = files.select("path", "text").mapInArrow(run, "path string, head string, cells array<string>")
+    plain = F.regexp_replace(F.regexp_replace("head", r"(?s)/\*.*?\*/\s*", ""), r'(?m)^\s*date\s*:\s*"[^"]*";\s*\n', "")
+    variants = parts.groupBy(plain.alias("plain")).agg(
+        F.min("path").alias("first"), F.min_by("head", "path").alias("head"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("path", "cells"))), lambda x: x["cells"])).alias("cells")
+    )
+    every = variants.agg(F.array_sort(F.collect_list(F.struct("first", "head", "cells"))).alias("v"))
+    one = every.select(F.posexplode("v").alias("k", "v")).select("k", "v.head", "v.cells")
+    template = r"\b\w+\s*\(\s*\"?([A-Za-z_]\w*)\"?\s*\)\s*\{"
+    named = one.withColumn("t", F.array_distinct(F.regexp_extract_all("head", F.lit(template), F.lit(1))))
+    ending = lambda text: F.aggregate("t", text, lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(r"\b"), x, F.lit(r"\b")), F.concat(x, F.lit("_v"), F.col("k").cast("string"))))
+    done = named.select("k", ending(F.col("head")).alias("head"), ending(F.array_join("cells", "\n\n")).alias("cells"))
+    joined = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]), sep)
+    return done.agg(joined("head", "\n").alias("head"), joined("cells", "\n\n").alias("cells")).select(F.concat(F.lit(f"library ({name}) {{\n"), F.col("head"), F.lit("\n"), F.col("cells"), F.lit("\n}\n")).alias("text"))
+
+
 # ---------------------------------------------------------------- netlists
 
 
@@ -145,6 +224,32 @@ def netlist(files: DataFrame) -> DataFrame:
     )
 
 
+def flattened(rows: DataFrame, top: str, depth: int = 16) -> DataFrame:
+    """The rows of `netlist` of one design with modules inside `top` opened: instances get names `outer/inner`, nets of ports those outside.
+
+    An instance whose master is a module of the same file is opened, level by level, up to `depth`; a deeper one raises.
+    """
+    modules = rows.select("path", F.col("module").alias("master")).distinct()
+    ports = rows.where("number = 0").select("path", F.col("module").alias("master"), F.col("pin").alias("port"))
+    inner = rows.where("number > 0")
+    level = inner.where(F.col("module") == top).select("path", "name", "master", "pin", "net")
+    done = None
+    for _ in range(depth):
+        opened = level.join(modules, ["path", "master"], "left_semi")
+        leaf = level.join(modules, ["path", "master"], "left_anti")
+        done = leaf if done is None else done.union(leaf)
+        if opened.isEmpty():
+            return done
+        outer = opened.join(ports.withColumnRenamed("port", "pin"), ["path", "master", "pin"], "left_semi").select("path", F.col("name").alias("outer"), F.col("master").alias("module"), F.col("pin").alias("inner_net"), F.col("net").alias("outer_net"))
+        place = opened.select("path", F.col("name").alias("outer"), F.col("master").alias("module")).distinct()
+        below = inner.join(place, ["path", "module"]).join(outer.withColumnRenamed("inner_net", "net"), ["path", "outer", "module", "net"], "left")
+        level = below.select(
+            "path", F.concat("outer", F.lit("/"), "name").alias("name"), "master", "pin",
+            F.when(F.col("outer_net").isNotNull(), F.col("outer_net")).when(F.col("net").startswith("$const$"), F.col("net")).otherwise(F.concat("outer", F.lit("/"), "net")).alias("net"),
+        )
+    raise ValueError(f"modules are nested deeper than {depth}")
+
+
 def connections(rows: DataFrame, directions: DataFrame) -> DataFrame:
     """Driver to load edges: rows of `netlist` with directions (master, pin, direction); a pin without one raises.
 
@@ -180,6 +285,20 @@ def placement(files: DataFrame) -> DataFrame:
     )
 
 
+def die_area(files: DataFrame) -> DataFrame:
+    """path, lo_x, lo_y, hi_x, hi_y of the bounding box of all points of DIEAREA, in microns; built-in functions only."""
+    body = F.regexp_extract("text", r"\bDIEAREA\b([^;]*);", 1)
+    scale = F.regexp_extract("text", r"UNITS\s+DISTANCE\s+MICRONS\s+(\d+)", 1).cast("double")
+    axis = lambda i: F.transform(F.regexp_extract_all(body, F.lit(r"\(\s*(-?\d+)\s+(-?\d+)\s*\)"), F.lit(i)), lambda x: x.cast("double"))
+    rows = files.where(F.size(axis(1)) > 0).select("path", axis(1).alias("x"), axis(2).alias("y"), scale.alias("s"))
+    return rows.select("path", *[(f("%s" % c) / F.col("s")).alias(n) for n, f, c in (("lo_x", F.array_min, "x"), ("lo_y", F.array_min, "y"), ("hi_x", F.array_max, "x"), ("hi_y", F.array_max, "y"))])
+
+
+def placed(instances: DataFrame, places: DataFrame) -> DataFrame:
+    """Instances (path, name) with x and y of the layout, null where it has none."""
+    return instances.join(places.select("path", "name", "x", "y"), ["path", "name"], "left")
+
+
 def parse_lef(path: str, text: str):
     found = False
     for name, body in re.findall(r"\bMACRO\s+(\S+)(.*?)\bEND\s+\1\b", text, flags=re.S):
@@ -202,7 +321,7 @@ def macros(files: DataFrame) -> DataFrame:
 
 
 #: Suffixes of numbers in circuit files.
-SUFFIX = {"": 1.0, "meg": 1e6, "t": 1e12, "g": 1e9, "k": 1e3, "m": 1e-3, "u": 1e-6, "n": 1e-9, "p": 1e-12, "f": 1e-15}
+SUFFIX = {"": 1.0, "meg": 1e6, "g": 1e9, "k": 1e3, "m": 1e-3, "u": 1e-6, "n": 1e-9, "p": 1e-12, "f": 1e-15}
 
 
 def number(text: str) -> float:
@@ -213,30 +332,35 @@ def number(text: str) -> float:
 
 
 def parse_circuit(path: str, text: str):
-    cell = None
+    cell, pins = None, []
     for line in re.sub(r"\n\+", " ", text).split("\n"):
         words = line.split()
         if not words:
             continue
         if words[0].upper() == ".SUBCKT":
-            cell = words[1]
+            cell, pins = words[1], [w for w in words[2:] if "=" not in w]
         elif words[0].upper() == ".ENDS":
             cell = None
         elif words[0][0] in "Mm" and cell is not None:
             options = {k.lower(): number(v) for k, v in (x.split("=", 1) for x in words[6:] if "=" in x)}
             fins = options.get("nfin", options.get("m", 1.0))
-            yield path, cell, words[0], words[1], words[2], words[3], words[5], options.get("w"), options.get("l"), fins
+            yield path, cell, pins, words[0], words[1], words[2], words[3], words[5], options.get("w"), options.get("l"), fins
 
 
-def transistors(files: DataFrame) -> DataFrame:
-    """Transistors of sub-circuits: drain, gate, source, model, width, length, fins (nfin before m)."""
-    names = ["path", "cell", "name", "drain", "gate", "source", "model"]
+def circuits(files: DataFrame) -> DataFrame:
+    """Transistors of sub-circuits with the pins of their cell: drain, gate, source, model, width, length, fins (nfin before m)."""
+    names = ["name", "drain", "gate", "source", "model"]
     return _mapped(
-        files, parse_circuit, ", ".join(f"{n} string" for n in names) + ", w double, l double, fins double",
-        pa.schema([(n, pa.string()) for n in names] + [(n, pa.float64()) for n in ("w", "l", "fins")]),
+        files, parse_circuit, "path string, cell string, pins array<string>, " + ", ".join(f"{n} string" for n in names) + ", w double, l double, fins double",
+        pa.schema([("path", pa.string()), ("cell", pa.string()), ("pins", pa.list_(pa.string()))] + [(n, pa.string()) for n in names] + [(n, pa.float64()) for n in ("w", "l", "fins")]),
     )
 
 
+def transistors(files: DataFrame) -> DataFrame:
+    """The same without the pins."""
+    return circuits(files).drop("pins")
+
+
 def transistor_counts(rows: DataFrame) -> DataFrame:
     """Counts of both polarities and their fins for each cell; a model whose name starts with n is of type n."""
     n = F.lower("model").startswith("n")

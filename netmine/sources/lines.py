@@ -36,11 +36,38 @@ def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
-def cell_counts(files: DataFrame) -> DataFrame:
-    """Instances of each cell type, from the first word of lines that look like instances."""
-    keywords = ["module", "endmodule", "input", "output", "inout", "wire", "reg", "assign", "parameter", "localparam", "supply0", "supply1", "always", "initial", "function", "task"]
+#: Words of the netlist language that begin a line like an instance does.
+RESERVED = (
+    "module endmodule input output inout wire reg assign always begin end if else case endcase parameter localparam integer supply0 supply1 tri "
+    "posedge negedge initial generate endgenerate function task"
+).split()
+
+
+def cell_counts(files: DataFrame, suffix: str = "") -> DataFrame:
+    """Instances of each cell type, from the first word of lines that look like instances; a given ending of names is dropped."""
     name = F.regexp_extract("line", r"^\s*([A-Za-z_]\w*)\s+\w", 1)
-    return numbered(files).select("path", name.alias("cell")).where((F.col("cell") != "") & ~F.col("cell").isin(keywords)).groupBy("path", "cell").agg(F.count("*").alias("cnt"))
+    rows = numbered(files).select("path", name.alias("cell")).where((F.col("cell") != "") & ~F.lower("cell").isin(RESERVED))
+    if suffix:
+        rows = rows.withColumn("cell", F.when(F.col("cell").endswith(suffix), F.expr(f"left(cell, length(cell) - {len(suffix)})")).otherwise(F.col("cell")))
+    return rows.groupBy("path", "cell").agg(F.count("*").alias("cnt"))
+
+
+def quality(files: DataFrame) -> DataFrame:
+    """path, slack_in2reg, freq_mhz, slack_clock from the `Summary,` line, cell_area from the line after `CAP, FANOUT`; null where absent."""
+    fields = F.transform(F.split("line", ","), lambda x: F.trim(x))
+    one = numbered(files).where(F.col("line").startswith("Summary,")).groupBy("path").agg(F.min_by(fields, "no").alias("f"))
+    number = lambda i: F.expr(f"try_cast(replace(f[{i}], 'MHz', '') AS double)")
+    area = next_line(files, "CAP, FANOUT").groupBy("path").agg(F.min("fields").alias("g"))
+    return one.join(area, "path", "left").select("path", number(1).alias("slack_in2reg"), number(4).alias("freq_mhz"), number(5).alias("slack_clock"), F.expr("try_cast(g[4] AS double)").alias("cell_area"))
+
+
+def violations(files: DataFrame) -> DataFrame:
+    """path, total, shorts of rule reports: the number on the last `Design :` line, and on the last `Short` line indented by twelve; `No DRCs to report` is 0, 0."""
+    total, short = F.regexp_extract("line", r"^Design\s*:\s*\S+\s+(\d+)", 1), F.regexp_extract("line", r"^\s{12}Short\s+(\d+)", 1)
+    last = lambda x: F.max_by(F.when(x != "", x.cast("int")), F.when(x != "", F.col("no")))
+    none = F.bool_or(F.col("line").contains("No DRCs to report"))
+    out = numbered(files).groupBy("path").agg(last(total).alias("t"), last(short).alias("s"), none.alias("none"))
+    return out.select("path", F.when(F.col("t").isNotNull(), F.col("t")).when(F.col("none"), 0).alias("total"), F.when(F.col("t").isNotNull(), F.coalesce("s", F.lit(0))).when(F.col("none"), 0).alias("shorts"))
 
 
 def next_line(files: DataFrame, header: str) -> DataFrame:
@@ -72,3 +99,11 @@ def properties(files: DataFrame) -> DataFrame:
 def wide_report(metrics: DataFrame, names: list[str]) -> DataFrame:
     """One row a step, a column for each metric; metrics: step, metric, value."""
     return metrics.groupBy("step").pivot("metric", names).agg(F.first("value"))
+
+
+def stage_summary(files: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+    """One row for each step with a column for each metric: the first match of its pattern in the step's reports (path .../<step>/<report>)."""
+    step = F.element_at(F.split("path", "/"), -2)
+    found = F.coalesce
+    one = files.select(step.alias("step"), "path", *[F.nullif(F.regexp_extract("text", p, 1), F.lit("")).alias(m) for m, p in patterns])
+    return one.groupBy("step").agg(*[F.min_by(F.col(m), F.when(found(F.col(m), F.lit("")) != "", F.col("path"))).alias(m) for m, _ in patterns])
