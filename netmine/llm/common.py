@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
 
+from netmine.session import cut, delete, saved, shared_folder, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["cut", "delete", "pieces", "saved", "shared_folder", "table"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster shares.
-
-    The folder is `spark.checkpoint.dir`; only where the session has none
-    (tests on one machine) a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="netmine-checkpoint-"))
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver drop what nothing refers to any more, so that executors delete old shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Parts of few rows, so that a worker holds little besides the batch itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()

@@ -17,11 +17,12 @@ null doc_id is a key like any other; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from re import _parser as sre  # the standard library's parser of regular expressions
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netmine.llm import patterns
+
 
 @dataclass(frozen=True)
 class SecretRule:
@@ -55,38 +56,31 @@ def _lower(code: int) -> str:
 
 def _strings(node) -> set[str] | None:
     """All lower-cased strings of a parsed node, None if they are too many."""
-    op, arg = node
-    name = str(op)
-    if name == "LITERAL":
-        return {_lower(arg)}
-    if name == "IN":
-        chars: set[str] = set()
-        for kind, x in arg:
-            if str(kind) == "LITERAL":
-                chars.add(_lower(x))
-            elif str(kind) == "RANGE" and x[1] - x[0] < 64:
-                chars |= {_lower(c) for c in range(x[0], x[1] + 1)}
-            else:
-                return None
-        return chars if len(chars) <= _MOST_STRINGS else None
-    if name == "SUBPATTERN":
-        return _sequence_strings(arg[-1])
-    if name == "BRANCH":
-        parts = [_sequence_strings(x) for x in arg[1]]
+    name = node[0]
+    if name == "literal":
+        return {_lower(node[1])}
+    if name == "set":
+        chars = None if node[1] is None else {_lower(c) for c in node[1]}
+        return chars if chars is not None and len(chars) <= _MOST_STRINGS else None
+    if name == "group":
+        return _sequence_strings(node[1])
+    if name == "either":
+        parts = [_sequence_strings(x) for x in node[1]]
         joined = set().union(*parts) if None not in parts else None
         return joined if joined is not None and len(joined) <= _MOST_STRINGS else None
-    if name == "MAX_REPEAT" and arg[1] != sre.MAXREPEAT and arg[1] <= 4:
-        inner = _sequence_strings(arg[2])
+    if name == "repeat":
+        least, most, nodes = node[1]
+        inner = _sequence_strings(nodes) if most is not None and most <= 4 else None
         if inner is None:
             return None
         out: set[str] = set()
         power = {""}
-        for n in range(arg[1] + 1):
-            if n >= arg[0]:
+        for n in range(most + 1):
+            if n >= least:
                 out |= power
             power = {a + b for a in power for b in inner}
         return out if len(out) <= _MOST_STRINGS else None
-    return {""} if name == "AT" else None
+    return {""}
 
 
 def _sequence_strings(nodes) -> set[str] | None:
@@ -110,7 +104,7 @@ def _query(nodes) -> list[frozenset[str]]:
         run = {""}
 
     for node in nodes:
-        name, arg = str(node[0]), node[1]
+        name = node[0]
         more = _strings(node)
         if more is not None and len(run) * len(more) <= _MOST_STRINGS:
             run = {a + b for a in run for b in more}
@@ -118,12 +112,12 @@ def _query(nodes) -> list[frozenset[str]]:
         flush()
         if more is not None:
             run = more
-        elif name == "SUBPATTERN":
-            clauses.append(_query(arg[-1]))
-        elif name == "BRANCH":
-            clauses.append(_simplified([c for x in arg[1] for c in _query(x)]))
-        elif name == "MAX_REPEAT" and arg[0] >= 1:
-            clauses.append(_query(arg[2]))
+        elif name == "group":
+            clauses.append(_query(node[1]))
+        elif name == "either":
+            clauses.append(_simplified([c for x in node[1] for c in _query(x)]))
+        elif name == "repeat" and node[1][0] >= 1:
+            clauses.append(_query(node[1][2]))
     flush()
     out = [frozenset()]
     for clause in clauses:
@@ -144,35 +138,35 @@ def _simplified(terms: list[frozenset[str]]) -> list[frozenset[str]]:
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """The rule's query, None if it has no mandatory trigrams."""
-    query = _query(sre.parse(pattern))
+    query = _query(patterns.parse(pattern))
     return None if frozenset() in query else query
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index for these trigrams: trigram, doc_id, one row each."""
+    """The inverted index for these trigrams: trigram and the document's key, one row each."""
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))  # may fold more than A-Z, which only adds candidates
-    found = docs.select("doc_id", low.alias("__low")).select(
-        "doc_id", F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(t)), F.lit(t)) for t in trigrams])).alias("__found")
+    found = docs.select("__key", low.alias("__low")).select(
+        "__key", F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(t)), F.lit(t)) for t in trigrams])).alias("__found")
     )
-    return found.select(F.explode("__found").alias("trigram"), "doc_id")
+    return found.select(F.explode("__found").alias("trigram"), "__key")
 
 
 def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """doc_id and the kinds whose trigram query the document meets."""
+    """Keys and the kinds whose trigram query the documents of that key meet; a key that two share only adds candidates."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     terms = [(k, i, t, len(c)) for k, q in queries.items() for i, c in enumerate(q) for t in sorted(c)]
     trigrams = sorted({t for _, _, t, _ in terms})
     if not trigrams:
-        return docs.select("doc_id").where("false").withColumn("__kinds", F.array().cast("array<string>"))
+        return docs.select("__key").where("false").withColumn("__kinds", F.array().cast("array<string>"))
     asked = F.explode(
         F.element_at(
             F.create_map(*[x for t in trigrams for x in (F.lit(t), F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("conj"), F.lit(n).alias("need")) for k, i, u, n in terms if u == t]))]),
             F.col("trigram"),
         )
     )
-    hits = postings(docs, trigrams).distinct().select("doc_id", asked.alias("q")).select("doc_id", "q.*")
-    met = hits.groupBy("doc_id", "kind", "conj", "need").count().where("`count` = need")
-    return met.groupBy("doc_id").agg(F.collect_set("kind").alias("__kinds"))
+    hits = postings(docs, trigrams).distinct().select("__key", asked.alias("q")).select("__key", "q.*")
+    met = hits.groupBy("__key", "kind", "conj", "need").count().where("`count` = need")
+    return met.groupBy("__key").agg(F.collect_set("kind").alias("__kinds"))
 
 
 def _spans(rule: SecretRule, rank: int) -> F.Column:
@@ -193,15 +187,17 @@ def _spans(rule: SecretRule, rank: int) -> F.Column:
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, and an array of spans (start, rank, end) in the order of start and kind; rank counts the rules."""
-    chosen = candidates(docs, rules)
+    # documents are known by a hash of id and text, so that rows without an id, or with the same, don't meet in one task
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.col("text").cast("string")))
+    chosen = candidates(keyed, rules)
     none = "cast(array() AS array<struct<start: int, rank: int, end: int>>)"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.select(F.col("doc_id"), text.alias("__t")).alias("d").join(chosen.alias("c"), F.expr("d.doc_id <=> c.doc_id"), "left")
+    joined = keyed.select("__key", F.col("doc_id"), text.alias("__t")).join(chosen, "__key", "left")
     found = [
         F.when(F.array_contains("__kinds", r.kind) if trigram_query(r.pattern) is not None else F.lit(True), _spans(r, i)).otherwise(F.expr(none))
         for i, r in enumerate(rules)
     ]
-    return joined.select(F.col("d.doc_id").alias("doc_id"), F.array_sort(F.concat(*found)).alias("found"))
+    return joined.select("doc_id", F.array_sort(F.concat(*found)).alias("found"))
 
 
 def _text(spans: str, rules) -> str:
