@@ -1,8 +1,8 @@
 """URL filters over a sorted digest array.
 
-The rules' strings (host + path) become sorted 64-bit xxhash keys in one flat
-layout that can be mapped from a file or from anonymous memory: header, keys,
-rule numbers, string offsets, strings.  A url asks for every (host suffix, path
+The rules' strings (host + path) become sorted 64-bit xxhash keys in one flat file:
+header, path lengths, keys, string offsets, strings.  Spark gives every executor the
+file once, and its tasks map it, so they share its pages.  A url asks for every (host suffix, path
 prefix length that some rule has); all keys of a batch are probed with one
 vectorised binary search, and a hit counts only if the stored string is equal.
 
@@ -20,14 +20,18 @@ from __future__ import annotations
 
 import mmap
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netmine.llm.common import saved, shared_folder
+
 MAX_INDEX_BYTES = 64 << 20
 DEFAULT_VERDICT = "allow"
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -81,11 +85,10 @@ class DigestArray:
         self.buffer, self.base = buffer, 16 + 8 * (m + 2 * n + 1)
 
     @classmethod
-    def mapped(cls, data: bytes) -> DigestArray:
-        """An anonymous mapping: nothing is written to an executor's disk."""
-        area = mmap.mmap(-1, max(1, len(data)))
-        area.write(data)
-        return cls(area)
+    def mapped(cls, path: str) -> DigestArray:
+        """The file mapped for reading; all tasks of an executor share its pages."""
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def entry(self, i: int) -> tuple[str, str, str]:
         a, b = self.base + int(self.offsets[i]), self.base + int(self.offsets[i + 1])
@@ -124,16 +127,32 @@ class DigestArray:
 OUT = "page_id long, host string, path string, rule string, verdict string"
 
 
+def send_file(spark: SparkSession, data: bytes) -> str:
+    """Put bytes into the folder that the cluster shares and let Spark give every executor its file of them; the file's name."""
+    name = f"index-{xxhash.xxh3_128_hexdigest(data)}"
+    jvm, path = spark.sparkContext._jvm, f"{shared_folder(spark)}/{name}"
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+        stream = files.create(part)
+        stream.write(bytearray(data))
+        stream.close()
+        files.rename(part, at)
+    spark.sparkContext.addFile(files.makeQualified(at).toString())
+    return name
+
+
 def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """page_id, host, path, rule (null if none fits), verdict of every row of `pages`."""
     data = build_index(rules)
     if len(data) > max_index_bytes:
         return _judge_by_join(spark, pages, rules)
-    shared = spark.sparkContext.broadcast(data)
+    name = send_file(spark, data)
     schema = pa.schema([("page_id", pa.int64())] + [(n, pa.string()) for n in ("host", "path", "rule", "verdict")])
 
     def run(batches):
-        index = DigestArray.mapped(shared.value)
+        index = DigestArray.mapped(SparkFiles.get(name))
         for batch in batches:
             pairs = [split_url(u) for u in batch.column("url").to_pylist()]
             hosts, paths = [p[0] for p in pairs], [p[1] for p in pairs]
@@ -165,9 +184,7 @@ def _judge_by_join(spark: SparkSession, pages: DataFrame, rules: list[Rule]) ->
         F.when(has, F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise("").alias("host"),
         F.when(has, F.regexp_extract(tail, r"(?s)^([^?#]*)", 1)).otherwise("").alias("path"),
     )
-    from netmine.llm.common import cut
-
-    base = cut(base.fillna("", ["host", "path"]))  # row numbers must not change when a task is run again
+    base = saved(base.fillna("", ["host", "path"]))  # row numbers must not change when a task is run again
     asked = (
         base.where("host <> ''")
         .select("rid", "path", F.explode(F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")).alias("r_host"))
