@@ -7,12 +7,15 @@ nearby).  The learner follows the regularised leader, one update for each
 document, in one streaming task over a bounded, documented sample of the
 labelled rows (TRAIN_ROWS, chosen by a hash of the id; EPOCHS passes in another
 order each).  Only the weights, 2**BITS floats, travel: to the driver and back as
-a broadcast.  A score is the sparse dot product through the logistic function.
+a broadcast.  A score is the sparse dot product through the logistic function; as
+label 0 counts REJECTED_WEIGHT times, it ranks documents by how likely label 1 is
+but lies below the share of label 1 among documents of that score.
 
 Labels, lang, source and doc_id are never inputs.  Held out: crc32(doc_id as
 text) % 4 == 2; labels of such rows are not read.  Defined cases: null and empty
 texts get the score of the bias alone; labels with null quality are left out;
-several labels of one doc_id: it is used once if they agree, else not; without
+several labels of one doc_id: it is used once if they agree, else not, with one of
+its texts if there are several; without
 any label every score is 0.5; repeated rows are scored alike; an empty table
 gives no rows; other columns are ignored (`scores`) or kept (`keep_good`).
 """
@@ -29,6 +32,8 @@ BITS = 18
 TRAIN_ROWS = 12_000
 EPOCHS = 3
 THRESHOLD = 0.7
+#: A document of label 0 counts so often in training: what is rejected wrongly costs less than what is let through.
+REJECTED_WEIGHT = 3.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 NEARBY = 32
 
@@ -110,7 +115,7 @@ def held_out(column: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """At most `most` labelled texts that are not held out: text, label, order."""
+    """At most `most` labelled rows that are not held out: doc_id, label, text; of rows that share a doc_id the text of least hash."""
     own = (
         labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~F.coalesce(held_out(), F.lit(False)))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"), F.max("quality").alias("__most"))
@@ -119,7 +124,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     )
     # the sample's size is bounded, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(own), "doc_id")
+    joined = texts.join(F.broadcast(own), "doc_id")
+    return joined.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, epochs: int = EPOCHS) -> np.ndarray:
@@ -140,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, epochs: in
         model = FTRL()
         for batch in batches:
             for label, slots, values in zip(batch.column("label").to_pylist(), batch.column("slots"), batch.column("vals")):
-                model.update(slots.values.to_numpy(), values.values.to_numpy().astype(float), int(label > 0), 1.0 if label else 3.0)
+                model.update(slots.values.to_numpy(), values.values.to_numpy().astype(float), int(label > 0), 1.0 if label else REJECTED_WEIGHT)
         w = model.weights(np.arange(len(model.z))).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["weights"])
 
