@@ -246,7 +246,7 @@ def weights_of(found: list[Block]) -> np.ndarray:
         inner = np.array([b.around.aside_in or any(h not in wrappers for h in b.around.hints_in) for b in found], bool)
         return inner, np.array([b.around.aside_out or any(h not in wrappers for h in b.around.hints_out) for b in found], bool)
 
-    off_in, off_out = off(())
+    strict = off_in, off_out = off(())
     main = in_main & ~off_in & ~off_out
     if not main.any():
         own: Counter[int] = Counter()
@@ -259,9 +259,8 @@ def weights_of(found: list[Block]) -> np.ndarray:
         main = in_main & ~off_in & ~off_out
         if not main.any() and not plain[~off_in & ~off_out].any():
             main = in_main & ~off_in
-    if main.any():
-        plain = np.where(main, length + SURGE, plain // OUTSIDE)
-        off_out &= ~main
+    if main.any():  # a wrapper is one for its article only
+        return np.where(main, length + SURGE, np.where(strict[0] | strict[1], -1, plain // OUTSIDE))
     return np.where(off_in | off_out, -1, plain)
 
 
