@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netmine.llm.common import pieces
+
 # Symbols.  WS: white space followed by white space or the end; SP: a space, and
 # ODD: other white space, followed by something else; Q1, Q2: an apostrophe
 # followed by a contraction's one or two letters; END: between texts.
@@ -385,7 +387,14 @@ def load_ranks(path: str) -> bytes:
         return f.read()
 
 
-def batches_of(texts: list[str], most: int = 1 << 21):
+def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> bytes:
+    """One of the installed public vocabularies."""
+    import public_tokenizers
+
+    return load_ranks(public_tokenizers.path(name))
+
+
+def batches_of(texts: list[str], most: int = 1 << 19):
     """Runs of texts with about `most` code points each; a longer text stands alone."""
     group, held = [], 0
     for t in texts:
@@ -399,19 +408,18 @@ def batches_of(texts: list[str], most: int = 1 << 21):
 
 
 def mapped(spark: SparkSession, df: DataFrame, ranks: bytes, columns: list[str], row, schema: pa.Schema, ddl: str) -> DataFrame:
-    """`columns` of every row beside what `row(encoder, text, ids, starts, counts)` gives for its text."""
+    """`columns` of every row beside what `row(encoder, text, ids, starts, counts)` gives for its text, of the types of `schema`."""
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(batches):
         encoder = Encoder.from_bytes(shared.value)
-        for batch in batches:
+        for batch in pieces(batches, 1024):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = [row(encoder, t, *e) for g in batches_of(texts) for t, e in zip(g, encoder.encode_batch(g))]
             made = list(zip(*found))
             if found:
-                kept = [batch.column(c).cast(schema.field(c).type) for c in columns]
                 yield pa.RecordBatch.from_arrays(
-                    kept + [pa.array(c, type=f.type) for c, f in zip(made, list(schema)[len(columns) :])], schema=schema
+                    [batch.column(c) for c in columns] + [pa.array(c, type=f.type) for c, f in zip(made, schema)], names=[*columns, *schema.names]
                 )
 
     return df.mapInArrow(run, ddl)
@@ -419,7 +427,7 @@ def mapped(spark: SparkSession, df: DataFrame, ranks: bytes, columns: list[str],
 
 def encode(spark: SparkSession, docs: DataFrame, ranks: bytes) -> DataFrame:
     """doc_id, ids, piece_starts (code points), piece_sizes (ids in each piece)."""
-    schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.list_(pa.int32())) for n in ("ids", "piece_starts", "piece_sizes")])
+    schema = pa.schema([(n, pa.list_(pa.int32())) for n in ("ids", "piece_starts", "piece_sizes")])
     return mapped(
         spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ranks, ["doc_id"],
         lambda encoder, text, ids, starts, counts: (ids, starts, counts), schema,
@@ -446,10 +454,7 @@ def digests(spark: SparkSession, docs: DataFrame, ranks: bytes, columns: list[st
     """`columns` (doc_id by default), n_tokens, ids_sha256, decoded_sha256; ids are decoded again, text by text."""
     columns = columns or ["doc_id"]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-    schema = pa.schema(
-        [(c, arrow[kinds[c]]) for c in columns] + [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    )
+    schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def row(encoder, text, ids, starts, counts):

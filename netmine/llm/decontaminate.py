@@ -15,8 +15,10 @@ equal texts are all reported; repeated rows are judged alike; null item_ids are
 not reported but their windows count as hits; empty tables give no rows or no
 hits; other columns are kept by `clean` and ignored by `find`.
 
-The benchmark goes to the executors in parts of at most PART_WORDS words, so its
-broadcast has a bound whatever its size; every document meets every part.
+The benchmark goes to the executors in parts of at most PART_WORDS words, one after
+another, so its broadcast has a bound whatever its size: documents that have met a
+part are written with the words hit and items found so far before the next is sent.
+An item longer than a part is cut with as much overlap as a window needs.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netmine.llm.common import pieces, saved
+
 WINDOW = 10
 PART_WORDS = 2_000_000
 SHARD_WORDS = 1 << 20
@@ -205,18 +209,19 @@ def find_in_shard(windows: Windows, docs: list[list[bytes]]) -> tuple[list[np.nd
     return [hit[a : a + n] for a, n in zip(first, sizes)], found
 
 
-def _parts(spark: SparkSession, benchmark: DataFrame) -> list:
-    """The benchmark as broadcast windows, a bounded part at a time."""
-    out, part, held = [], [], 0
+def _parts(benchmark: DataFrame):
+    """The benchmark's windows, a bounded part at a time."""
+    part, held = [], 0
     for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
         words = words_of(row.text)
-        if part and held + len(words) > PART_WORDS:
-            out.append(spark.sparkContext.broadcast(Windows(part)))
-            part, held = [], 0
-        part.append((row.item_id, words))
-        held += len(words)
-    out.append(spark.sparkContext.broadcast(Windows(part)))
-    return out
+        for at in range(0, max(1, len(words) - WINDOW + 1), PART_WORDS):
+            piece = words[at : at + PART_WORDS + WINDOW - 1]
+            if part and held + len(piece) > PART_WORDS:
+                yield Windows(part)
+                part, held = [], 0
+            part.append((row.item_id, piece))
+            held += len(piece)
+    yield Windows(part)
 
 
 def _shards(texts: list[str | None]):
@@ -232,16 +237,45 @@ def _shards(texts: list[str | None]):
         yield first, docs
 
 
-def _search(parts, texts):
-    """For each text: number of words, hit flags, items."""
-    for first, docs in _shards(texts):
-        hits, items = find_in_shard(parts[0].value, docs)
-        for p in parts[1:]:
-            more, names = find_in_shard(p.value, docs)
-            hits = [a | b for a, b in zip(hits, more)]
-            items = [a | b for a, b in zip(items, names)]
-        for k in range(len(docs)):
-            yield first + k, hits[k], items[k]
+def _met(windows, at: int, first: bool, finish):
+    """Rows with the words hit (bits) and items found, joined to those of earlier parts, and then what `finish` makes of them."""
+    def run(batches):
+        for batch in pieces(batches, 1024):
+            texts = batch.column(at).to_pylist()
+            own = batch.columns if first else batch.columns[:-2]
+            before = None if first else [batch.column(len(own) + k).to_pylist() for k in (0, 1)]
+            hits, items = [], []
+            for start, docs in _shards(texts):
+                for k, (hit, found) in enumerate(zip(*find_in_shard(windows.value, docs))):
+                    names = {str(x) for x in found if x is not None}
+                    if before:
+                        hit = hit | np.unpackbits(np.frombuffer(before[0][start + k], np.uint8), count=len(hit)).astype(bool)
+                        names |= set(before[1][start + k])
+                    hits.append(hit)
+                    items.append(sorted(names))
+            if texts:
+                yield finish(own, texts, hits, items)
+
+    return run
+
+
+def _kept(own, texts, hits, items):
+    """For the parts that follow: the columns, the bits and the items."""
+    columns = [*own, pa.array([np.packbits(h).tobytes() for h in hits], pa.binary()), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(own))] + ["hit", "items"])
+
+
+def marked(spark: SparkSession, rows: DataFrame, at: int, benchmark: DataFrame, finish, ddl: str) -> DataFrame:
+    """What `finish` (with schema `ddl`) makes of rows c0, c1, ..., the words hit in the text at column `at`, and the items found, over all parts."""
+    between = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", hit binary, items array<string>"
+    parts = _parts(benchmark)
+    now, after, first = next(parts), next(parts, None), True
+    while after is not None:
+        shared = spark.sparkContext.broadcast(now)
+        rows = saved(rows.mapInArrow(_met(shared, at, first, _kept), between))
+        shared.destroy()
+        now, after, first = after, next(parts, None), False
+    return rows.mapInArrow(_met(spark.sparkContext.broadcast(now), at, first, finish), ddl)
 
 
 def removal_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -262,46 +296,38 @@ FOUND = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 strin
 
 def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document, with the merged removal spans."""
-    parts = _parts(spark, benchmark)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", span)]
     )
 
-    def run(batches):
-        for batch in batches:
-            texts, rows = batch.column("text").to_pylist(), []
-            for i, hit, items in _search(parts, texts):
-                names = sorted(str(x) for x in items if x is not None)
-                n = int(hit.sum())
-                rows.append((len(hit), n, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n > 0,
-                             [{"start": a, "end": b} for a, b in removal_spans(texts[i], hit)] if n else []))
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array(c, type=f.type) for c, f in zip(zip(*rows), list(schema)[1:])], schema=schema)
+    def finish(own, texts, hits, items):
+        rows = []
+        for text, hit, names in zip(texts, hits, items):
+            n = int(hit.sum())
+            rows.append((len(hit), n, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n > 0,
+                         [{"start": a, "end": b} for a, b in removal_spans(text, hit)] if n else []))
+        return pa.RecordBatch.from_arrays([own[0]] + [pa.array(c, type=f.type) for c, f in zip(zip(*rows), list(schema)[1:])], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+    texts = docs.select(F.col("doc_id").cast("long").alias("c0"), F.col("text").cast("string").alias("c1"))
+    return marked(spark, texts, 1, benchmark, finish, FOUND)
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with all benchmark spans cut out of their texts; other columns stay, a null text stays null."""
-    parts = _parts(spark, benchmark)
     at = docs.columns.index("text")
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, hit, _ in _search(parts, texts):
-                if hit.any():
-                    pieces, last = [], 0
-                    for a, b in removal_spans(texts[i], hit):
-                        pieces.append(texts[i][last:a])
-                        last = b
-                    texts[i] = "".join(pieces) + texts[i][last:]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names=[f"c{k}" for k in range(len(batch.columns))]
-            )
+    def finish(own, texts, hits, items):
+        for i, hit in enumerate(hits):
+            if hit.any():
+                kept, last = [], 0
+                for start, end in removal_spans(texts[i], hit):
+                    kept.append(texts[i][last:start])
+                    last = end
+                texts[i] = "".join(kept) + texts[i][last:]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(own)], names=[f"c{k}" for k in range(len(own))])
 
     # numbered names: extra columns may clash
-    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
     kinds = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(numbered.schema))
-    return numbered.mapInArrow(run, kinds).toDF(*docs.columns)
+    return marked(spark, numbered, at, benchmark, finish, kinds).toDF(*docs.columns)

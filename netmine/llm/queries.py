@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from netmine.llm import (
     bpe, chat_format, decontaminate, html_extract, line_dedup, near_dedup, quality_model, quality_rules, secret_scan, url_filter,
 )
 from netmine.llm.common import table
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
-
 URL_RULES = [
     url_filter.Rule("com", "/", "allow"),
     url_filter.Rule("example.com", "/en/", "block"),
@@ -21,12 +20,6 @@ URL_RULES = [
 ]
 
 
-def vocabulary(name: str = VOCABULARY) -> bytes:
-    import public_tokenizers
-
-    return bpe.load_ranks(public_tokenizers.path(name))
-
-
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -72,12 +65,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bpe.digests(spark, docs, vocabulary())
+    return bpe.digests(spark, docs, bpe.public_vocabulary())
 
 
 def queries():
-    import corpus_pipeline
-
     return {
         "pipeline": corpus_pipeline.run,
         "op1_chat_format": op1_chat_format,
