@@ -169,3 +169,14 @@ def totals(counts: DataFrame) -> DataFrame:
 def top(counts: DataFrame, k: int) -> DataFrame:
     """The k most frequent patterns, ties by key."""
     return counts.select("p_key", "cnt").orderBy(F.col("cnt").desc(), "p_key").limit(k)
+
+
+def select_candidates(keyed: DataFrame, labels: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """The most frequent key that a library cell has, and up to `most` others that its clusters overlap with: kind, p_key, label, cnt."""
+    anchor = frequency(keyed).join(labels, "p_key").orderBy(F.col("cnt").desc(), "p_key").limit(1)
+    key = keyed.select("cluster", "p_key")
+    own = key.join(anchor.select("p_key"), "p_key", "left_semi").select(F.col("cluster").alias("a"))
+    near = both_ways(pairs).join(own, "a", "left_semi").select(F.col("b").alias("cluster")).distinct()
+    found = near.join(key, "cluster").join(anchor.select("p_key"), "p_key", "left_anti").groupBy("p_key").agg(F.count("*").alias("cnt")).join(labels, "p_key")
+    best = found.orderBy(F.col("cnt").desc(), "p_key").limit(most)
+    return anchor.select(F.lit("anchor").alias("kind"), "p_key", "label", "cnt").union(best.select(F.lit("overlap"), "p_key", "label", "cnt"))

@@ -38,8 +38,10 @@ def z_score(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def role(in_a: Column, in_b: Column) -> list[Column]:
+    """Three columns of which one is 1; a cell on neither side raises."""
+    lost = F.raise_error(F.lit("a cell of neither library")).cast("int")
     return [
-        (in_a & ~in_b).cast("int").alias("only_a"), (in_a & in_b).cast("int").alias("both"), (~in_a & in_b).cast("int").alias("only_b")
+        F.when(in_a | in_b, (in_a & ~in_b).cast("int")).otherwise(lost).alias("only_a"), (in_a & in_b).cast("int").alias("both"), (~in_a & in_b).cast("int").alias("only_b")
     ]
 
 

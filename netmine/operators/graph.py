@@ -168,3 +168,21 @@ def evaluate(found: DataFrame, gates: DataFrame) -> DataFrame:
     value = f"aggregate(sequence(0, length(g.tt) - 1), 0L, (v, r) -> if(substring(g.tt, r + 1, 1) = '1', v | {term}, v))"
     out = packed.withColumn("out", F.expr(f"element_at(aggregate(gates, start, (m, g) -> map_concat(m, map(g.id, {value}))), root)"))
     return out.select("root", "cells", F.col("inputs"), F.expr("lpad(bin(out), cast(shiftleft(1, n) AS int), '0')").alias("tt"))
+
+
+def attributes(found: DataFrame, edges: DataFrame, areas: DataFrame) -> DataFrame:
+    """Clusters (root, cells, depth) with area, internal nets (driver and all loads inside), and drivers outside and cells seen from outside.
+
+    A cell's net is seen from outside if it is the root, has a load outside or none at all.
+    """
+    rows = found.select("root", "cells", "depth", F.explode("cells").alias("id"))
+    own = rows.join(areas.select("id", "area"), "id").groupBy("root", "cells", "depth").agg(F.sum("area").alias("area"))
+    into = edges.select("driver", F.col("load").alias("id")).distinct()
+    inputs = rows.join(into, "id").where(~F.array_contains("cells", F.col("driver"))).groupBy("root", "cells").agg(F.countDistinct("driver").alias("boundary_inputs"))
+    out = edges.select(F.col("driver").alias("id"), "load").distinct()
+    loads = rows.join(out, "id", "left").groupBy("root", "cells", "id").agg(
+        F.count("load").alias("n"), F.count(F.when(F.array_contains("cells", F.col("load")), 1)).alias("inside")
+    )
+    seen = (F.col("id") == F.col("root")) | (F.col("n") == 0) | (F.col("inside") < F.col("n"))
+    nets = loads.groupBy("root", "cells").agg(F.count(F.when(seen, 1)).alias("boundary_outputs"), F.count(F.when((F.col("n") > 0) & (F.col("inside") == F.col("n")), 1)).alias("internal_nets"))
+    return own.join(nets, ["root", "cells"]).join(inputs, ["root", "cells"], "left").select("*")

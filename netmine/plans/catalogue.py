@@ -343,14 +343,8 @@ x AS (SELECT kb.p_key, count(DISTINCT b) AS n FROM bw JOIN k ka ON ka.c = a JOIN
 SELECT 'anchor' AS kind, p_key, label, (SELECT count(*) FROM k WHERE k.p_key = anchor.p_key) AS cnt FROM anchor JOIN lab USING (p_key)
 UNION ALL SELECT 'overlap', p_key, label, n FROM (SELECT * FROM x ORDER BY n DESC, p_key LIMIT 2) JOIN lab USING (p_key)""")
 def q_select_candidates(spark, sf_dir):
-    k, labels = keyed(spark, sf_dir), library(spark, sf_dir).groupBy("p_key").agg(F.min_by("name", F.struct("area", "name")).alias("label"))
-    anchor = clusters.frequency(k).join(labels, "p_key").orderBy(F.col("cnt").desc(), "p_key").limit(1)
-    key = k.select("cluster", "p_key")
-    own = key.join(anchor.select("p_key"), "p_key", "left_semi").select(F.col("cluster").alias("a"))
-    near = clusters.both_ways(clusters.overlap_pairs(members(spark, sf_dir))).join(own, "a", "left_semi").select(F.col("b").alias("cluster")).distinct()
-    found = near.join(key, "cluster").join(anchor.select("p_key"), "p_key", "left_anti").groupBy("p_key").agg(F.count("*").alias("cnt")).join(labels, "p_key")
-    best = found.orderBy(F.col("cnt").desc(), "p_key").limit(2)
-    return anchor.select(F.lit("anchor").alias("kind"), "p_key", "label", "cnt").union(best.select(F.lit("overlap"), "p_key", "label", "cnt"))
+    labels = library(spark, sf_dir).groupBy("p_key").agg(F.min_by("name", F.struct("area", "name")).alias("label"))
+    return clusters.select_candidates(keyed(spark, sf_dir), labels, clusters.overlap_pairs(members(spark, sf_dir)), 2)
 
 
 @query(f"WITH {KEYED} SELECT count(*) AS total, count(DISTINCT p_key) AS patterns FROM k")
@@ -467,6 +461,19 @@ def q_cone_truth_table(spark, sf_dir):
     return rows.select("root", F.array_join(F.col("cells").cast("array<string>"), ",").alias("cells"), "tt")
 
 
+@query(f"""WITH {cone_sql.GRAPH}, c AS ({cone_sql.expand().split(cone_sql.GRAPH, 1)[1]}), m AS (SELECT root, cells, n_inputs, CAST(unnest(string_split(cells, ',')) AS BIGINT) AS id FROM c)
+SELECT root, m.cells, CAST(sum(p_size) AS BIGINT) AS area, CAST(count(*) - 1 AS BIGINT) AS internal_nets, CAST(any_value(n_inputs) AS BIGINT) AS boundary_inputs, CAST(1 AS BIGINT) AS boundary_outputs
+FROM m JOIN part ON p_partkey = id GROUP BY root, m.cells""")
+def q_cone_attributes(spark, sf_dir):
+    cells, _ = _graph(spark, sf_dir)
+    nets = cells.select("id", "area", F.explode(F.array(2 * F.col("id"), 2 * F.col("id") + 1)).alias("net")).join(cells.select(F.col("id").alias("net"), F.lit(True).alias("there")), "net", "left")
+    edges = saved(nets.select(F.when(F.col("there"), F.col("net")).otherwise(-F.col("net")).alias("driver"), F.col("id").alias("load"), F.lit("A").alias("term")))
+    found, _ = graph.expand(cells.withColumn("n_ports", F.lit(0)), edges, saved)
+    out = graph.attributes(found, edges, cells.select("id", "area"))
+    text = F.array_join(F.col("cells").cast("array<string>"), ",").alias("cells")
+    return out.select("root", text, *[F.col(c).cast("long").alias(c) for c in ("area", "internal_nets", "boundary_inputs", "boundary_outputs")])
+
+
 @query(cone_sql.reach())
 def q_cone_reach(spark, sf_dir):
     cells, edges = _graph(spark, sf_dir)
@@ -677,15 +684,14 @@ def q_class_size(spark, sf_dir):
     return sizes.select("np_key", "n", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 6).alias("size_norm"))
 
 
-@query("""WITH s AS (SELECT p_brand AS name, s_nationkey % 2 AS side FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 49 GROUP BY 1, 2),
-x AS (SELECT name, bool_or(side = 0) AS a, bool_or(side = 1) AS b FROM s GROUP BY 1)
-SELECT name, CAST(a AND NOT b AS INTEGER) AS only_a, CAST(a AND b AS INTEGER) AS both, CAST(b AND NOT a AS INTEGER) AS only_b FROM x""")
+@query("""WITH s AS (SELECT l_partkey AS part, s_nationkey % 7 = 0 AS side FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
+x AS (SELECT part, bool_or(side) AS a, bool_or(NOT side) AS b FROM s GROUP BY 1)
+SELECT part, CAST(a AND NOT b AS INTEGER) AS only_a, CAST(a AND b AS INTEGER) AS both, CAST(b AND NOT a AS INTEGER) AS only_b FROM x""")
 def q_role_onehot(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("name"))
-    side = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") % 2).alias("side"))
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey").join(part, "l_partkey").join(side, "l_suppkey")
-    x = rows.groupBy("name").agg(F.bool_or(F.col("side") == 0).alias("a"), F.bool_or(F.col("side") == 1).alias("b"))
-    return x.select("name", *features.role(F.col("a"), F.col("b")))
+    side = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") % 7 == 0).alias("side"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_suppkey").join(side, "l_suppkey")
+    x = rows.groupBy("part").agg(F.bool_or("side").alias("a"), F.bool_or(~F.col("side")).alias("b"))
+    return x.select("part", *features.role(F.col("a"), F.col("b")))
 
 
 @query("SELECT x.n_regionkey AS design, x.n_nationkey AS run_a, y.n_nationkey AS run_b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey <> y.n_nationkey")
