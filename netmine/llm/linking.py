@@ -1,141 +1,212 @@
 """Links between sets that share a key, without all pairs of a large group, and their components.
 
 `link` gets (key, id) rows.  A group of at most SMALL ids gives all its pairs.  A
-larger group has a few leaders, those ids that are in most large groups, and
-every id is paired with the foremost of its leaders.  That is only the order of
-work: the members of every large group that is still in several components are
-joined exactly on their full sets, by prefixes in which rare shingles come first,
-and only pairs from different components are verified.  So no link between two
-ids that share a key is lost.  No group is collected: rows are streamed in sorted
-order, and only SMALL ids, or two blocks of about BLOCK, are held.
+larger group has two leaders, its least ids, which groups of the same near copies
+mostly agree on; every id is paired with the foremost of its leaders.  That is only
+the order of work: the members of every large group that is still in
+several components are joined exactly on their full sets, by prefixes in which rare
+shingles come first, and only pairs from different components are verified.  So no
+link between two ids that share a key is lost.  No group is collected: rows are
+streamed in sorted order, and only HELD of them, or two blocks of about BLOCK, are
+held.  Keys that a sample shows to hold a large part of all rows are large groups for
+certain; their rows are dealt out by id instead of meeting in one task.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netmine.llm.common import cut, release
+from netmine.llm.common import saved
 
 SMALL = 16
-LEADERS = 3
-#: Leader pairs of an id that are verified first; what they leave apart goes to the exact join.
-PAIRS = 12
+#: Rows of one large group that are held to find its leaders; a longer one has leaders for each part.
+HELD = 200_000
 #: The exact join: links have at least this Jaccard similarity.
 PERCENT = 80
-#: Shingles are counted in so many classes; any counts give a right order, true ones give short lists.
-BUCKETS = 1 << 19
+#: Shingles are counted in so many classes (four bytes each); any counts give a right order, true ones give short lists.
+BUCKETS = 1 << 22
+#: Counts travel in so many parts.
+CHUNKS = 256
 #: A list of more members is dealt out as pairs of blocks of about so many.
 BLOCK = 256
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Edges (16 bytes each) that one task may hold while components are made; more are dealt out.
 ONE_TASK = 500_000
+#: Share of the rows that is sampled to find keys of large groups, and the least number of them in the sample.
+SAMPLED, HEAVY = 0.01, 64
+#: A heavy key has at least one in so many of the sampled rows, which bounds the number of heavy keys.
+ONE_IN = 4000
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to any more, so that executors delete old shuffle files."""
+    for _ in range(2):  # what Python drops reaches the JVM a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _split(batches):
-    """Sorted (key, id) rows to pairs (key null) and to the rows of large groups (b null)."""
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    keys, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hot = None  # key of a large group whose first rows are already out
 
-    def emit(keys, ids, large):
-        left, right = [], []
+class _Groups:
+    """Batches of what _split finds: pairs (a, b), their family null, and members of large groups: family, id and two leaders."""
+
+    schema = pa.schema([("family", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
+
+    def pairs(self, keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((ids, keys))
+        k, i = keys[order], ids[order]
+        fresh = np.append(True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])) if len(k) else np.zeros(0, bool)
+        k, i = k[fresh], i[fresh]
+        left, right = [_NONE], [_NONE]
         for d in range(1, SMALL):
-            if len(keys) <= d:
+            at = np.flatnonzero(k[d:] == k[:-d])
+            if not len(at):
                 break
-            at = np.flatnonzero((keys[d:] == keys[:-d]) & ~large[d:])
-            left.append(ids[at])
-            right.append(ids[at + d])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        n, h = len(a), np.flatnonzero(large)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.append(np.zeros(n, np.int64), keys[h]), mask=np.append(np.ones(n, bool), np.zeros(len(h), bool))),
-                pa.array(np.append(a, ids[h])),
-                pa.array(np.append(b, np.zeros(len(h), np.int64)), mask=np.append(np.zeros(n, bool), np.ones(len(h), bool))),
-            ],
-            schema=schema,
-        )
-
-    def sizes(keys):
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return starts, np.diff(np.append(starts, len(keys)))
+            left.append(i[at])
+            right.append(i[at + d])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=self.schema)
+
+    def large(self, keys: np.ndarray, ids: np.ndarray, before: np.ndarray = None) -> tuple[pa.RecordBatch, np.ndarray]:
+        """Members of whole groups, or of a part of one whose earlier leaders are `before`; and the leaders of the last group.
+
+        The family of a whole group is its first leader, so groups of the same near copies are mostly one family; that
+        of a group in parts is its key.
+        """
+        parted = before is not None
+        if parted and len(before):
+            keys, ids = np.append(np.full(len(before), keys[0]), keys), np.append(before, ids)
+        at = np.lexsort((ids, keys))
+        keys, ids = keys[at], ids[at]
+        new = np.append(True, keys[1:] != keys[:-1])
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        first = ids[starts]
+        # the second leader: the next that differs from the first, itself if there is none
+        most = np.iinfo(np.int64).max
+        second = np.minimum.reduceat(np.where(ids != first[group], ids, most), starts)
+        second = np.where(second == most, first, second)
+        family = keys if parted else first[group]
+        out = pa.RecordBatch.from_arrays([pa.array(family), pa.array(ids), pa.array(first[group]), pa.array(second[group])], schema=self.schema)
+        return out, np.unique([first[-1], second[-1]])
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+def _split(heavy: np.ndarray):
+    """Rows (key, id) sorted by key to pairs and rows of large groups; heavy keys are large for certain."""
+    def run(batches):
+        out = _Groups()
+        keys, ids, before, open_key = _NONE, _NONE, _NONE, None  # open_key: of a large group of which a part is out, before: its leaders
+
+        def emit(keys, ids, large, before):
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else _NONE
+            size = np.diff(np.append(starts, len(keys)))
+            few = np.repeat(size > 1, size) & ~large  # a key of one row meets nothing
+            if few.any():
+                yield out.pairs(keys[few], ids[few])
+            if large.any():
+                k, i = keys[large], ids[large]
+                if len(before):  # the first group goes on
+                    own = k == k[0]
+                    batch, _ = out.large(k[own], i[own], before)
+                    yield batch
+                    k, i = k[~own], i[~own]
+                if len(k):
+                    batch, _ = out.large(k, i)
+                    yield batch
 
-    for batch in batches:
-        keys = np.concatenate([keys, batch.column("key").to_numpy()])
-        ids = np.concatenate([ids, batch.column("id").to_numpy()])
-        fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])) if len(keys) else np.zeros(0, bool)
-        keys, ids = keys[fresh], ids[fresh]
-        if not len(keys):
-            continue
-        starts, size = sizes(keys)
-        last = starts[-1]
-        large = np.repeat((size > SMALL) | ((keys[starts] == hot) if hot is not None else False), size)
-        if large[last]:
-            # a large group may go on: its rows go out now, all but the newest, kept to drop repeats
-            yield emit(keys[:-1], ids[:-1], large[:-1])
-            hot, keys, ids = keys[-1], keys[-1:], ids[-1:]
-        else:
-            yield emit(keys[:last], ids[:last], large[:last])
-            keys, ids = keys[last:], ids[last:]
-    if len(keys):
-        starts, size = sizes(keys)
-        yield emit(keys, ids, np.repeat((size > SMALL) | ((keys[starts] == hot) if hot is not None else False), size))
-
-
-def grouped(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) of the small groups, and (key, id) of the large ones."""
-    rows = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_split, "key long, a long, b long")
-    rows = cut(rows)
-    return rows.where("b IS NOT NULL").select("a", "b").distinct(), rows.where("b IS NULL").select("key", F.col("a").alias("id"))
-
-
-def led(large: DataFrame) -> DataFrame:
-    """(key, leader, score, id): the members of large groups with each leader of their group.
-
-    An id's score is the number of large groups it is in, so groups of the same
-    near copies mostly agree on their leaders.
-    """
-    scored = large.join(large.groupBy("id").agg(F.count("*").alias("score")), "id")
-    rank = F.struct("score", "id")
-    part = F.pmod(F.xxhash64("id"), F.lit(LEADERS))
-    leaders = scored.groupBy("key").agg(F.array_compact(F.array(*[F.max(F.when(part == i, rank)) for i in range(LEADERS)])).alias("l"))
-    leaders = leaders.select("key", F.explode("l").alias("l")).select("key", F.col("l.id").alias("leader"), "l.score")
-    return large.join(leaders, "key").where("leader <> id")
+        for batch in batches:
+            k, i = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+            if len(heavy):
+                known = np.isin(k, heavy)
+                if known.any():
+                    found, _ = out.large(k[known], i[known], _NONE)  # a part of each
+                    yield found
+                    k, i = k[~known], i[~known]
+            keys, ids = np.concatenate([keys, k]), np.concatenate([ids, i])
+            if not len(keys):
+                continue
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            size = np.diff(np.append(starts, len(keys)))
+            groups = size > SMALL
+            groups[0] |= open_key is not None and keys[0] == open_key
+            if open_key is not None and keys[0] != open_key:
+                before, open_key = _NONE, None
+            large, last = np.repeat(groups, size), starts[-1]
+            if len(starts) > 1:
+                yield from emit(keys[:last], ids[:last], large[:last], before)
+                keys, ids, before, open_key = keys[last:], ids[last:], _NONE, None
+            if len(keys) > HELD:
+                found, before = out.large(keys, ids, before)
+                yield found
+                open_key, keys, ids = keys[-1], _NONE, _NONE
+        if len(keys):
+            going = open_key is not None and keys[0] == open_key
+            yield from emit(keys, ids, np.full(len(keys), going or len(keys) > SMALL), before if going else _NONE)
+
+    return run
+
+
+def heavy_keys(source: DataFrame, keys_of: Callable[[DataFrame], DataFrame]) -> list[int]:
+    """Keys of groups that are large for certain, ONE_IN at most."""
+    counts = saved(keys_of(source.sample(SAMPLED, seed=17)).groupBy("key").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return sorted(r.key for r in counts.where(F.col("n") >= max(HEAVY, total // ONE_IN)).collect())
 
 
-def led_pairs(lead: DataFrame) -> DataFrame:
-    """At most PAIRS pairs for each id, whatever the number of its groups: the foremost leader of each hash class."""
-    rank = F.struct("score", "leader")
-    part = F.pmod(F.xxhash64(F.col("leader"), F.lit(1)), F.lit(PAIRS))
-    one = lead.groupBy("id").agg(F.array_compact(F.array(*[F.max(F.when(part == i, rank)) for i in range(PAIRS)])).alias("l"))
-    both = one.select("id", F.explode("l").alias("l")).select("id", F.col("l.leader").alias("leader"))
-    return both.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
+def grouped(source: DataFrame, keys_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b), repeated ones left in, and (family, id): the members of large groups are all in one family.
+
+    Pairs are those of small groups, and of each id in large ones the foremost and the hindmost of its groups'
+    first leaders and the foremost of the second ones; the leaders of parts of a heavy key are paired, too.
+    """
+    heavy = heavy_keys(source, keys_of)
+    place = F.when(F.col("key").isin(heavy), F.xxhash64("key", "id")).otherwise(F.col("key")) if heavy else F.col("key")
+    rows = keys_of(source).repartition(place).sortWithinPartitions("key")
+    rows = saved(rows.mapInArrow(_split(np.array(heavy, np.int64)), "family long, a long, b long, c long"))
+    release(rows.sparkSession)
+    small = rows.where("family IS NULL").select("a", "b")
+    large = rows.where("family IS NOT NULL").groupBy("family", F.col("a").alias("id")).agg(F.min("b").alias("x"), F.max("b").alias("y"), F.min("c").alias("z"))
+    large = saved(large)
+    each = large.groupBy("id").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.min("z").alias("z"))
+    led = each.select("id", F.explode(F.array("x", "y", "z")).alias("leader"))
+    if heavy:
+        parts = large.where(F.col("family").isin(heavy)).select("family", F.explode(F.array("x", "y")).alias("m")).distinct()
+        top = parts.groupBy("family").agg(F.min("m").alias("leader"))
+        led = led.union(parts.join(F.broadcast(top), "family").select(F.col("m").alias("id"), "leader"))
+    led = led.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    return small.union(led), large.select("family", "id")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in an edge (a, b); component is the smallest id.
 
-    Alternating large-star and small-star steps, one reliable checkpoint each round.
+    Alternating large-star and small-star steps; every round is written to the shared folder.
     """
     def mark(df):
         return df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
 
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = mark(now)
     while seen["n"]:
-        if seen["n"] <= ONE_TASK:
-            now = now.coalesce(1)  # few edges need no exchange at all
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        step = now.coalesce(1) if seen["n"] <= ONE_TASK else now  # few edges need no exchange at all
+        both = step.union(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.*").where("u <> v").distinct())
+        now = saved(small.select("e.*").where("u <> v").distinct(), instead=now)
         was, seen = seen, mark(now)
         if was == seen:
             break
@@ -143,20 +214,31 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _counted(batches):
-    """(bucket, n): how many shingles of the sets are in each bucket."""
-    total = np.zeros(BUCKETS, np.int64)
+    """(chunk, counts): how many shingles of the sets are in each bucket, a chunk of buckets in a row."""
+    total = np.zeros(BUCKETS, np.uint32)
     for batch in batches:
         flat = batch.column("hashes").flatten().to_numpy().view(np.uint64)
-        total += np.bincount((flat % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        np.add.at(total, (flat % np.uint64(BUCKETS)).astype(np.int64), 1)
+    rows = [(i, part.tobytes()) for i, part in enumerate(np.split(total, CHUNKS)) if part.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=["chunk", "counts"])
+
+
+def _summed(batches):
+    """One row for each chunk from rows sorted by chunk."""
+    now, total = None, None
+    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+    for batch in batches:
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+            part = np.frombuffer(counts, np.uint32)
+            if chunk != now:
+                if now is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=schema)
+                now, total = chunk, part.copy()
+            else:
+                total = np.maximum(total, total + part)  # stays where it would overflow
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
 
 _ROWS = "key long, id long, component long, n long, pos long, side long, whole boolean"
@@ -177,7 +259,7 @@ def _prefixes(counts: np.ndarray):
                 n = len(x)
                 if not n:
                     continue
-                often = counts[(x % np.uint64(BUCKETS)).astype(np.int64)]
+                often = counts[(x % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64)
                 pos = np.arange(n - (PERCENT * n + 99) // 100 + 1)
                 first = np.lexsort((x, often))[: len(pos)]
                 x, often = x[first], often[first]
@@ -246,36 +328,40 @@ def candidates(sets: DataFrame) -> DataFrame:
     With one order for all sets, two sets at PERCENT share a shingle among the first
     n - ceil(0.8 n) + 1 of both, and the first they share leaves enough after it.
     """
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in sets.select("hashes").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
-        counts[r.bucket] = r.n
+    counts = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.uint32)
+    each = sets.select("hashes").mapInArrow(_counted, "chunk int, counts binary")
+    summed = each.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk int, counts binary")
+    for r in summed.toLocalIterator():  # CHUNKS rows, BUCKETS numbers in all
+        counts[r.chunk] = np.frombuffer(r.counts, np.uint32)
+    counts = counts.ravel()
     rows = sets.mapInArrow(_prefixes(counts), _ROWS)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "a long, b long").distinct()
 
 
 def link(
-    keyed: DataFrame,
+    source: DataFrame,
+    keys_of: Callable[[DataFrame], DataFrame],
     prepare: Callable[[DataFrame], None],
     verify: Callable[[DataFrame], DataFrame],
     sets: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """(id, component) of every id that has a verified link.
 
-    keyed has (key, id) rows; prepare(ids) is told once which ids may have to be verified; verify keeps the
-    true links of pairs (a, b); sets(ids) gives (id, hashes), the sorted full sets of such ids.
+    keys_of(source) gives (key, id) rows; prepare(ids) is told once which ids may have to be verified; verify
+    keeps the true links of pairs (a, b); sets(ids) gives (id, hashes), the sorted full sets of such ids.
     """
-    pairs, large = grouped(keyed)
-    pairs = cut(pairs.union(led_pairs(led(large))).distinct())
-    prepare(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    edges = cut(verify(pairs))
-    release(edges.sparkSession)
-    found = components(edges)
-    named = large.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    apart = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    still = cut(named.join(apart, "key", "left_semi").select("id", "component").distinct())
+    pairs, large = grouped(source, keys_of)
+    pairs = saved(pairs.distinct())
+    prepare(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())  # everyone in a large group has a partner
+    edges = saved(verify(pairs))
+    found = saved(components(edges))
+    named = large.join(found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
+    apart = named.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("family")
+    still = saved(named.join(apart, "family", "left_semi").select("id", "component").distinct())
     if still.isEmpty():
         return found
-    full = cut(sets(still.select("id")).join(still, "id").select("id", "component", "hashes"))
-    more = cut(verify(cut(candidates(full))))
-    release(more.sparkSession)
-    return found if more.isEmpty() else components(edges.union(more))
+    full = saved(sets(still.select("id")).join(still, "id").select("id", "component", "hashes"))
+    more = saved(verify(saved(candidates(full))))
+    if more.isEmpty():
+        return found
+    return saved(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netmine.llm import linking
-from netmine.llm.common import cut
+from netmine.llm.common import pieces, saved
 
 K = 48
 RUN = 4
@@ -92,16 +92,15 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
 def _sketches(batches, size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
     shingler = Shingler(size)
-    for batch in batches:
-        sets = [shingler.hashes(t or "") for t in batch.column("text").to_pylist()]
+    for batch in pieces(batches):
+        n, digests, sketches = [], [], []
+        for t in batch.column("text").to_pylist():
+            s = shingler.hashes(t or "")
+            n.append(len(s))
+            digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            sketches.append(s[:K].view(np.int64).copy())  # a view would hold the whole set
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ],
-            schema=schema,
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], schema=schema
         )
 
 
@@ -118,7 +117,7 @@ def run_keys(sketch: np.ndarray, run: int, seed: int) -> np.ndarray:
 
 def _keys(batches):
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
-    for batch in batches:
+    for batch in pieces(batches, 2048):
         out, who = [], []
         sketches = batch.column("sketch")
         flat, offsets = sketches.flatten().to_numpy().view(np.uint64), sketches.offsets.to_numpy()
@@ -137,7 +136,7 @@ def _keys(batches):
 def _packed(batches):
     schema = pa.schema([("id", pa.int64()), ("packed", pa.binary())])
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in pieces(batches):
         texts = batch.column("text").to_pylist()
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], schema=schema)
 
@@ -145,33 +144,31 @@ def _packed(batches):
 def _full(batches, size: int):
     schema = pa.schema([("id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
     unpack, shingler = zstandard.ZstdDecompressor().decompress, Shingler(size)
-    for batch in batches:
-        ids, packed = batch.column("id"), batch.column("packed")
-        for at in range(0, batch.num_rows, 256):
-            sets = [shingler.hashes(unpack(p).decode("utf-8", "surrogatepass")).view(np.int64) for p in packed[at : at + 256].to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids[at : at + 256], pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+    for batch in pieces(batches):
+        sets = [shingler.hashes(unpack(p).decode("utf-8", "surrogatepass")).view(np.int64) for p in batch.column("packed").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
 
 def _confirmed(batches, size: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     unpack, shingler = zstandard.ZstdDecompressor().decompress, Shingler(size)
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        keep, kept, last = [], None, None
-        for i, (pa_, pb) in enumerate(zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())):
-            if pb != last:  # rows are sorted by b
-                last, kept = pb, shingler.hashes(unpack(pb).decode("utf-8", "surrogatepass"))
-            keep.append(jaccard_at_least(shingler.hashes(unpack(pa_).decode("utf-8", "surrogatepass")), kept))
-        at = np.flatnonzero(keep)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in at], pa.int64()), pa.array([b[i] for i in at], pa.int64())], schema=schema)
+    kept, last = None, None
+    for batch in pieces(batches):
+        keep = []
+        for p, q in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist()):
+            if q != last:  # rows come sorted by b
+                last, kept = q, shingler.hashes(unpack(q).decode("utf-8", "surrogatepass"))
+            keep.append(jaccard_at_least(shingler.hashes(unpack(p).decode("utf-8", "surrogatepass")), kept))
+        at = pa.array(np.flatnonzero(keep), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], schema=schema)
 
 
 def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; shingles have `size` words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(rows.mapInArrow(partial(_sketches, size=size), "doc_id long, n long, digest binary, sketch array<long>"))
+    base = saved(rows.mapInArrow(partial(_sketches, size=size), "doc_id long, n long, digest binary, sketch array<long>"))
     sets = base.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = cut(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    classes = saved(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
     reps = classes.select("digest", "rep")
     member = sets.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep")
     # a doc_id with several texts ties their classes together
@@ -181,7 +178,7 @@ def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
 
     def prepare(ids):
         needed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumnRenamed("doc_id", "id").select("id", "text")
-        held["texts"] = cut(needed.mapInArrow(_packed, "id long, packed binary").join(ids, "id", "left_semi"))
+        held["texts"] = saved(needed.mapInArrow(_packed, "id long, packed binary").join(ids, "id", "left_semi"))
 
     def verify(pairs):
         side = classes.select("rep", "n", "sketch")
@@ -196,13 +193,13 @@ def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
         )
         texts = held["texts"]
         full = near.join(texts.toDF("a", "pa"), "a").join(texts.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
-        return full.mapInArrow(partial(_confirmed, size=size), "a long, b long").distinct()
+        return full.mapInArrow(partial(_confirmed, size=size), "a long, b long")
 
     def full(ids):
         return held["texts"].join(ids, "id", "left_semi").mapInArrow(partial(_full, size=size), "id long, hashes array<long>")
 
-    keyed = classes.select("rep", "n", "sketch").mapInArrow(_keys, "key long, id long")
-    found = linking.link(keyed, prepare, verify, full)
+    source = classes.select("rep", "n", "sketch")
+    found = linking.link(source, lambda r: r.mapInArrow(_keys, "key long, id long"), prepare, verify, full)
     # links between classes, and ties by doc_id, make the components
     if not several.isEmpty():
         found = linking.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(ties))

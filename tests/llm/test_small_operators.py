@@ -112,9 +112,11 @@ def test_urls(spark):
         url_filter.build_index([url_filter.Rule("a", "/", "allow"), url_filter.Rule("a", "/", "block")])
 
 
-def test_url_collisions_are_confirmed(monkeypatch):
+def test_url_collisions_are_confirmed(monkeypatch, tmp_path):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: 7)
-    index = url_filter.DigestArray.mapped(url_filter.build_index([url_filter.Rule("a.com", "/", "block"), url_filter.Rule("b.com", "/", "allow")]))
+    file = tmp_path / "index"
+    file.write_bytes(url_filter.build_index([url_filter.Rule("a.com", "/", "block"), url_filter.Rule("b.com", "/", "allow")]))
+    index = url_filter.DigestArray.mapped(str(file))
     assert index.lookup(["a.com", "b.com", "c.com"], ["/", "/x", "/"]) == [("a.com/", "block"), ("b.com/", "allow"), None]
 
 
@@ -140,9 +142,9 @@ def test_html():
 
 def test_html_attributes_are_read_whole():
     for other in ('style="overflow:hidden"', 'title="hidden gems"', 'data-role="banner"', "title='a class=menu b'", "data-id=footer", 'href=/a?hidden'):
-        assert not html_extract._is_aside("p", f" {other}"), other
+        assert html_extract._marks("p", f" {other}") == (False, False), other
     for aside in ('class="x menu"', "ID=footer", "role = 'banner'", "hidden", 'title="a" hidden', "aria-hidden=true", 'a="b"class="ad"'):
-        assert html_extract._is_aside("p", f" {aside}"), aside
+        assert any(html_extract._marks("p", f" {aside}")), aside
 
 
 def brute_secrets(text):
@@ -178,6 +180,39 @@ def test_trigram_queries_are_necessary():
     assert secret_scan.trigram_query("[0-9a-f]{24,}") is None
 
 
+def test_patterns_are_read():
+    from netmine.llm import patterns
+
+    rng = random.Random(9)
+
+    def made(depth=0):
+        """A random expression and a string that it matches."""
+        kind = rng.random()
+        if depth > 2 or kind < 0.4:
+            c = rng.choice(["a", "B", "z", r"\\.", r"\x41", "[b-e]", "-"])
+            return c, {r"\\.": "\\.", r"\x41": "A", "[b-e]": "d"}.get(c, c) if c != r"\\." else (r"\.", ".")[1]
+        if kind < 0.55:
+            (p, s), (q, _) = made(depth + 1), made(depth + 1)
+            return f"(?:{p}|{q})", s
+        if kind < 0.75:
+            p, s = made(depth + 1)
+            low, high = rng.choice([(0, 2), (1, 3), (2, 2)])
+            return f"({p}){{{low},{high}}}", s * rng.randint(low, high)
+        parts = [made(depth + 1) for _ in range(rng.randint(2, 5))]
+        return "".join(p for p, _ in parts), "".join(s for _, s in parts)
+
+    for _ in range(500):
+        pattern, text = made()
+        pattern = pattern.replace(r"\\.", r"\.")
+        if not re.fullmatch(pattern, text):
+            continue
+        query = secret_scan.trigram_query(pattern)
+        assert query is None or any(all(t in text.lower() for t in c) for c in query), (pattern, text, query)
+    for bad in ("(a", "a)", "(?=a)", "a{,3}", "[a", "\\q", "*?("):
+        with pytest.raises((ValueError, TypeError)):
+            patterns.parse(bad)
+
+
 # ---- decontamination
 
 
