@@ -1,15 +1,15 @@
 """Links between sets that share a key, without all pairs of a large group, and their components.
 
 `link` gets (key, id) rows.  A group of at most SMALL ids gives all its pairs.  A
-larger group has two leaders, its least ids, which groups of the same near copies
-mostly agree on; every id is paired with the foremost of its leaders.  That is only
-the order of work: the members of every large group that is still in
-several components are joined exactly on their full sets, by prefixes in which rare
+larger one belongs to a family, which groups of the same near copies mostly share.  A
+family has a few leaders, those ids that are in most large groups, and every id is
+paired with the foremost of its leaders.  That is only the order of work: the members
+of every large group that is still in several components are joined exactly on their full sets, by prefixes in which rare
 shingles come first, and only pairs from different components are verified.  So no
-link between two ids that share a key is lost.  No group is collected: rows are
-streamed in sorted order, and only HELD of them, or two blocks of about BLOCK, are
-held.  Keys that a sample shows to hold a large part of all rows are large groups for
-certain; their rows are dealt out by id instead of meeting in one task.
+link between two ids that share a key is lost.  No group is collected: keys travel in
+sorted runs of neighbouring ones, and a task holds at most HELD of them, or two blocks
+of about BLOCK.  Keys that a sample shows to hold a large part of all rows are large
+groups for certain; their rows are dealt out by id instead of meeting in one task.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 from netmine.llm.common import saved
 
 SMALL = 16
-#: Rows of one large group that are held to find its leaders; a longer one has leaders for each part.
-HELD = 200_000
+#: Leaders of a family.  An id is paired with a few of its families' first; what they leave apart goes to the exact join.
+LEADERS = 3
+#: Pairs (16 bytes each) that are held to be sorted and cut into buckets, that a bucket has about, and that are held of one.
+PACKED, BUCKET, HELD = 1 << 20, 1 << 15, 1 << 23
+#: Buckets are at most so many, as a power of two.
+MOST_BITS = 18
 #: The exact join: links have at least this Jaccard similarity.
 PERCENT = 80
 #: Shingles are counted in so many classes (four bytes each); any counts give a right order, true ones give short lists.
@@ -58,9 +62,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Groups:
-    """Batches of what _split finds: pairs (a, b), their family null, and members of large groups: family, id and two leaders."""
+    """Batches of what _split finds: pairs (a, b), their family null, and members of large groups: family and id (a)."""
 
-    schema = pa.schema([("family", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
+    schema = pa.schema([("family", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(self, keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((ids, keys))
@@ -75,118 +79,153 @@ class _Groups:
             left.append(i[at])
             right.append(i[at + d])
         a, b = np.concatenate(left), np.concatenate(right)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=self.schema)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], schema=self.schema)
 
-    def large(self, keys: np.ndarray, ids: np.ndarray, before: np.ndarray = None) -> tuple[pa.RecordBatch, np.ndarray]:
-        """Members of whole groups, or of a part of one whose earlier leaders are `before`; and the leaders of the last group.
-
-        The family of a whole group is its first leader, so groups of the same near copies are mostly one family; that
-        of a group in parts is its key.
+    def large(self, keys: np.ndarray, ids: np.ndarray, parted: bool = False) -> pa.RecordBatch:
+        """Members of groups.  The family of a whole group is its least id, so groups of the same near copies are
+        mostly one family; that of a group in parts is its key.
         """
-        parted = before is not None
-        if parted and len(before):
-            keys, ids = np.append(np.full(len(before), keys[0]), keys), np.append(before, ids)
-        at = np.lexsort((ids, keys))
-        keys, ids = keys[at], ids[at]
-        new = np.append(True, keys[1:] != keys[:-1])
-        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
-        first = ids[starts]
-        # the second leader: the next that differs from the first, itself if there is none
-        most = np.iinfo(np.int64).max
-        second = np.minimum.reduceat(np.where(ids != first[group], ids, most), starts)
-        second = np.where(second == most, first, second)
-        family = keys if parted else first[group]
-        out = pa.RecordBatch.from_arrays([pa.array(family), pa.array(ids), pa.array(first[group]), pa.array(second[group])], schema=self.schema)
-        return out, np.unique([first[-1], second[-1]])
+        family = keys
+        if not parted:
+            at = np.argsort(keys)
+            keys, ids = keys[at], ids[at]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            family = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, len(keys))))
+        return pa.RecordBatch.from_arrays([pa.array(family), pa.array(ids), pa.nulls(len(ids), pa.int64())], schema=self.schema)
 
 
 _NONE = np.zeros(0, np.int64)
 
 
-def _split(heavy: np.ndarray):
-    """Rows (key, id) sorted by key to pairs and rows of large groups; heavy keys are large for certain."""
+def _dealt(keys, bits: int, heavy: np.ndarray):
+    """From batches (key, id) of `keys` to rows (bucket, packed): many pairs sorted and cut into buckets of neighbouring keys.
+
+    Heavy keys are dealt out by id.  A row of some hundred pairs costs the shuffle what a row of one pair would.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+    shift = np.uint64(64 - bits) if bits else None
+
+    def flush(parts):
+        k, i = (np.concatenate(x) for x in zip(*parts))
+        place = k.view(np.uint64)
+        if len(heavy):
+            place = np.where(np.isin(k, heavy), _mix(i.view(np.uint64)), place)
+        order = np.argsort(place)
+        k, i = k[order], i[order]
+        bucket = (place[order] >> shift).astype(np.int32) if bits else np.zeros(len(k), np.int32)
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        ends = np.append(starts[1:], len(k))
+        packed = [k[a:b].tobytes() + i[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packed, pa.binary())], schema=schema)
+
     def run(batches):
-        out = _Groups()
-        keys, ids, before, open_key = _NONE, _NONE, _NONE, None  # open_key: of a large group of which a part is out, before: its leaders
-
-        def emit(keys, ids, large, before):
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else _NONE
-            size = np.diff(np.append(starts, len(keys)))
-            few = np.repeat(size > 1, size) & ~large  # a key of one row meets nothing
-            if few.any():
-                yield out.pairs(keys[few], ids[few])
-            if large.any():
-                k, i = keys[large], ids[large]
-                if len(before):  # the first group goes on
-                    own = k == k[0]
-                    batch, _ = out.large(k[own], i[own], before)
-                    yield batch
-                    k, i = k[~own], i[~own]
-                if len(k):
-                    batch, _ = out.large(k, i)
-                    yield batch
+        parts, held = [], 0
+        for batch in keys(batches):
+            parts.append((batch.column("key").to_numpy(), batch.column("id").to_numpy()))
+            held += batch.num_rows
+            if held >= PACKED:
+                yield flush(parts)
+                parts, held = [], 0
+        if held:
+            yield flush(parts)
+
+    return run
 
+
+def _split(heavy: np.ndarray):
+    """Rows (bucket, packed) sorted by bucket to pairs of small groups and members of large ones.
+
+    A bucket holds all pairs of its keys, but for heavy keys, whose groups come in parts.  Of a bucket beyond HELD
+    pairs every group of two and more is taken for a large one in parts, so nothing is held longer.
+    """
+    out = _Groups()
+
+    def emit(parts, parted):
+        k, i = (np.concatenate(x) for x in zip(*parts))
+        known = np.isin(k, heavy) if len(heavy) else np.zeros(len(k), bool)
+        if known.any():
+            yield out.large(k[known], i[known], parted=True)
+            k, i = k[~known], i[~known]
+        order = np.argsort(k)
+        k, i = k[order], i[order]
+        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else _NONE
+        size = np.diff(np.append(starts, len(k)))
+        if parted:
+            every = np.repeat(size > 0, size)
+            if every.any():
+                yield out.large(k, i, parted=True)
+            return
+        few, large = np.repeat((size > 1) & (size <= SMALL), size), np.repeat(size > SMALL, size)
+        if few.any():
+            yield out.pairs(k[few], i[few])
+        if large.any():
+            yield out.large(k[large], i[large])
+
+    def run(batches):
+        parts, held, now, parted = [], 0, None, False
         for batch in batches:
-            k, i = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-            if len(heavy):
-                known = np.isin(k, heavy)
-                if known.any():
-                    found, _ = out.large(k[known], i[known], _NONE)  # a part of each
-                    yield found
-                    k, i = k[~known], i[~known]
-            keys, ids = np.concatenate([keys, k]), np.concatenate([ids, i])
-            if not len(keys):
-                continue
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            size = np.diff(np.append(starts, len(keys)))
-            groups = size > SMALL
-            groups[0] |= open_key is not None and keys[0] == open_key
-            if open_key is not None and keys[0] != open_key:
-                before, open_key = _NONE, None
-            large, last = np.repeat(groups, size), starts[-1]
-            if len(starts) > 1:
-                yield from emit(keys[:last], ids[:last], large[:last], before)
-                keys, ids, before, open_key = keys[last:], ids[last:], _NONE, None
-            if len(keys) > HELD:
-                found, before = out.large(keys, ids, before)
-                yield found
-                open_key, keys, ids = keys[-1], _NONE, _NONE
-        if len(keys):
-            going = open_key is not None and keys[0] == open_key
-            yield from emit(keys, ids, np.full(len(keys), going or len(keys) > SMALL), before if going else _NONE)
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist()):
+                if bucket != now:
+                    if parts:
+                        yield from emit(parts, parted)
+                    parts, held, now, parted = [], 0, bucket, False
+                both = np.frombuffer(packed, np.int64).reshape(2, -1)
+                parts.append((both[0], both[1]))
+                held += both.shape[1]
+                if held > HELD:
+                    parted = True
+                    yield from emit(parts, parted)
+                    parts, held = [], 0
+        if parts:
+            yield from emit(parts, parted)
 
     return run
 
 
-def heavy_keys(source: DataFrame, keys_of: Callable[[DataFrame], DataFrame]) -> list[int]:
+KEYED = "key long, id long"
+
+
+def heavy_keys(source: DataFrame, keys) -> list[int]:
     """Keys of groups that are large for certain, ONE_IN at most."""
-    counts = saved(keys_of(source.sample(SAMPLED, seed=17)).groupBy("key").agg(F.count("*").alias("n")))
+    counts = saved(source.sample(SAMPLED, seed=17).mapInArrow(keys, KEYED).groupBy("key").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return sorted(r.key for r in counts.where(F.col("n") >= max(HEAVY, total // ONE_IN)).collect())
 
 
-def grouped(source: DataFrame, keys_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def grouped(source: DataFrame, keys, expected: int, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b), repeated ones left in, and (family, id): the members of large groups are all in one family.
 
-    Pairs are those of small groups, and of each id in large ones the foremost and the hindmost of its groups'
-    first leaders and the foremost of the second ones; the leaders of parts of a heavy key are paired, too.
+    keys turns Arrow batches of source into batches (key, id), `expected` of them in all, about; keys are spread
+    evenly over 64 bits.  Pairs are those of small groups, and of each id in large ones with at most `most` leaders.
     """
-    heavy = heavy_keys(source, keys_of)
-    place = F.when(F.col("key").isin(heavy), F.xxhash64("key", "id")).otherwise(F.col("key")) if heavy else F.col("key")
-    rows = keys_of(source).repartition(place).sortWithinPartitions("key")
-    rows = saved(rows.mapInArrow(_split(np.array(heavy, np.int64)), "family long, a long, b long, c long"))
-    release(rows.sparkSession)
-    small = rows.where("family IS NULL").select("a", "b")
-    large = rows.where("family IS NOT NULL").groupBy("family", F.col("a").alias("id")).agg(F.min("b").alias("x"), F.max("b").alias("y"), F.min("c").alias("z"))
-    large = saved(large)
-    each = large.groupBy("id").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.min("z").alias("z"))
-    led = each.select("id", F.explode(F.array("x", "y", "z")).alias("leader"))
-    if heavy:
-        parts = large.where(F.col("family").isin(heavy)).select("family", F.explode(F.array("x", "y")).alias("m")).distinct()
-        top = parts.groupBy("family").agg(F.min("m").alias("leader"))
-        led = led.union(parts.join(F.broadcast(top), "family").select(F.col("m").alias("id"), "leader"))
-    led = led.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    return small.union(led), large.select("family", "id")
+    spark = source.sparkSession
+    heavy = np.array(heavy_keys(source, keys), np.int64)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(MOST_BITS, max(expected // BUCKET, partitions).bit_length())
+    rows = source.mapInArrow(_dealt(keys, bits, heavy), "bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    rows = saved(rows.mapInArrow(_split(heavy), "family long, a long, b long"))
+    release(spark)
+    members = rows.where("family IS NOT NULL").groupBy("family", F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    members = saved(members)
+    # an id's score is the number of large groups that it is in: the text that copies were made from is in most
+    large = saved(members.join(members.groupBy("id").agg(F.sum("n").alias("score")), "id").select("family", "id", "score"))
+    return rows.where("family IS NULL").select("a", "b").union(led(large, most)), large.select("family", "id")
+
+
+def _foremost(rank, by, classes: int):
+    """The greatest rank of each of some classes of ids, as one array."""
+    part = F.pmod(F.xxhash64(by, F.lit(classes)), F.lit(classes))
+    return F.array_compact(F.array(*[F.max(F.when(part == i, rank)) for i in range(classes)]))
+
+
+def led(large: DataFrame, most: int) -> DataFrame:
+    """Pairs of each id with at most so many of the LEADERS that its families have, by score."""
+    leaders = large.groupBy("family").agg(_foremost(F.struct("score", "id"), F.col("id"), LEADERS).alias("l"))
+    leaders = leaders.select("family", F.explode("l").alias("l")).select("family", F.col("l.id").alias("leader"), F.col("l.score").alias("score"))
+    met = large.select("family", "id").join(leaders, "family").where("id <> leader")
+    best = met.groupBy("id").agg(_foremost(F.struct("score", "leader"), F.col("leader"), most).alias("l"))
+    both = best.select("id", F.explode("l.leader").alias("leader"))
+    return both.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -340,17 +379,20 @@ def candidates(sets: DataFrame) -> DataFrame:
 
 def link(
     source: DataFrame,
-    keys_of: Callable[[DataFrame], DataFrame],
+    keys: Callable,
+    expected: int,
     prepare: Callable[[DataFrame], None],
     verify: Callable[[DataFrame], DataFrame],
     sets: Callable[[DataFrame], DataFrame],
+    most: int = 3,
 ) -> DataFrame:
     """(id, component) of every id that has a verified link.
 
-    keys_of(source) gives (key, id) rows; prepare(ids) is told once which ids may have to be verified; verify
-    keeps the true links of pairs (a, b); sets(ids) gives (id, hashes), the sorted full sets of such ids.
+    keys turns Arrow batches of source into batches (key, id), about `expected` rows; prepare(ids) is told once which ids may have to be verified; verify
+    keeps the true links of pairs (a, b); sets(ids) gives (id, hashes), the sorted full sets of such ids; `most`:
+    leaders that an id is paired with before the exact join.
     """
-    pairs, large = grouped(source, keys_of)
+    pairs, large = grouped(source, keys, expected, most)
     pairs = saved(pairs.distinct())
     prepare(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())  # everyone in a large group has a partner
     edges = saved(verify(pairs))
