@@ -21,7 +21,9 @@ def _files(spark, sf_dir, text, path="/lib/cell_{}_tt_0.7.lib") -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.concat(F.lit(head), F.col("n_nationkey").cast("string"), F.lit(tail)).alias("path"), text.alias("text"))
 
 
-_K = F.col("n_nationkey")
+def _k():
+    """The nation's key; made when a query is, as columns need a session."""
+    return F.col("n_nationkey")
 
 
 def _liberty(spark, sf_dir):
@@ -29,8 +31,8 @@ def _liberty(spark, sf_dir):
     pins = ' pin ("A") { direction : input; } pin (B) { direction : "input"; timing () { related_pin : "A"; } } pin (VDD) { direction : internal; }'
     text = F.concat(
         F.lit('/* comment { */ library (l) {\n delay_model : table_lookup;\n cell (C'), n, F.lit(") {\n area : "), n, F.lit(".5;"), F.lit(pins),
-        F.when(_K % 5 == 0, ' ff (IQ, IQN) { clocked_on : "B"; } pin (Q) { direction : output; function : "IQ"; }').otherwise(' pin (Y) { direction : output; function : "(A * B)\'"; }'),
-        F.when(_K % 7 == 0, ' pin (Z) { direction : output; function : "A ^ B"; }').otherwise(""), F.lit("\n}\n cell (D"), n, F.lit(') { area : 1; pin (Y) { direction : output; function : "1"; } }\n}\n'),
+        F.when(_k() % 5 == 0, ' ff (IQ, IQN) { clocked_on : "B"; } pin (Q) { direction : output; function : "IQ"; }').otherwise(' pin (Y) { direction : output; function : "(A * B)\'"; }'),
+        F.when(_k() % 7 == 0, ' pin (Z) { direction : output; function : "A ^ B"; }').otherwise(""), F.lit("\n}\n cell (D"), n, F.lit(') { area : 1; pin (Y) { direction : output; function : "1"; } }\n}\n'),
     )
     return _files(spark, sf_dir, text)
 
@@ -58,7 +60,7 @@ def q_liberty_classify(spark, sf_dir):
 def q_liberty_merge(spark, sf_dir):
     n = F.col("n_nationkey").cast("string")
     files = _files(spark, sf_dir, F.concat(
-        F.lit('library (x) {\n date : "'), n, F.lit('";\n lu_table_template (grid) { variable_1 : "a'), (_K % 2).cast("string"), F.lit('"; }\n cell (C'), n, F.lit(") { values (grid) { } }\n cell (D"), n, F.lit(") { }\n}\n"),
+        F.lit('library (x) {\n date : "'), n, F.lit('";\n lu_table_template (grid) { variable_1 : "a'), (_k() % 2).cast("string"), F.lit('"; }\n cell (C'), n, F.lit(") { values (grid) { } }\n cell (D"), n, F.lit(") { }\n}\n"),
     ))
     text = blocks.merged_library(files, "all")
     merged = blocks.cell_names(text.select(F.lit("all_tt_.lib").alias("path"), "text")).agg(F.count("*").alias("n_cells"))
@@ -149,9 +151,9 @@ def q_placement_scan(spark, sf_dir):
     place = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.when(F.col("c_custkey") % 2 == 0, " + PLACED ( ").otherwise(" + FIXED ( "), (F.col("c_custkey") * 100).cast("string"), F.lit(" "), (F.col("c_custkey") % 100 * 100).cast("string"), F.lit(" ) N"))).otherwise("")
     line = F.concat(F.lit("- i"), F.col("c_custkey").cast("string"), F.lit(" G"), place, F.lit(" ;"))
     listed = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_join(F.collect_list(line), "\n").alias("l"))
-    size = (_K * 1000).cast("string")
+    size = (_k() * 1000).cast("string")
     text = F.concat(F.lit("DESIGN d ;\nUNITS DISTANCE MICRONS 1000 ;\nDIEAREA ( 0 0 ) ( 0 5000 ) ( "), size, F.lit(" 5000 ) ;\nCOMPONENTS 2 ;\n"), F.col("l"), F.lit("\nEND COMPONENTS\nEND DESIGN\n"))
-    files = listed.select(F.concat(F.lit("/def/"), _K.cast("string"), F.lit(".def")).alias("path"), text.alias("text"))
+    files = listed.select(F.concat(F.lit("/def/"), _k().cast("string"), F.lit(".def")).alias("path"), text.alias("text"))
     names_ = c.select(F.concat(F.lit("/def/"), F.col("c_nationkey").cast("string"), F.lit(".def")).alias("path"), F.concat(F.lit("i"), F.col("c_custkey").cast("string")).alias("name"))
     joined = blocks.placed(names_, blocks.placement(files)).join(blocks.die_area(files), "path")
     return joined.select("name", "x", "y", "hi_x")
@@ -160,7 +162,7 @@ def q_placement_scan(spark, sf_dir):
 @query("SELECT 'M' || n_nationkey AS name, n_nationkey / 10.0 AS width, 0.5 AS height, 'core' AS site, 3 AS symmetry FROM nation")
 def q_layout_scan(spark, sf_dir):
     n = F.col("n_nationkey").cast("string")
-    text = F.concat(F.lit("VERSION 5.8 ;\nMACRO M"), n, F.lit("\n CLASS CORE ;\n SIZE "), F.round(_K / 10, 1).cast("string"), F.lit(" BY 0.5 ;\n SYMMETRY X Y ;\n SITE core ;\nEND M"), n, F.lit("\nEND LIBRARY\n"))
+    text = F.concat(F.lit("VERSION 5.8 ;\nMACRO M"), n, F.lit("\n CLASS CORE ;\n SIZE "), F.round(_k() / 10, 1).cast("string"), F.lit(" BY 0.5 ;\n SYMMETRY X Y ;\n SITE core ;\nEND M"), n, F.lit("\nEND LIBRARY\n"))
     return blocks.macros(_files(spark, sf_dir, text, "/lef/{}.lef")).select("name", "width", "height", "site", "symmetry")
 
 
@@ -178,7 +180,7 @@ def _circuit_files(spark, sf_dir):
     text = F
     for k, (name, (pins, devices)) in enumerate(_CIRCUITS.items()):
         body = "\n".join(f"M{i} {d[:-2]} {d[-1]}mos_rvt\n+ w=46n l=20n nfin=2" for i, d in enumerate(devices))
-        text = text.when(_K % 4 == k, F.concat(F.lit(f"* {name}\n.SUBCKT {name}_"), n, F.lit(f"_X1 {pins}\n{body}\n.ENDS\n")))
+        text = text.when(_k() % 4 == k, F.concat(F.lit(f"* {name}\n.SUBCKT {name}_"), n, F.lit(f"_X1 {pins}\n{body}\n.ENDS\n")))
     return _files(spark, sf_dir, text, "/cdl/{}.cdl")
 
 
@@ -241,7 +243,7 @@ def _lines(spark, sf_dir, *parts, path="/run/{}/route/report"):
 @query("SELECT n_nationkey AS k, '0b' || lpad(bin(n_nationkey % 16), 4, '0') AS canonical, 'clst' || n_nationkey AS cluster, CAST(n_nationkey + 1 AS INT) AS second FROM nation UNION ALL SELECT n_nationkey, '0b01', 'clst9', 4 FROM nation")
 def q_pattern_block_scan(spark, sf_dir):
     n = F.col("n_nationkey").cast("string")
-    files = _lines(spark, sf_dir, F.concat(F.lit("canonical_key=0b"), F.lpad(F.bin(_K % 16), 4, "0")), F.lit("count=1"), F.concat(F.lit("clst"), n, F.lit(": "), n, F.lit(" "), (_K + 1).cast("string")), F.lit("inputs: a b"), F.lit(""), F.lit("canonical_key=0b01"), F.lit("clst9: 3 4"), path="/run/{}/p.txt")
+    files = _lines(spark, sf_dir, F.concat(F.lit("canonical_key=0b"), F.lpad(F.bin(_k() % 16), 4, "0")), F.lit("count=1"), F.concat(F.lit("clst"), n, F.lit(": "), n, F.lit(" "), (_k() + 1).cast("string")), F.lit("inputs: a b"), F.lit(""), F.lit("canonical_key=0b01"), F.lit("clst9: 3 4"), path="/run/{}/p.txt")
     return lines.pattern_blocks(files).select(F.regexp_extract("path", r"/(\d+)/", 1).cast("int").alias("k"), "canonical", "cluster", F.element_at("cells", 2).alias("second"))
 
 
@@ -263,8 +265,8 @@ def q_cell_count_scan(spark, sf_dir):
 def q_report_scan(spark, sf_dir):
     s = lambda c: c.cast("string")
     files = _lines(
-        spark, sf_dir, F.lit("Report"), F.concat(F.lit("Summary, "), s(_K * -0.5), F.lit(", 0, 0, "), s(_K + 500.0), F.lit(" MHz, -0.25")), F.lit("CAP, FANOUT, x"), F.concat(F.lit("1, 2, 3, 4, "), s(_K * 2.0)),
-        F.when(_K % 2 == 0, F.concat(F.lit("Design : top  "), s(_K))).otherwise("No DRCs to report"), F.when(_K % 4 == 0, F.concat(F.lit(" " * 12), F.lit("Short   3"))).otherwise("-"),
+        spark, sf_dir, F.lit("Report"), F.concat(F.lit("Summary, "), s(_k() * -0.5), F.lit(", 0, 0, "), s(_k() + 500.0), F.lit(" MHz, -0.25")), F.lit("CAP, FANOUT, x"), F.concat(F.lit("1, 2, 3, 4, "), s(_k() * 2.0)),
+        F.when(_k() % 2 == 0, F.concat(F.lit("Design : top  "), s(_k()))).otherwise("No DRCs to report"), F.when(_k() % 4 == 0, F.concat(F.lit(" " * 12), F.lit("Short   3"))).otherwise("-"),
     )
     rows = lines.quality(files).join(lines.violations(files), "path")
     return rows.select(F.regexp_extract("path", r"/(\d+)/", 1).cast("int").alias("k"), "slack_in2reg", "freq_mhz", "slack_clock", "cell_area", "total", "shorts")
@@ -272,13 +274,13 @@ def q_report_scan(spark, sf_dir):
 
 @query("SELECT tag, count(*) AS n FROM (SELECT CASE n_nationkey % 3 WHEN 0 THEN 'license' WHEN 1 THEN 'memory' ELSE 'other' END AS tag FROM nation) GROUP BY 1")
 def q_log_tag_scan(spark, sf_dir):
-    files = _lines(spark, sf_dir, F.lit("Information: fine"), F.when(_K % 3 == 0, "Error: no license and no memory").when(_K % 3 == 1, "Error: out of memory (MEM-1)").otherwise("Error: x"), F.lit(" Error: indented"))
+    files = _lines(spark, sf_dir, F.lit("Information: fine"), F.when(_k() % 3 == 0, "Error: no license and no memory").when(_k() % 3 == 1, "Error: out of memory (MEM-1)").otherwise("Error: x"), F.lit(" Error: indented"))
     return lines.error_counts(lines.first_tag(files, [("license", "license"), ("memory", "memory")])).groupBy("tag").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT 'route' AS step, CAST(min(n_nationkey) AS VARCHAR) AS area, CAST(NULL AS VARCHAR) AS power FROM nation")
 def q_stage_summary(spark, sf_dir):
-    files = _lines(spark, sf_dir, F.concat(F.lit("Total area: "), _K.cast("string")), path="/run/route/r{}")
+    files = _lines(spark, sf_dir, F.concat(F.lit("Total area: "), _k().cast("string")), path="/run/route/r{}")
     rows = lines.stage_summary(files, [("area", r"Total area:\s+(\d+)"), ("power", r"Total power:\s+(\d+)")])
     return rows
 

@@ -41,3 +41,12 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
+    root = __import__("os").path.dirname(__import__("os").path.dirname(__file__))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
