@@ -38,7 +38,7 @@ BUCKETS = 1 << 22
 #: Counts travel in so many parts.
 CHUNKS = 256
 #: A list of more members is dealt out as pairs of blocks of about so many.
-BLOCK = 256
+BLOCK = 512
 #: Edges (16 bytes each) that one task may hold while components are made; more are dealt out.
 ONE_TASK = 500_000
 #: Share of the rows that is sampled to find keys of large groups, and the least number of them in the sample.
