@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netmine.llm import (
-    bpe, chat_format, decontaminate, html_extract, line_dedup, near_dedup, quality_model, quality_rules, secret_scan, url_filter,
+    bpe, chat_format, decontaminate, fill_middle, html_extract, lexical_search, line_dedup, mixing, near_dedup, quality_model, quality_rules, secret_scan,
+    url_filter,
 )
 from netmine.llm.common import table
 
@@ -68,6 +69,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, docs, bpe.public_vocabulary())
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "pipeline": corpus_pipeline.run,
@@ -81,6 +94,9 @@ def queries():
         "op8_near_dedup": op8_near_dedup,
         "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_mixing": op13_mixing,
     }
 
 
@@ -133,4 +149,6 @@ def oracle_sql():
         "op2_quality_rules": quality_rules.oracle(),
         "op4_url_filter": _op4_sql(),
         "op6_secret_scan": secret_scan.oracle(),
+        "op11_lexical_search": lexical_search.oracle(),
+        "op12_fill_middle": fill_middle.oracle(),
     }
