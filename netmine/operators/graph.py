@@ -150,24 +150,33 @@ def roots(cells: DataFrame, masters: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(single.where(~buffer).select(F.col("name").alias("master"))), "master", "left_semi").select("id")
 
 
+#: Column j of a table in a word of 64 rows, the first row highest: the rows whose number has bit j.
+_COLUMNS = [sum(1 << (63 - a) for a in range(64) if a >> j & 1) for j in range(6)]
+
+
 def evaluate(found: DataFrame, gates: DataFrame) -> DataFrame:
     """Truth tables of clusters: found (root, cells, depths), gates (id, tt, nets): the table of each cell and its driver nets, most significant first.
 
     Cells are folded from the greatest depth to the root, so each one's drivers have their value before it.  A value
-    is one integer of 2**n rows; the outside nets, sorted, are the inputs.  Up to five inputs.
+    is an array of words with 64 rows each, in which a shorter table repeats; the outside nets, sorted, are the inputs.
+    A table has 2**n rows, whatever n.
     """
     rows = found.select("root", "cells", F.explode(F.arrays_zip("cells", "depths")).alias("c")).select("root", "cells", F.col("c.cells").alias("id"), F.col("c.depths").alias("d")).join(gates, "id")
     packed = rows.groupBy("root", "cells").agg(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("far"), "id", "tt", "nets"))).alias("gates"))
     nets = F.expr("array_sort(array_except(array_distinct(flatten(transform(gates, g -> g.nets))), cells))")
-    packed = packed.withColumn("inputs", nets).withColumn("n", F.size("inputs"))
-    # the pattern of input i among n inputs
-    table = {n: [sum(1 << ((1 << n) - 1 - a) for a in range(1 << n) if a >> (n - 1 - i) & 1) for i in range(n)] for n in range(1, 6)}
-    patterns = F.array(*[F.array(*[F.lit(x).cast("long") for x in table[n]]) for n in range(1, 6)])
-    packed = packed.withColumn("start", F.map_from_arrays("inputs", F.element_at(patterns, F.col("n")))).withColumn("ones", F.expr("shiftleft(1L, cast(shiftleft(1, n) AS int)) - 1L"))
-    term = "aggregate(sequence(0, size(g.nets) - 1), ones, (x, i) -> x & if(getbit(r, size(g.nets) - 1 - i) = 1, element_at(m, g.nets[i]), ones - element_at(m, g.nets[i])))"
-    value = f"aggregate(sequence(0, length(g.tt) - 1), 0L, (v, r) -> if(substring(g.tt, r + 1, 1) = '1', v | {term}, v))"
+    packed = packed.withColumn("inputs", nets).withColumn("n", F.size("inputs")).withColumn("ones", F.expr("array_repeat(-1L, cast(shiftleft(1, greatest(n - 6, 0)) AS int))"))
+    columns = ", ".join(f"{x - (1 << 64) if x >> 63 else x}L" for x in _COLUMNS)
+    # input i changes with bit n - 1 - i of the row; from bit 6 on whole words change
+    pattern = (
+        f"transform(inputs, (x, i) -> if(n - 1 - i < 6, array_repeat(element_at(array({columns}), least(n - i, 6)), size(ones)),"
+        " transform(ones, (w, k) -> if(getbit(k, n - 7 - i) = 1, -1L, 0L))))"
+    )
+    packed = packed.withColumn("start", F.map_from_arrays("inputs", F.expr(pattern)))
+    term = "aggregate(sequence(0, size(g.nets) - 1), ones, (x, i) -> zip_with(x, element_at(m, g.nets[i]), (p, q) -> p & if(getbit(r, size(g.nets) - 1 - i) = 1, q, ~q)))"
+    value = f"aggregate(sequence(0, length(g.tt) - 1), transform(ones, w -> 0L), (v, r) -> if(substring(g.tt, r + 1, 1) = '1', zip_with(v, {term}, (p, q) -> p | q), v))"
     out = packed.withColumn("out", F.expr(f"element_at(aggregate(gates, start, (m, g) -> map_concat(m, map(g.id, {value}))), root)"))
-    return out.select("root", "cells", F.col("inputs"), F.expr("lpad(bin(out), cast(shiftleft(1, n) AS int), '0')").alias("tt"))
+    bits = F.array_join(F.transform("out", lambda w: F.lpad(F.bin(w), 64, "0")), "")
+    return out.select("root", "cells", F.col("inputs"), F.substring(bits, F.lit(1), F.expr("cast(shiftleft(1, n) AS int)")).alias("tt"))
 
 
 def attributes(found: DataFrame, edges: DataFrame, areas: DataFrame) -> DataFrame:

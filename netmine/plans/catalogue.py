@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netmine.functions import space, truth
+from netmine.functions import canonical, space, truth
 from netmine.operators import clusters, demand, features, graph, grouping
 from netmine.plans import cone_sql
 from netmine.session import saved, table
@@ -147,6 +147,55 @@ def q_p_canonical_n4(spark, sf_dir):
     return clusters.frequency(keyed(spark, sf_dir, 4))
 
 
+def _rows_sql(n: int, masks) -> str:
+    """Every permutation and mask of n inputs as the list of rows that it reads."""
+    return f"w(g) AS (VALUES " + ", ".join("([" + ", ".join(str((r ^ m) + 1) for r in space.permuted_rows(p)) + "])" for p in itertools.permutations(range(n)) for m in masks) + ")"
+
+
+def _wide_sql(group: str, member: str, n: int, where: str = "true") -> str:
+    return f"t AS (SELECT {group} AS c, lpad(bin(bit_or(CAST(1 AS BIGINT) << CAST({(1 << n) - 1} - {member} % {1 << n} AS INTEGER))), {1 << n}, '0') AS tt FROM lineitem WHERE {where} GROUP BY 1), d AS (SELECT tt, count(*) AS n FROM t GROUP BY 1)"
+
+
+_THIRDS = "l_linenumber = 3 AND l_returnflag = 'R'"
+_PICKED = "array_to_string(list_transform(g, lambda r: substr(tt, r, 1)), '')"
+
+
+@query(f"""WITH {_wide_sql("l_partkey", "l_orderkey", 5)}, {_rows_sql(5, [0])}, f AS (SELECT tt, n, min({_PICKED}) AS p FROM d, w GROUP BY 1, 2)
+SELECT '0b' || p AS p_key, CAST(sum(n) AS BIGINT) AS cnt, count(*) AS n_functions FROM f GROUP BY 1""")
+def q_p_canonical_n5(spark, sf_dir):
+    """Five inputs: a part's function has a 1 in row i if an order with orderkey % 32 = i holds the part."""
+    return _wide_forms(spark, sf_dir, "l_partkey", "l_orderkey", "p").withColumnRenamed("key", "p_key")
+
+
+def _wide_forms(spark, sf_dir, group: str, member: str, kind: str, where: str = "true") -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where(where).groupBy(group).agg(canonical.members_table(F.col(member), 5).alias("tt"))
+    met = saved(rows.groupBy("tt").agg(F.count("*").alias("n")))
+    formed = met.join(canonical.classes(met, "tt", (kind,)), "tt")
+    return formed.groupBy(F.concat(F.lit("0b"), kind).alias("key")).agg(F.sum("n").alias("cnt"), F.count("*").alias("n_functions"))
+
+
+@query(f"""WITH {_wide_sql("l_suppkey", "l_orderkey", 5, _THIRDS)}, {_rows_sql(5, range(32))}, f AS (SELECT tt, n, max(greatest({_PICKED}, translate({_PICKED}, '01', '10'))) AS p FROM d, w GROUP BY 1, 2)
+SELECT '0b' || p AS key, CAST(sum(n) AS BIGINT) AS cnt, count(*) AS n_functions FROM f GROUP BY 1""")
+def q_npn_canonical_n5(spark, sf_dir):
+    """Five inputs: a supplier's function has a 1 in row i if an order with orderkey % 32 = i returned its third line, delivered by the supplier."""
+    return _wide_forms(spark, sf_dir, "l_suppkey", "l_orderkey", "npn", _THIRDS)
+
+
+@query(f"""WITH x AS ({{}}), y AS ({{}}), j AS (SELECT a, b, count(*) AS n FROM x JOIN y USING (c) GROUP BY 1, 2), {_rows_sql(5, [0])},
+f AS (SELECT a, b, n, min(least(p, q) || ';' || greatest(p, q)) AS joint_key FROM (SELECT a, b, n, {_PICKED.replace('tt', 'a')} AS p, {_PICKED.replace('tt', 'b')} AS q FROM j, w) GROUP BY 1, 2, 3)
+SELECT joint_key, CAST(sum(n) AS BIGINT) AS cnt FROM f GROUP BY 1""".format(
+    f"SELECT l_suppkey AS c, lpad(bin(bit_or(CAST(1 AS BIGINT) << CAST(31 - l_orderkey % 32 AS INTEGER))), 32, '0') AS a FROM lineitem WHERE {_THIRDS} GROUP BY 1",
+    "SELECT l_suppkey AS c, lpad(bin(bit_or(CAST(1 AS BIGINT) << CAST(31 - l_linenumber * l_quantity % 32 AS INTEGER))), 32, '0') AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1",
+))
+def q_joint_canonical_n5(spark, sf_dir):
+    """Two functions of five inputs for each supplier under one permutation: of the orders of `q_npn_canonical_n5`, and of its returned quantities by line."""
+    rows = table(spark, sf_dir, "lineitem")
+    a = rows.where(_THIRDS).groupBy("l_suppkey").agg(canonical.members_table(F.col("l_orderkey"), 5).alias("a"))
+    b = rows.where("l_returnflag = 'R'").groupBy("l_suppkey").agg(canonical.members_table((F.col("l_linenumber") * F.col("l_quantity")).cast("long"), 5).alias("b"))
+    met = saved(a.join(b, "l_suppkey").groupBy(F.array("a", "b").alias("outputs")).agg(F.count("*").alias("n")))
+    return met.join(canonical.joint_classes(met), "outputs").groupBy(F.col("joint").alias("joint_key")).agg(F.sum("n").alias("cnt"))
+
+
 _SWAP = space.permuted_rows((1, 0))
 _SPLIT_SQL = """t AS (SELECT l_orderkey AS c, lpad(bin(coalesce(bit_or(CASE WHEN l_returnflag = 'R' THEN CAST(1 AS BIGINT) << CAST(3 - l_partkey % 4 AS INTEGER) END), 0)), 4, '0') AS x,
 lpad(bin(coalesce(bit_or(CASE WHEN l_returnflag <> 'R' THEN CAST(1 AS BIGINT) << CAST(3 - l_partkey % 4 AS INTEGER) END), 0)), 4, '0') AS y FROM lineitem GROUP BY 1)"""

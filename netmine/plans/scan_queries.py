@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netmine.functions import expr, space, truth
+from netmine.functions import canonical, expr, space, truth
 from netmine.operators import checks, clusters, graph, transistors
 from netmine.plans import cone_sql
 from netmine.plans.catalogue import P3, _graph, forms_sql, query
@@ -115,11 +115,8 @@ def _canonical_sql(n: int) -> str:
 SELECT '0b' || p AS p_key, count(*) AS cnt FROM k GROUP BY 1""")
 def q_library_netlist_patterns(spark, sf_dir):
     """From the text of a library and of a netlist to pattern counts."""
-    t = _mined(spark, sf_dir).withColumn("value", F.conv("tt", 2, 10).cast("long"))
-    out = None
-    for n in (2, 3, 4):
-        part = t.where(F.length("tt") == 1 << n).join(space.p_dim(spark, n), "value").select(truth.key_column(F.col("p"), n).alias("p_key"))
-        out = part if out is None else out.union(part)
+    t = canonical.classified(saved(_mined(spark, sf_dir).select("tt")))
+    out = t.select(F.concat(F.lit("0b"), "p").alias("p_key"))
     return clusters.frequency(out)
 
 

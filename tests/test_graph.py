@@ -122,6 +122,19 @@ def test_evaluation_on_random_graphs(spark):
         assert r.tt == simulate(r.root, r.cells, gates, r.inputs)
 
 
+def test_evaluation_of_many_inputs(spark):
+    """Trees of up to nine outside nets: tables of several words, against simulation."""
+    rng = random.Random(4)
+    gates = {1: ("0110100110010110", [2, 3, 4, -9]), 2: ("11101000", [-1, -2, -3]), 3: ("0111", [-4, 5]), 4: ("1001", [-7, -8]), 5: ("0001", [-5, -6]), 6: ("01", [-1])}
+    gates |= {10 + i: (f"{rng.randrange(1 << (1 << n)):0{1 << n}b}", [-k for k in rng.sample(range(1, 12), n)]) for i, n in enumerate((5, 6, 7))}
+    found = spark.createDataFrame([(1, [1, 2, 3, 4, 5], [1, 2, 2, 2, 3]), (6, [6], [1])] + [(10 + i, [10 + i], [1]) for i in range(3)], "root long, cells array<long>, depths array<int>")
+    table = spark.createDataFrame([(i, tt, nets) for i, (tt, nets) in gates.items()], "id long, tt string, nets array<long>")
+    rows = graph.evaluate(found, table).collect()
+    assert {r.root: len(r.inputs) for r in rows} == {1: 9, 6: 1, 10: 5, 11: 6, 12: 7}
+    for r in rows:
+        assert r.tt == simulate(r.root, r.cells, gates, r.inputs)
+
+
 def brute_search(cells, edges, place, b):
     loads = {c: {l for d, l in edges if d == c} for c in cells}
     drivers = {c: {d for d, l in edges if l == c} for c in cells}
