@@ -5,7 +5,7 @@ One file for each nation unless said otherwise; paths are names only, nothing is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netmine.functions import canonical, expr, space, truth
@@ -13,7 +13,7 @@ from netmine.operators import checks, clusters, graph, transistors
 from netmine.plans import cone_sql
 from netmine.plans.catalogue import P3, _graph, forms_sql, query
 from netmine.session import saved, table
-from netmine.sources import blocks, lines
+from netmine.sources import blocks, lines, ranges
 
 
 def _files(spark, sf_dir, text, path="/lib/cell_{}_tt_0.7.lib") -> DataFrame:
@@ -62,10 +62,52 @@ def q_liberty_merge(spark, sf_dir):
     files = _files(spark, sf_dir, F.concat(
         F.lit('library (x) {\n date : "'), n, F.lit('";\n lu_table_template (grid) { variable_1 : "a'), (_k() % 2).cast("string"), F.lit('"; }\n cell (C'), n, F.lit(") { values (grid) { } }\n cell (D"), n, F.lit(") { }\n}\n"),
     ))
-    text = blocks.merged_library(files, "all")
-    merged = blocks.cell_names(text.select(F.lit("all_tt_.lib").alias("path"), "text")).agg(F.count("*").alias("n_cells"))
-    count = lambda pattern: F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).cast("long")
-    return text.select(count(r"lu_table_template \(grid_v\d\)").alias("n_templates"), count(r"values \(grid_v0\)").alias("first_variant"), count(r"values \(grid_v1\)").alias("second_variant")).crossJoin(merged)  # one row each
+    parts = blocks.merged_library(files)
+    return parts.agg(
+        F.count(F.when((F.col("kind") == "head") & F.col("text").rlike(r"lu_table_template \(grid_v\d\)"), 1)).alias("n_templates"), F.count(F.when(F.col("kind") == "cell", 1)).alias("n_cells"),
+        F.count(F.when(F.col("text").rlike(r"values \(grid_v0\)"), 1)).alias("first_variant"), F.count(F.when(F.col("text").rlike(r"values \(grid_v1\)"), 1)).alias("second_variant"),
+    )
+
+
+def _one_text(spark, sf_dir, path: str, begin: str, end: str, *lines, width: int = 5001) -> DataFrame:
+    """One text with these lines (columns over lineitem) for every line number of every order, by ranges whose borders fall anywhere between them."""
+    k = len(lines)
+    place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * k
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")])
+    rows = items.select(F.explode(F.array(*[F.struct((place + i).alias("no"), x.alias("line")) for i, x in enumerate(lines)])).alias("x")).select("x.no", "x.line")
+    ends = spark.range(2).select(F.when(F.col("id") == 0, F.lit(0)).otherwise(F.lit(1 << 60)).alias("no"), F.when(F.col("id") == 0, begin).otherwise(end).alias("line"))
+    return ranges.of_table(rows.union(ends), path, "no", "line", width)
+
+
+def _item() -> Column:
+    return F.concat(F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
+
+
+_ITEMS = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"""SELECT 'u' || l_orderkey || '_' || l_linenumber AS name, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS INT) AS number, 'G_' || l_returnflag AS master,
+'n' || l_partkey AS a, 's;' || l_suppkey AS y FROM {_ITEMS}""")
+def q_netlist_ranges(spark, sf_dir):
+    """One netlist of all order lines, in many tasks: statements of three lines with a comment and a name that hold semicolons."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    rows = blocks.netlist(_one_text(
+        spark, sf_dir, "/net/all.v", "module top (a); input a; /* open", "*/ endmodule", text("; */ G_", F.col("l_returnflag"), " u", _item(), " ( .A(n", F.col("l_partkey"), "), // u1 (;"),
+        text(" .Y(\\s;", F.col("l_suppkey"), " ) )"), text("; /* ;"),
+    )).where("number > 0")
+    pin = lambda p: F.max(F.when(F.col("pin") == p, F.col("net")))
+    return rows.groupBy("name", "number", "master").agg(pin("A").alias("a"), pin("Y").alias("y"))
+
+
+@query(f"SELECT 'C' || l_orderkey || '_' || l_linenumber AS name, l_quantity AS area, l_returnflag = 'R' AS is_seq, 'A' || l_partkey || ' {{' AS function FROM {_ITEMS}")
+def q_liberty_ranges(spark, sf_dir):
+    """One library with a cell for every order line, in many tasks: groups over several lines, braces in strings and comments."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    rows = blocks.liberty(_one_text(
+        spark, sf_dir, "/lib/all.lib", 'library (l) { note : "a { b";', "}", text("cell (C", _item(), ") { /* } */ area : ", F.col("l_quantity"), ";"),
+        text('pin (Y) { direction : output; function : "A', F.col("l_partkey"), ' {";'), text(F.when(F.col("l_returnflag") == "R", "} ff (IQ) { } }").otherwise("} } // {")),
+    ))
+    return rows.select("name", "area", "is_seq", F.col("functions")[0]["function"].alias("function"))
 
 
 def _netlist_files(spark, sf_dir, sequential: bool = False):
@@ -244,6 +286,16 @@ def q_pattern_block_scan(spark, sf_dir):
     return lines.pattern_blocks(files).select(F.regexp_extract("path", r"/(\d+)/", 1).cast("int").alias("k"), "canonical", "cluster", F.element_at("cells", 2).alias("second"))
 
 
+@query(f"""SELECT last_value(CASE WHEN l_linenumber % 3 = 0 THEN '0b' || bin(l_partkey % 16) END IGNORE NULLS) OVER (ORDER BY l_orderkey, l_linenumber) AS canonical,
+'clst' || (l_orderkey * 8 + l_linenumber) AS cluster, CAST(l_suppkey AS INT) AS second FROM {_ITEMS}""")
+def q_pattern_block_ranges(spark, sf_dir):
+    """One file of pattern blocks with a line for every order line, in many tasks; every third line number begins a block."""
+    cluster = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string")
+    head = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("canonical_key=0b"), F.bin(F.col("l_partkey") % 16))).otherwise("count=1")
+    text = _one_text(spark, sf_dir, "/run/all.txt", "# patterns", "", head, F.concat(F.lit("clst"), cluster, F.lit(": "), F.col("l_partkey").cast("string"), F.lit(" "), F.col("l_suppkey").cast("string")))
+    return lines.pattern_blocks(text).select("canonical", "cluster", F.element_at("cells", 2).alias("second"))
+
+
 @query("SELECT mode, a, b, count(*) AS n FROM nation CROSS JOIN (VALUES ('star', 'clst1', 'clst2'), ('star', 'clst1', 'clst3'), ('pairs', 'clst1', 'clst2'), ('pairs', 'clst1', 'clst3'), ('pairs', 'clst2', 'clst3')) v(mode, a, b) GROUP BY ALL")
 def q_overlap_line_scan(spark, sf_dir):
     files = _lines(spark, sf_dir, F.lit("# clst7 clst8"), F.lit("clst1 clst2 clst3"), F.lit("clst4"))

@@ -1,8 +1,9 @@
 """Scans of block-structured text into typed tables.
 
-Files are read whole, one row each, so a file's text is never split; parsing runs
-in Arrow batches with a schema that is stated, never inferred, and malformed
-input raises.
+Libraries and netlists are read by ranges (`ranges`): one file gives many tasks, and
+a task parses one cell or statement at a time.  Layout and circuit files are read whole,
+one row each.  Parsing runs in Arrow batches with a schema that is stated, never
+inferred, and malformed input raises.
 """
 
 from __future__ import annotations
@@ -11,9 +12,13 @@ import re
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netmine.operators.order import numbered
+from netmine.session import saved
+from netmine.sources import ranges
+
 _SEQUENTIAL = frozenset(["ff", "ff_bank", "latch", "latch_bank", "statetable", "sequential"])
 
 
@@ -39,10 +44,14 @@ def _mapped(files: DataFrame, parse, schema: str, arrow: pa.Schema) -> DataFrame
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}();:,]|[^\s{}();:,"]+')
 
 
+def _lines(source: DataFrame) -> DataFrame:
+    """Lines by ranges as they are, or those of whole texts (path, text)."""
+    return source if "value" in source.columns else ranges.of_texts(source)
+
+
 def _statements(text: str):
-    """Nested groups as (name, arguments, attributes, groups)."""
-    text = re.sub(r"/\*.*?\*/|//[^\n]*", " ", text, flags=re.S).replace("\\\n", " ")
-    tokens = _TOKEN.findall(text)
+    """Nested groups as (name, arguments, attributes, groups) of a text without comments."""
+    tokens = _TOKEN.findall(text.replace("\\\n", " "))
     root = ("", [], {}, [])
     stack, i = [root], 0
     while i < len(tokens):
@@ -75,39 +84,40 @@ def _statements(text: str):
     return root
 
 
-def _groups(node, name):
-    for g in node[3]:
-        if g[0] == name:
-            yield g
-        elif g[0] == "library":
-            yield from _groups(g, name)
-
-
-def parse_liberty(path: str, text: str):
-    for cell in _groups(_statements(text), "cell"):
-        pins, functions, sequential = [], [], any(g[0] in _SEQUENTIAL for g in cell[3])
-        for g in cell[3]:
-            if g[0] == "bus":
-                raise ValueError(f"{path}: bus in cell {cell[1][0]} is not supported")
-            names = g[1] if g[0] == "pin" else re.split(r"[,\s]+", g[2].get("members", "")) if g[0] == "bundle" else []
-            inner = [g] if g[0] == "pin" else [x for x in g[3] if x[0] == "pin"]
-            attributes = {**g[2], **(inner[0][2] if g[0] == "bundle" and inner else {})}
-            direction = attributes.get("direction", "")
-            for name in filter(None, names):
-                if direction in ("input", "output", "inout"):
-                    pins.append({"name": name, "direction": direction})
-                    if direction == "output" and "function" in attributes:
-                        functions.append({"pin": name, "function": attributes["function"]})
-        area = float(cell[2]["area"]) if "area" in cell[2] else None
-        yield path, cell[1][0], area, sequential, pins, functions
-
-
-def liberty(files: DataFrame) -> DataFrame:
-    """One row for each library cell; pins of other directions than input, output and inout are dropped."""
+#: A record that is a cell.
+_CELL = r"^\s*cell\s*\("
+
+
+def _cell(path: str, cell: tuple):
+    pins, functions, sequential = [], [], any(g[0] in _SEQUENTIAL for g in cell[3])
+    for g in cell[3]:
+        if g[0] == "bus":
+            raise ValueError(f"{path}: bus in cell {cell[1][0]} is not supported")
+        names = g[1] if g[0] == "pin" else re.split(r"[,\s]+", g[2].get("members", "")) if g[0] == "bundle" else []
+        inner = [g] if g[0] == "pin" else [x for x in g[3] if x[0] == "pin"]
+        attributes = {**g[2], **(inner[0][2] if g[0] == "bundle" and inner else {})}
+        direction = attributes.get("direction", "")
+        for name in filter(None, names):
+            if direction in ("input", "output", "inout"):
+                pins.append({"name": name, "direction": direction})
+                if direction == "output" and "function" in attributes:
+                    functions.append({"pin": name, "function": attributes["function"]})
+    area = float(cell[2]["area"]) if "area" in cell[2] else None
+    return path, cell[1][0], area, sequential, pins, functions
+
+
+def _parsed_cells(path: str, text: str):
+    for group in _statements(text)[3]:
+        if group[0] == "cell":
+            yield _cell(path, group)
+
+
+def liberty(source: DataFrame) -> DataFrame:
+    """One row for each library cell of texts (path, text) or of lines by ranges; pins of other directions than input, output and inout are dropped."""
     pin = pa.list_(pa.struct([("name", pa.string()), ("direction", pa.string())]))
     fun = pa.list_(pa.struct([("pin", pa.string()), ("function", pa.string())]))
     return _mapped(
-        files, parse_liberty,
+        ranges.records(ranges.LIBRARY, _lines(source)).where(F.col("text").rlike(_CELL)), _parsed_cells,
         "path string, name string, area double, is_seq boolean, pins array<struct<name: string, direction: string>>, functions array<struct<pin: string, function: string>>",
         pa.schema([("path", pa.string()), ("name", pa.string()), ("area", pa.float64()), ("is_seq", pa.bool_()), ("pins", pin), ("functions", fun)]),
     )
@@ -137,90 +147,91 @@ def cell_names(files: DataFrame) -> DataFrame:
     return files.select("path", stem.alias("stem"), F.explode(F.regexp_extract_all("text", F.lit(r"\bcell\s*\(\s*\"?([^\s\")]+)"), F.lit(1))).alias("name"))
 
 
-def _library_text(path: str, text: str) -> tuple[str, list[str]]:
-    """What stands in a library before its first cell, and the cells."""
-    start = re.search(r"\blibrary\s*\([^)]*\)\s*\{", text)
-    if not start:
-        raise ValueError(f"{path}: no library")
-    depth, at, cells, head, begin = 1, start.end(), [], None, None
-    for m in re.finditer(r"[{}]|\bcell\s*\(", text[at:]):
-        place = at + m.start()
-        if m[0] == "{":
-            depth += 1
-        elif m[0] == "}":
-            depth -= 1
-            if depth == 1 and begin is not None:
-                cells.append(text[begin : place + 1])
-                begin = None
-            if depth == 0:
-                break
-        elif depth == 1 and begin is None:
-            begin = place
-            head = text[at:place] if head is None else head
-    if not cells:
-        raise ValueError(f"{path}: no cell")
-    return head, cells
-
-
-def merged_library(files: DataFrame, name: str) -> DataFrame:
-    """One library text from many: files with equal heads (comments and date aside) form a variant, whose templates get the ending _v<number>.
-
-    Variants are numbered in the order of their first path.  A library is a few MB, so all of it is one row.
-    """
-    schema = pa.schema([("path", pa.string()), ("head", pa.string()), ("cells", pa.list_(pa.string()))])
+def _bare(text: str) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
-    def run(batches):
-        for batch in batches:
-            found = [(p, *_library_text(p, t)) for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in found], schema=schema)
 
-    parts = files.select("path", "text").mapInArrow(run, "path string, head string, cells array<string>")
-    plain = F.regexp_replace(F.regexp_replace("head", r"(?s)/\*.*?\*/\s*", ""), r'(?m)^\s*date\s*:\s*"[^"]*";\s*\n', "")
-    variants = parts.groupBy(plain.alias("plain")).agg(
-        F.min("path").alias("first"), F.min_by("head", "path").alias("head"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("path", "cells"))), lambda x: x["cells"])).alias("cells")
-    )
-    every = variants.agg(F.array_sort(F.collect_list(F.struct("first", "head", "cells"))).alias("v"))
-    one = every.select(F.posexplode("v").alias("k", "v")).select("k", "v.head", "v.cells")
+def merged_library(source: DataFrame) -> DataFrame:
+    """The parts of one library made from many: variant, path, block, seq, kind (head or cell), text; write them in this order.
+
+    What stands in a file before its first cell is its head.  Files with equal heads (comments and date aside) form a
+    variant, numbered by first path, whose templates get the ending _v<number>, in its one head and in its cells.  A head
+    is one value; cells stay rows, so the merged text is never in one task.
+    """
+    parts = saved(ranges.records(ranges.LIBRARY, _lines(source)).withColumn("is_cell", F.col("text").rlike(_CELL)))
+    place = F.struct("block", "seq")
+    first = parts.where("is_cell").groupBy("path").agg(F.min(place).alias("first"))
+    before = parts.join(first, "path").where((F.struct("block", "seq") < F.col("first")) & ~F.col("text").rlike(r"^\s*library\s*\("))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", _bare("text").alias("text")))), lambda x: x["text"])
+    plain = F.array_join(F.filter("listed", lambda x: ~x.rlike(r'^date\s*:')), "\n")
+    heads = first.join(before.groupBy("path").agg(listed.alias("listed")), "path", "left").select("path", F.coalesce(F.array_join("listed", "\n"), F.lit("")).alias("head"), F.coalesce(plain, F.lit("")).alias("plain"))
+    kinds = numbered(heads.groupBy("plain").agg(F.min("path").alias("path"), F.min_by("head", "path").alias("head")), [F.col("path").asc()], "variant")
     template = r"\b\w+\s*\(\s*\"?([A-Za-z_]\w*)\"?\s*\)\s*\{"
-    named = one.withColumn("t", F.array_distinct(F.regexp_extract_all("head", F.lit(template), F.lit(1))))
-    ending = lambda text: F.aggregate("t", text, lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(r"\b"), x, F.lit(r"\b")), F.concat(x, F.lit("_v"), F.col("k").cast("string"))))
-    done = named.select("k", ending(F.col("head")).alias("head"), ending(F.array_join("cells", "\n\n")).alias("cells"))
-    joined = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]), sep)
-    return done.agg(joined("head", "\n").alias("head"), joined("cells", "\n\n").alias("cells")).select(F.concat(F.lit(f"library ({name}) {{\n"), F.col("head"), F.lit("\n"), F.col("cells"), F.lit("\n}\n")).alias("text"))
+    kinds = saved(kinds.withColumn("t", F.array_distinct(F.regexp_extract_all("head", F.lit(template), F.lit(1)))))
+    ending = lambda text: F.aggregate("t", text, lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(r"\b"), x, F.lit(r"\b")), F.concat(x, F.lit("_v"), F.col("variant").cast("string"))))
+    top = kinds.select("variant", "path", F.lit(-1).cast("long").alias("block"), F.lit(-1).cast("long").alias("seq"), F.lit("head").alias("kind"), ending(F.col("head")).alias("text"))
+    of_path = heads.join(kinds.select("plain", "variant", "t"), "plain").select("path", "variant", "t")
+    cells = parts.where("is_cell").join(of_path, "path").select("variant", "path", "block", "seq", F.lit("cell").alias("kind"), ending(_bare("text")).alias("text"))
+    return top.union(cells)
 
 
 # ---------------------------------------------------------------- netlists
 
 
-def parse_netlist(path: str, text: str):
-    """Rows (path, module, instance number, name, master, pin, net) of gate-level modules; ports have number 0."""
-    text = re.sub(r"/\*.*?\*/|//[^\n]*|\(\*.*?\*\)", " ", text, flags=re.S)
-    for m in re.finditer(r"\bmodule\s+([\w\\$.\[\]]+)(.*?)\bendmodule\b", text, flags=re.S):
-        module, number = m[1], 0
-        for statement in m[2].split(";"):
-            s = statement.strip()
-            kind = re.match(r"(input|output|inout)\b\s*(?:wire\b)?\s*(?:\[[^\]]*\])?\s*(.*)$", s, flags=re.S)
-            if kind:
-                for port in filter(None, (x.strip() for x in kind[2].split(","))):
-                    yield path, module, 0, port, kind[1], port, port
-                continue
-            inst = re.match(r"([A-Za-z_]\w*)\s+(\\\S+\s|[\w$.\[\]]+)\s*\((.*)\)\s*$", s, flags=re.S)
-            if not inst or inst[1] in ("wire", "assign", "supply0", "supply1", "reg", "parameter", "module"):
-                continue
-            number += 1
-            for pin, net in re.findall(r"\.(\w+)\s*\(\s*([^()]*?)\s*\)", inst[3]):
-                if net.startswith("{"):
-                    raise ValueError(f"{path}: concatenation at {inst[2].strip()}.{pin}")
-                constant = re.fullmatch(r"1'b([01x])", net)
-                yield path, module, number, inst[2].strip().lstrip("\\"), inst[1], pin, f"$const${constant[1]}" if constant else net.lstrip("\\").strip()
-
-
-def netlist(files: DataFrame) -> DataFrame:
-    """Connections in file order; instance numbers count from 1 within a module, ports are 0 with their direction as master."""
-    names = ["path", "module", "number", "name", "master", "pin", "net"]
-    return _mapped(
-        files, parse_netlist, "path string, module string, number int, name string, master string, pin string, net string",
-        pa.schema([(n, pa.int32() if n == "number" else pa.string()) for n in names]),
+_PORT = re.compile(r"(input|output|inout)\b\s*(?:wire\b)?\s*(?:\[[^\]]*\])?\s*(.*)$", flags=re.S)
+_INSTANCE = re.compile(r"([A-Za-z_]\w*)\s+(\\\S+\s|[\w$.\[\]]+)\s*\((.*)\)\s*$", flags=re.S)
+_CONNECTION = re.compile(r"\.(\w+)\s*\(\s*([^()]*?)\s*\)")
+_NOT_MASTERS = frozenset(["wire", "assign", "supply0", "supply1", "reg", "parameter", "module"])
+
+
+def _statement(path: str, text: str):
+    """Rows (is_instance, name, master, pin, net) of one statement: an instance's connections, or ports, whose master is their direction."""
+    s = text.strip()
+    kind = _PORT.match(s)
+    if kind:
+        for port in filter(None, (x.strip() for x in kind[2].split(","))):
+            yield False, port, kind[1], port, port
+        return
+    inst = _INSTANCE.match(s)
+    if not inst or inst[1] in _NOT_MASTERS:
+        return
+    name, found = inst[2].strip().lstrip("\\"), False
+    for pin, net in _CONNECTION.findall(inst[3]):
+        if net.startswith("{"):
+            raise ValueError(f"{path}: concatenation at {name}.{pin}")
+        constant, found = re.fullmatch(r"1'b([01x])", net), True
+        yield True, name, inst[1], pin, f"$const${constant[1]}" if constant else net.lstrip("\\").strip()
+    if not found:
+        yield True, name, inst[1], None, None  # it has a number all the same
+
+
+def netlist(source: DataFrame) -> DataFrame:
+    """Connections (path, module, number, name, master, pin, net) of the modules of texts (path, text) or of lines by ranges.
+
+    Instance numbers count from 1 within a module, ports are 0 with their direction as master.  A number is the place
+    inside a range and what the ranges before it hold.
+    """
+    names = ["path", "module", "block", "seq", "is_instance", "name", "master", "pin", "net"]
+    schema = pa.schema([(n, pa.int64() if n in ("block", "seq") else pa.bool_() if n == "is_instance" else pa.string()) for n in names])
+
+    def run(batches):
+        for batch in batches:
+            path, block, seq, module, text = (batch.column(c).to_pylist() for c in ("path", "block", "seq", "carry", "text"))
+            rows = ((p, m, b, k, *r) for p, b, k, m, t in zip(path, block, seq, module, text) for r in _statement(p, t))
+            while piece := list(islice(rows, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*piece), schema.types)], schema=schema)
+
+    statements = ranges.records(ranges.NETLIST, _lines(source)).where(F.col("carry").isNotNull())
+    ddl = ", ".join(f"{n} {'long' if n in ('block', 'seq') else 'boolean' if n == 'is_instance' else 'string'}" for n in names)
+    rows = saved(statements.mapInArrow(run, ddl))
+    module = ["path", "module"]
+    instances = rows.where("is_instance").select(*module, "block", "seq").distinct()
+    inside = instances.withColumn("place", F.row_number().over(Window.partitionBy(*module, "block").orderBy("seq")))
+    earlier = Window.partitionBy(*module).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = instances.groupBy(*module, "block").agg(F.count("*").alias("n")).select(*module, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbers = inside.join(before, [*module, "block"]).select(*module, "block", "seq", (F.col("before") + F.col("place")).cast("int").alias("number"))
+    return rows.join(numbers, [*module, "block", "seq"], "left").where("NOT is_instance OR pin IS NOT NULL").select(
+        *module, F.coalesce("number", F.lit(0)).alias("number"), "name", "master", "pin", "net"
     )
 
 

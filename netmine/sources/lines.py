@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netmine.sources import ranges
+
 
 def numbered(files: DataFrame) -> DataFrame:
     """path, line number from 0, line; of files read whole."""
     return files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("no", "line"))
 
 
-def pattern_blocks(files: DataFrame) -> DataFrame:
+def by_ranges(source: DataFrame) -> DataFrame:
+    """Lines by ranges (path, block, at, value) as they are, or those of whole texts (path, text)."""
+    return source if "value" in source.columns else ranges.of_texts(source)
+
+
+def carried(rows: DataFrame, name: Column, into: str) -> DataFrame:
+    """The rows (path, block, at, ...) with the last non-null `name` up to each: last inside its range, else of the ranges before it.
+
+    The second look has one row for each range.
+    """
+    marked = rows.withColumn("__own", name)
+    ends = marked.groupBy("path", "block").agg(F.max_by("__own", F.when(F.col("__own").isNotNull(), F.col("at"))).alias("__end"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("path", "block", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+    inside = F.last("__own", ignorenulls=True).over(Window.partitionBy("path", "block").orderBy("at"))
+    found = marked.withColumn("__in", inside).join(before, ["path", "block"])
+    return found.withColumn(into, F.coalesce("__in", "__before")).drop("__own", "__in", "__before")
+
+
+def pattern_blocks(source: DataFrame) -> DataFrame:
     """canonical, cluster, cells from `canonical_key=` headers and `clst<N>: ids` lines; other lines are ignored."""
-    rows = numbered(files).withColumn("head", F.regexp_extract("line", r"canonical_key=(\S+)", 1))
-    filled = rows.withColumn("canonical", F.last(F.when(F.col("head") != "", F.col("head")), ignorenulls=True).over(Window.partitionBy("path").orderBy("no")))
-    members = filled.where(F.col("line").rlike(r"^\s*clst\d+\s*:"))
-    ids = F.transform(F.regexp_extract_all(F.split_part("line", F.lit(":"), F.lit(2)), F.lit(r"(\d+)"), 1), lambda x: x.cast("int"))
-    return members.select("path", "canonical", F.regexp_extract("line", r"(clst\d+)", 1).alias("cluster"), ids.alias("cells"))
+    head, member = F.regexp_extract("value", r"canonical_key=(\S+)", 1), F.col("value").rlike(r"^\s*clst\d+\s*:")
+    rows = by_ranges(source).where(member | (head != ""))
+    members = carried(rows, F.when(head != "", head), "canonical").where(member)
+    ids = F.transform(F.regexp_extract_all(F.split_part("value", F.lit(":"), F.lit(2)), F.lit(r"(\d+)"), 1), lambda x: x.cast("int"))
+    return members.select("path", "canonical", F.regexp_extract("value", r"(clst\d+)", 1).alias("cluster"), ids.alias("cells"))
 
 
-def overlap_lines(files: DataFrame, mode: str = "pairs") -> DataFrame:
+def overlap_lines(source: DataFrame, mode: str = "pairs") -> DataFrame:
     """a, b from lines of cluster names: the first with each other (star), or every two (pairs)."""
     if mode not in ("star", "pairs"):
         raise ValueError(f"unknown mode {mode!r}")
-    rows = numbered(files).where(~F.col("line").startswith("#")).select(F.regexp_extract_all("line", F.lit(r"(clst\d+)"), 1).alias("c")).where(F.size("c") > 1)
+    rows = by_ranges(source).where(~F.col("value").startswith("#")).select(F.regexp_extract_all("value", F.lit(r"(clst\d+)"), 1).alias("c")).where(F.size("c") > 1)
     if mode == "star":
         return rows.select(F.element_at("c", 1).alias("a"), F.explode(F.slice("c", 2, F.size("c"))).alias("b"))
     one = rows.select("c", F.posexplode("c").alias("i", "a"))
