@@ -1,15 +1,27 @@
 """Pattern mining over clusters: frequency, roll-up, rank, overlap, containment, coverage.
 
 A cluster table has `cluster` and `cell`; members are a set, so repeats are
-dropped where they would count.  Relations between clusters come from one
-equi-join on the shared cell, aggregated to (a, b) before anything is joined to it.
+dropped where they would count.  Pairs of clusters are made only where pairs are asked
+for; counts of neighbours, ratios and containment come from cells and sets of cells.
+A cell of more than HOT clusters is never joined with itself as a whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netmine.operators.order import numbered
+
+#: Clusters of a cell beyond which it is hot: its clusters are counted by their hot cells, and pairs are made in blocks of so many.
+HOT = 2048
+#: Edges that one task joins into components without another round.
+ONE_TASK = 1 << 20
+
 
 def members(rows: DataFrame, cluster: str, cell: str) -> DataFrame:
     return rows.select(F.col(cluster).alias("cluster"), F.col(cell).alias("cell")).distinct()
@@ -38,13 +50,8 @@ def roll_up(counts: DataFrame, relation: DataFrame) -> DataFrame:
 
 
 def positions(rows: DataFrame, count: str, key: str) -> DataFrame:
-    """rank_no from 0 by count descending and key, rank_norm = rank_no / (N - 1), 0 if N is 1.
-
-    The key space is finite (one row for each function class), so one ordered task is bounded.
-    """
-    order = Window.orderBy(F.col(count).desc(), F.col(key))
-    n = F.count("*").over(Window.partitionBy())
-    ranked = rows.select("*", (F.row_number().over(order) - 1).cast("long").alias("rank_no"), n.alias("__n"))
+    """rank_no from 0 by count descending and key, rank_norm = rank_no / (N - 1), 0 if N is 1."""
+    ranked = numbered(rows, [F.col(count).desc(), F.col(key).asc()], total="__n")
     return ranked.withColumn("rank_norm", F.when(F.col("__n") > 1, F.round(F.col("rank_no") / (F.col("__n") - 1), 6)).otherwise(F.lit(0.0))).drop("__n")
 
 
@@ -55,10 +62,20 @@ def grouped_roll_up(counts: DataFrame, relation: DataFrame, labels: DataFrame) -
     return one.groupBy("grp").agg(F.min("np_key").alias("np_key"), F.sum("cnt").alias("cnt"), F.count("*").alias("n_classes"))
 
 
-def overlap_pairs(member: DataFrame) -> DataFrame:
-    """a < b and the number of cells they share."""
-    left, right = member.toDF("a", "cell"), member.toDF("b", "cell")
-    return left.join(right, "cell").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+def overlap_pairs(member: DataFrame, saved: Callable, block: int = HOT) -> DataFrame:
+    """a < b and the number of cells they share.
+
+    The clusters of a hot cell, one with more than `block` clusters, are dealt into blocks, each of which meets the whole
+    cell, so a hot cell is as many tasks as it has blocks.
+    """
+    hot = saved(member.groupBy("cell").agg(F.count("*").alias("k")).where(F.col("k") > block).select("cell", F.ceil(F.col("k") / block).cast("int").alias("n")))
+    rest = member.join(hot, "cell", "left_anti").select("cluster", "cell")
+    met = rest.toDF("a", "cell").join(rest.toDF("b", "cell"), "cell").where("a < b").select("a", "b")
+    dealt = member.join(hot, "cell")
+    left = dealt.select(F.col("cluster").alias("a"), "cell", F.pmod(F.xxhash64("cluster"), "n").cast("int").alias("block"))
+    right = dealt.select(F.col("cluster").alias("b"), "cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    met_hot = left.join(right, ["cell", "block"]).where("a < b").select("a", "b")
+    return met.union(met_hot).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def with_sizes(pairs: DataFrame, member: DataFrame) -> DataFrame:
@@ -70,12 +87,72 @@ def jaccard(pairs: DataFrame) -> Column:
     return F.round(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")), 6)
 
 
-def contained(pairs: DataFrame) -> DataFrame:
-    """Strictly contained clusters: sub, sup."""
-    return pairs.where("shared = least(size_a, size_b) AND size_a <> size_b").select(
-        F.when(F.col("size_a") < F.col("size_b"), F.col("a")).otherwise(F.col("b")).alias("sub"),
-        F.when(F.col("size_a") < F.col("size_b"), F.col("b")).otherwise(F.col("a")).alias("sup"),
+def containment_candidates(sets: DataFrame) -> DataFrame:
+    """sub, sup (numbers of `sets`: id, cells, size) where sup holds the rarest cell of sub, is larger, and has all bits of its mask.
+
+    A set is probed under one cell only, the one that the fewest sets have.
+    """
+    mask = F.expr("aggregate(cells, 0L, (m, c) -> m | shiftleft(1L, cast(pmod(xxhash64(c), 64) AS int)))")
+    marked = sets.select("id", "size", "cells", mask.alias("mask"))
+    posted = marked.select("id", "size", "mask", F.explode("cells").alias("cell"))
+    spread = posted.groupBy("cell").agg(F.count("*").alias("n"))
+    asked = posted.join(spread, "cell").groupBy(F.col("id").alias("sub")).agg(F.min(F.struct("n", "cell")).alias("r"), F.first("size").alias("sub_size"), F.first("mask").alias("sub_mask"))
+    met = asked.select("sub", "sub_size", "sub_mask", F.col("r.cell").alias("cell")).join(posted, "cell")
+    return met.where("sub_size < size AND sub_mask & ~mask = 0").select("sub", F.col("id").alias("sup"))
+
+
+def contained(member: DataFrame, saved: Callable) -> DataFrame:
+    """Strictly contained clusters: sub, sup.
+
+    Equal sets of cells are one set until the end, so copies cost nothing before they are listed.  Candidates have passed
+    a mask of 64 bits; the cells decide.
+    """
+    listed = member.groupBy("cluster").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    listed = saved(listed)
+    sets = saved(listed.groupBy("cells").agg(F.min("cluster").alias("id"), F.count("*").alias("copies")).withColumn("size", F.size("cells")))
+    met = saved(containment_candidates(sets))
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("cells").alias(f"cells_{side}"))
+    held = met.join(of("sub"), "sub").join(of("sup"), "sup").where(F.size(F.array_except("cells_sub", "cells_sup")) == 0).select("sub", "sup")
+    copied = sets.where("copies > 1").select("id", "cells").join(listed, "cells").select("id", "cluster")
+    every = lambda side: copied.select(F.col("id").alias(side), F.col("cluster").alias(f"c_{side}"))
+    named = held.join(every("sub"), "sub", "left").join(every("sup"), "sup", "left")
+    return named.select(F.coalesce("c_sub", "sub").alias("sub"), F.coalesce("c_sup", "sup").alias("sup"))
+
+
+def neighbour_counts(member: DataFrame, saved: Callable, key: DataFrame | None = None, asked: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """cluster, and with `key` (cluster, p_key) the p_key of neighbours, and n: the number of other clusters that share a cell.
+
+    Only clusters of `asked` (cluster) are counted for, if given; those without a neighbour have no row.  No pair becomes
+    a row.  A cell that at most `hot` clusters have is posted as one array, and a cluster takes the union of its arrays.
+    Clusters that meet in a hot cell are counted by the hot cells they have: distinct sets of hot cells are compared,
+    not clusters, and a cluster's arrays leave out those it has met there.
+    """
+    per = [] if key is None else ["p_key"]
+    spread = member.groupBy("cell").agg((F.count("*") > hot).alias("is_hot"))
+    tagged = member.join(spread, "cell")
+    light = F.collect_list(F.when(~F.col("is_hot"), F.col("cell")))
+    heavy = F.array_sort(F.collect_list(F.when(F.col("is_hot"), F.col("cell"))))
+    sets = tagged.groupBy("cluster").agg(light.alias("light"), heavy.alias("heavy"))
+    sets = saved(sets if key is None else sets.join(key.select("cluster", "p_key"), "cluster"))
+    own = sets if asked is None else sets.join(asked.select("cluster").distinct(), "cluster", "left_semi")
+    hot_less = F.size("heavy") == 0
+    posted = sets.select(F.explode("light").alias("cell"), *per, "cluster", "heavy").groupBy("cell", *per).agg(
+        F.collect_list(F.when(hot_less, F.col("cluster"))).alias("near"), F.collect_list(F.when(~hot_less, F.struct("cluster", "heavy"))).alias("mixed")
     )
+    probed = own.select(F.explode("light").alias("cell"), F.col("cluster").alias("own"), F.col("heavy").alias("own_heavy")).join(posted, "cell")
+    fresh = F.transform(F.filter("mixed", lambda c: ~F.arrays_overlap(c["heavy"], F.col("own_heavy"))), lambda c: c["cluster"])
+    met = F.when(F.size("mixed") == 0, F.col("near")).otherwise(F.concat("near", fresh))
+    by_own = probed.select("own", *per, met.alias("met")).groupBy("own", *per).agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    by_light = by_own.select("own", *per, (F.size("met") - F.array_contains("met", F.col("own")).cast("int")).cast("long").alias("n"))
+    # hot cells: how many clusters have one of a set's cells
+    counted = sets.where(F.size("heavy") > 0).groupBy("heavy", *per).agg(F.count("*").alias("n"))
+    theirs = counted.select(F.explode("heavy").alias("cell"), F.col("heavy").alias("theirs"), *per, "n")
+    mine = own.where(F.size("heavy") > 0).select("heavy").distinct().select(F.explode("heavy").alias("cell"), F.col("heavy").alias("mine"))
+    met_hot = mine.join(theirs, "cell").select("mine", "theirs", *per, "n").distinct().groupBy("mine", *per).agg(F.sum("n").alias("n"))
+    of_own = own.where(F.size("heavy") > 0).select(F.col("cluster").alias("own"), F.col("heavy").alias("mine"), *[F.col(c).alias("own_key") for c in per])
+    itself = F.lit(1) if key is None else (F.col("p_key") == F.col("own_key")).cast("long")
+    by_heavy = of_own.join(met_hot, "mine").select("own", *per, (F.col("n") - itself).alias("n"))
+    return by_light.union(by_heavy).groupBy(F.col("own").alias("cluster"), *per).agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -83,39 +160,90 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
 
 
-def components(member: DataFrame, saved) -> DataFrame:
-    """cluster, component: least cluster reachable through shared cells.
-
-    The pair list is never made: labels go from clusters to cells and back, then jump to their label's label; a round
-    costs two shuffles of the members, which are written once, and its labels are written, so that plans and the size
-    estimates in them stay as small as in the first round.
+def _joined(edges: DataFrame) -> DataFrame:
+    """(node, root): in each partition every node with the least node that the partition's edges (u, v) lead to; nodes are longs."""
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+
+    def run(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        u, v = (np.concatenate(c) for c in zip(*held))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        u, v = at[: len(u)], at[len(u) :]
+        root = np.arange(len(nodes))
+        while True:  # each edge hooks the larger root to the smaller, then paths are halved
+            a, b = root[u], root[v]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            if (low == high).all():
+                break
+            np.minimum.at(root, high, low)
+            while (root != root[root]).any():
+                root = root[root]
+            open_ = root[u] != root[v]
+            u, v = u[open_], v[open_]
+        for k in range(0, len(nodes), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]])], schema=schema)
+
+    return edges.select("u", "v").mapInArrow(run, "node long, root long")
+
+
+def _labels(edges: DataFrame, saved: Callable, one_task: int) -> DataFrame:
+    """(node, root): the least node that each node of the edges (u, v) reaches.
+
+    Every task first joins what its own edges join, so that only stars are left: each node with its task's root.  While
+    these are too many for one task, nodes pass their least neighbour on to the larger ones and then to the smaller ones,
+    which keeps components and lowers the diameter; rounds replace each other's files.
     """
-    member = saved(member.select("cluster", "cell").distinct())
-    labels = saved(member.select("cluster").distinct().select("cluster", F.col("cluster").alias("component")))
-    total = None
+    stars, rounds, total = saved(_joined(edges).where("node <> root").toDF("u", "v").distinct()), 0, None
     while True:
-        cells = member.join(labels, "cluster").groupBy("cell").agg(F.min("component").alias("low"))
-        low = member.join(cells, "cell").groupBy("cluster").agg(F.min("low").alias("component"))
-        jump = labels.select(F.col("cluster").alias("component"), F.col("component").alias("further"))
-        labels = saved(low.join(jump, "component", "left").select("cluster", F.least("component", "further").alias("component")))
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
+        sums = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if sums.n <= one_task:
+            return saved(_joined(stars.coalesce(1)), instead=stars)
+        if (sums.n, sums.h) == total:  # stars of stars: every node knows its root
+            roots = stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return saved(stars.toDF("node", "root").union(roots), instead=stars)
+        total, rounds = (sums.n, sums.h), rounds + 1
+        both = stars.union(stars.select("v", "u")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = saved(large, instead=stars)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))  # all edges lead down
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        stars = saved(small, instead=large)
+
+
+def components(member: DataFrame, saved: Callable, one_task: int = ONE_TASK) -> DataFrame:
+    """cluster, component: least cluster reachable through shared cells.  Clusters are integers.
+
+    A cell links its clusters to its least one, so there are no more edges than members.
+    """
+    member = member.select(F.col("cluster").cast("long").alias("cluster"), "cell")
+    least = member.groupBy("cell").agg(F.min("cluster").alias("v"))
+    edges = member.join(least, "cell").where("cluster <> v").select(F.col("cluster").alias("u"), "v")
+    labels = _labels(edges, saved, one_task)
+    alone = member.select("cluster").distinct()
+    return alone.join(labels.select(F.col("node").alias("cluster"), "root"), "cluster", "left").select("cluster", F.coalesce("root", "cluster").alias("component"))
 
 
-def weighted_counts(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
-    degree = both_ways(pairs).groupBy("a").agg(F.count("*").alias("degree")).withColumnRenamed("a", "cluster")
-    share = 1.0 / (1 + F.coalesce("degree", F.lit(0)))
-    return keyed.join(degree, "cluster", "left").groupBy("p_key").agg(F.round(F.sum(share), 6).alias("weighted"), F.count("*").alias("cnt"))
+def weighted_counts(neighbours: DataFrame, keyed: DataFrame) -> DataFrame:
+    """neighbours: cluster, n.  Each cluster counts as one over itself and its neighbours."""
+    share = 1.0 / (1 + F.coalesce("n", F.lit(0)))
+    return keyed.join(neighbours.select("cluster", "n"), "cluster", "left").groupBy("p_key").agg(F.round(F.sum(share), 6).alias("weighted"), F.count("*").alias("cnt"))
 
 
-def overlap_ratio(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Share of the clusters of key_a that touch at least one cluster of key_b."""
+def overlap_ratio(member: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Share of the clusters of key_a that touch at least one cluster of key_b.
+
+    A cell passes on the set of keys that its clusters have, not the clusters.
+    """
     key = keyed.select("cluster", "p_key")
-    near = both_ways(pairs).join(key.toDF("b", "key_b"), "b").select("a", "key_b").distinct()
-    near = near.join(key.toDF("a", "key_a"), "a").where("key_a <> key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("touching"))
-    return near.join(key.groupBy("p_key").agg(F.count("*").alias("n")).toDF("key_a", "n"), "key_a").select(
+    rows = member.join(key, "cluster")
+    held = rows.groupBy("cell").agg(F.collect_set("p_key").alias("keys")).where(F.size("keys") > 1)
+    near = rows.join(held, "cell").groupBy("cluster", "p_key").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    touching = near.select(F.col("p_key").alias("key_a"), F.explode("keys").alias("key_b")).where("key_a <> key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("touching"))
+    return touching.join(key.groupBy("p_key").agg(F.count("*").alias("n")).toDF("key_a", "n"), "key_a").select(
         "key_a", "key_b", F.round(F.col("touching") / F.col("n"), 6).alias("overlap_ratio")
     )
 
@@ -129,13 +257,12 @@ def presence(member: DataFrame, keyed: DataFrame, master: DataFrame) -> DataFram
     return held.join(n, "p_key").select("p_key", "master", F.round(F.col("c") / F.col("n"), 6).alias("m1"), F.round(F.col("k") / F.col("n"), 6).alias("m2"))
 
 
-def secondary(pairs: DataFrame, keyed: DataFrame, primary: DataFrame, k: int) -> DataFrame:
+def secondary(member: DataFrame, keyed: DataFrame, primary: DataFrame, k: int, saved: Callable) -> DataFrame:
     """For the clusters of the primary key: neighbours by key, most in one cluster, top k."""
     key = keyed.select("cluster", "p_key")
-    own = key.join(primary.select("p_key"), "p_key", "left_semi").select(F.col("cluster").alias("a"))
-    near = both_ways(pairs).join(own, "a", "left_semi").join(key.toDF("b", "p_key"), "b").join(primary.select("p_key"), "p_key", "left_anti")
-    most = near.groupBy("a", "p_key").agg(F.count("*").alias("n")).groupBy("p_key").agg(F.max("n").alias("max_overlap"))
-    return most.orderBy(F.col("max_overlap").desc(), "p_key").limit(k)
+    own = key.join(primary.select("p_key"), "p_key", "left_semi").select("cluster")
+    near = neighbour_counts(member, saved, key, own).join(primary.select("p_key"), "p_key", "left_anti")
+    return near.groupBy("p_key").agg(F.max("n").alias("max_overlap")).orderBy(F.col("max_overlap").desc(), "p_key").limit(k)
 
 
 def coverage(single: DataFrame, composite: DataFrame) -> DataFrame:
@@ -171,12 +298,13 @@ def top(counts: DataFrame, k: int) -> DataFrame:
     return counts.select("p_key", "cnt").orderBy(F.col("cnt").desc(), "p_key").limit(k)
 
 
-def select_candidates(keyed: DataFrame, labels: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+def select_candidates(keyed: DataFrame, labels: DataFrame, member: DataFrame, most: int) -> DataFrame:
     """The most frequent key that a library cell has, and up to `most` others that its clusters overlap with: kind, p_key, label, cnt."""
     anchor = frequency(keyed).join(labels, "p_key").orderBy(F.col("cnt").desc(), "p_key").limit(1)
     key = keyed.select("cluster", "p_key")
-    own = key.join(anchor.select("p_key"), "p_key", "left_semi").select(F.col("cluster").alias("a"))
-    near = both_ways(pairs).join(own, "a", "left_semi").select(F.col("b").alias("cluster")).distinct()
+    own = key.join(anchor.select("p_key"), "p_key", "left_semi").select("cluster")
+    cells = member.join(own, "cluster", "left_semi").select("cell").distinct()
+    near = member.join(cells, "cell", "left_semi").select("cluster").distinct()
     found = near.join(key, "cluster").join(anchor.select("p_key"), "p_key", "left_anti").groupBy("p_key").agg(F.count("*").alias("cnt")).join(labels, "p_key")
     best = found.orderBy(F.col("cnt").desc(), "p_key").limit(most)
     return anchor.select(F.lit("anchor").alias("kind"), "p_key", "label", "cnt").union(best.select(F.lit("overlap"), "p_key", "label", "cnt"))

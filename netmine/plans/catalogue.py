@@ -329,15 +329,14 @@ def q_function_space(spark, sf_dir):
 SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM pr JOIN s x ON x.c = a JOIN s y ON y.c = b""")
 def q_cluster_overlap_pairs(spark, sf_dir):
     m = members(spark, sf_dir)
-    pairs = clusters.with_sizes(clusters.overlap_pairs(m), m)
+    pairs = clusters.with_sizes(clusters.overlap_pairs(m, saved), m)
     return pairs.select("a", "b", "shared", clusters.jaccard(pairs).alias("jaccard"))
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT c, count(*) AS n FROM m GROUP BY 1)
 SELECT CASE WHEN x.n < y.n THEN a ELSE b END AS sub, CASE WHEN x.n < y.n THEN b ELSE a END AS sup FROM pr JOIN s x ON x.c = a JOIN s y ON y.c = b WHERE x.n <> y.n AND shared = least(x.n, y.n)""")
 def q_cluster_subset_pairs(spark, sf_dir):
-    m = members(spark, sf_dir)
-    return clusters.contained(clusters.with_sizes(clusters.overlap_pairs(m), m))
+    return clusters.contained(members(spark, sf_dir), saved)
 
 
 @query("""WITH RECURSIVE m AS MATERIALIZED (SELECT DISTINCT l_orderkey AS c, l_partkey * 100 + l_suppkey % 100 AS p FROM lineitem),
@@ -352,14 +351,14 @@ def q_overlap_components(spark, sf_dir):
 @query(f"""WITH {KEYED}, {PAIRS}, {BOTH}, d AS (SELECT a, count(*) AS n FROM bw GROUP BY 1)
 SELECT p_key, round(sum(1.0 / (1 + coalesce(n, 0))), 6) AS weighted, count(*) AS cnt FROM k LEFT JOIN d ON a = c GROUP BY 1""")
 def q_overlap_weighted_count(spark, sf_dir):
-    return clusters.weighted_counts(clusters.overlap_pairs(members(spark, sf_dir)), keyed(spark, sf_dir))
+    return clusters.weighted_counts(clusters.neighbour_counts(members(spark, sf_dir), saved), keyed(spark, sf_dir))
 
 
 @query(f"""WITH {KEYED}, {PAIRS}, {BOTH}, n AS (SELECT p_key, count(*) AS n FROM k GROUP BY 1),
 x AS (SELECT ka.p_key AS key_a, kb.p_key AS key_b, count(DISTINCT a) AS t FROM bw JOIN k ka ON ka.c = a JOIN k kb ON kb.c = b WHERE ka.p_key <> kb.p_key GROUP BY 1, 2)
 SELECT key_a, key_b, round(t / n, 6) AS overlap_ratio FROM x JOIN n ON p_key = key_a""")
 def q_overlap_ratio(spark, sf_dir):
-    return clusters.overlap_ratio(clusters.overlap_pairs(members(spark, sf_dir)), keyed(spark, sf_dir))
+    return clusters.overlap_ratio(members(spark, sf_dir), keyed(spark, sf_dir))
 
 
 @query(f"""WITH {KEYED}, {MEMBERS}, n AS (SELECT p_key, count(*) AS n FROM k GROUP BY 1)
@@ -378,7 +377,7 @@ WHERE kb.p_key <> ka.p_key GROUP BY 1, 2) SELECT p_key, max(n) AS max_overlap FR
 def q_secondary_overlap_topk(spark, sf_dir):
     k = keyed(spark, sf_dir)
     top = clusters.frequency(k).orderBy(F.col("cnt").desc(), "p_key").limit(1)
-    return clusters.secondary(clusters.overlap_pairs(members(spark, sf_dir)), k, top, 5)
+    return clusters.secondary(members(spark, sf_dir), k, top, 5, saved)
 
 
 @query(f"""WITH {KEYED}, {LIBRARY}, a AS (SELECT p_key, count(*) AS n FROM lib GROUP BY 1), b AS (SELECT p_key, count(*) AS n FROM k GROUP BY 1)
@@ -393,7 +392,7 @@ SELECT 'anchor' AS kind, p_key, label, (SELECT count(*) FROM k WHERE k.p_key = a
 UNION ALL SELECT 'overlap', p_key, label, n FROM (SELECT * FROM x ORDER BY n DESC, p_key LIMIT 2) JOIN lab USING (p_key)""")
 def q_select_candidates(spark, sf_dir):
     labels = library(spark, sf_dir).groupBy("p_key").agg(F.min_by("name", F.struct("area", "name")).alias("label"))
-    return clusters.select_candidates(keyed(spark, sf_dir), labels, clusters.overlap_pairs(members(spark, sf_dir)), 2)
+    return clusters.select_candidates(keyed(spark, sf_dir), labels, members(spark, sf_dir), 2)
 
 
 @query(f"WITH {KEYED} SELECT count(*) AS total, count(DISTINCT p_key) AS patterns FROM k")
