@@ -32,8 +32,8 @@ SHARE = 150
 #: No source, and no document, is taken more often than this.
 MOST = 2
 SEED = 13
-#: Words of a target that the even share leaves to the knapsack.
-RESERVE = 1 << 15
+#: Words of a target that the even share leaves to the knapsack, at most, and at most one in so many of them.
+RESERVE, ONE_IN = 1 << 15, 16
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,7 +119,7 @@ def fit(lengths: list[int], counts: list[int], target: float, reserve: int = RES
     words = sum(n * c for n, c in zip(lengths, counts))
     whole, budget = divmod(int(target), words) if words else (0, 0)
     take = [0] * len(lengths)
-    even = max(budget - reserve, 0)
+    even = budget - min(reserve, budget // ONE_IN)
     carry = 0  # words that lengths so far could not take, times `words`
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         if lengths[i] > 0:
