@@ -8,7 +8,7 @@ residual conditions are array functions.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,26 +56,37 @@ def pairs(
     )
 
 
-def tuples(pair: DataFrame, k: int) -> DataFrame:
-    """Distinct tuples o1 < ... < ok in which every two pair up, with the mean input overlap of their pairs; level by level."""
+def tuples(pair: DataFrame, k: int, saved: Callable) -> DataFrame:
+    """Distinct tuples o1 < ... < ok in which every two pair up, with the mean input overlap of their pairs.
+
+    A pair leads from the output with fewer pairs to the one with more, so no output leads to more than the square root of
+    twice all pairs.  A tuple carries the outputs that all of its own lead to; only those extend it, so what is made is
+    always a tuple, never a chain that nothing closes.
+    """
     if k < 2:
         raise ValueError("a tuple has two outputs at least")
-    edge = pair.select("grp", "out_a", "out_b", "input_overlap")
-    now = edge.select("grp", F.col("out_a").alias("o1"), F.col("out_b").alias("o2"), F.col("input_overlap").alias("total"))
-    for n in range(3, k + 1):
-        # the new output pairs with the last one, and then with each of the others
-        step = edge.select("grp", F.col("out_a").alias(f"o{n - 1}"), F.col("out_b").alias(f"o{n}"), F.col("input_overlap").alias(f"s{n - 1}"))
-        now = now.join(step, ["grp", f"o{n - 1}"])
-        for i in range(1, n - 1):
-            other = edge.select("grp", F.col("out_a").alias(f"o{i}"), F.col("out_b").alias(f"o{n}"), F.col("input_overlap").alias(f"s{i}"))
-            now = now.join(other, ["grp", f"o{i}", f"o{n}"])
-        total = reduce(lambda x, y: x + y, [F.col(f"s{i}") for i in range(1, n)], F.col("total"))
-        now = now.select("grp", *[f"o{i}" for i in range(1, n + 1)], total.alias("total"))
-    return now.select("grp", *[f"o{i}" for i in range(1, k + 1)], F.round(F.col("total") / (k * (k - 1) // 2), 6).alias("mean_overlap"))
-
-
-def triples(pair: DataFrame) -> DataFrame:
-    return tuples(pair, 3).select("grp", F.col("o1").alias("a"), F.col("o2").alias("b"), F.col("o3").alias("c"), "mean_overlap")
+    edge = saved(pair.select("grp", "out_a", "out_b", "input_overlap"))
+    degree = edge.select("grp", F.explode(F.array("out_a", "out_b")).alias("out")).groupBy("grp", "out").agg(F.count("*").alias("n"))
+    ranked = edge
+    for side in ("a", "b"):
+        ranked = ranked.join(degree.select("grp", F.col("out").alias(f"out_{side}"), F.struct("n", "out").alias(f"rank_{side}")), ["grp", f"out_{side}"])
+    down = F.col("rank_a") < F.col("rank_b")
+    led = ranked.select("grp", F.when(down, F.col("out_a")).otherwise(F.col("out_b")).alias("last"), F.struct(F.when(down, F.col("out_b")).otherwise(F.col("out_a")).alias("out"), F.col("input_overlap").alias("s")).alias("to"))
+    near = saved(led.groupBy("grp", "last").agg(F.map_from_entries(F.collect_list("to")).alias("near")))
+    rows = near.select("grp", F.array("last").alias("outs"), F.lit(0.0).alias("total"), F.expr("transform(map_entries(near), e -> struct(e.key AS out, e.value AS s))").alias("ahead"))
+    for n in range(2, k + 1):
+        # `s` of an output ahead is the sum of its overlaps with all outputs of the tuple
+        step = rows.where(F.size("ahead") > k - n).select("grp", "outs", "total", "ahead", F.explode("ahead").alias("to"))
+        rows = step.select("grp", F.concat("outs", F.array("to.out")).alias("outs"), (F.col("total") + F.col("to.s")).alias("total"), "ahead", F.col("to.out").alias("last"))
+        if n < k:
+            both = "transform(filter(ahead, x -> map_contains_key(near, x.out)), x -> struct(x.out AS out, x.s + near[x.out] AS s))"
+            rows = rows.join(near, ["grp", "last"]).select("grp", "outs", "total", F.expr(both).alias("ahead"))
+    outs = F.array_sort("outs")
+    return rows.select("grp", *[outs[i - 1].alias(f"o{i}") for i in range(1, k + 1)], F.round(F.col("total") / (k * (k - 1) // 2), 6).alias("mean_overlap"))
+
+
+def triples(pair: DataFrame, saved: Callable) -> DataFrame:
+    return tuples(pair, 3, saved).select("grp", F.col("o1").alias("a"), F.col("o2").alias("b"), F.col("o3").alias("c"), "mean_overlap")
 
 
 def similarities(candidates: DataFrame, pair: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netmine.operators.order import numbered
+
 EPS = 1e-9
 
 
@@ -209,8 +211,9 @@ def score(combos: DataFrame, cells: DataFrame, gains: DataFrame | None = None) -
 
 
 def ranked_scores(scored: DataFrame, by: str) -> DataFrame:
-    """Scores with their rank from 1, greatest first, ties by combination; combinations are of a bounded number of candidates."""
-    return scored.select(F.row_number().over(Window.orderBy(F.col(by).desc(), "combo")).cast("long").alias("rank"), *scored.columns)
+    """Scores with their rank from 1, greatest first, ties by combination."""
+    ranked = numbered(scored, [F.col(by).desc(), F.col("combo").asc()], "__no")
+    return ranked.select((F.col("__no") + 1).alias("rank"), *scored.columns)
 
 
 def proxy_delay(stack_n: Column, stack_p: Column, cpp: Column) -> Column:

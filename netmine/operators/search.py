@@ -4,50 +4,85 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netmine.functions import names
 from netmine.functions.expr import input_pattern
+from netmine.operators.order import numbered
+from netmine.session import saved
 
-#: Up to so many keys every subset is made, beyond that so many are drawn.
+#: Up to so many keys every subset is made unless asked otherwise, beyond that so many are drawn.
 MAX_ENUMERATED, DRAWN = 10, 50
 
 
+def _unranked(numbers: DataFrame, k: int) -> DataFrame:
+    """number, p1 < ... < pk: places of the combination with this number, in the combinatorial number system.
+
+    The number is C(pk, k) + ... + C(p1, 1).  The greatest place whose term still fits lies within k of the root of
+    k! times the number, so it is found among a few candidates; a candidate too large for a long doesn't fit.
+    """
+    factorials = "array(" + ", ".join(f"{float(math.factorial(i))}D" for i in range(1, k + 1)) + ")"
+    low = f"greatest(cast(floor(pow(acc.rest * element_at({factorials}, size), 1D / size)) AS bigint) - 2, 0L)"
+    term = "aggregate(sequence(0L, size - 1L), 1L, (t, i) -> try_multiply(t, c - i) div (i + 1))"
+    fits = f"filter(transform(sequence({low}, {low} + size + 4), c -> struct(c AS place, {term} AS term)), t -> t.term <= acc.rest)"
+    # one fold over the sizes; a chain of columns would repeat each step inside all later ones
+    step = f"transform(array(element_at({fits}, -1)), b -> struct(acc.rest - b.term AS rest, concat(array(b.place), acc.places) AS places))[0]"
+    folded = f"aggregate(sequence({k}, 1, -1), struct(number AS rest, cast(array() AS array<bigint>) AS places), (acc, size) -> {step}).places"
+    return numbers.select("number", F.expr(folded).alias("p")).select("number", *[F.col("p")[i - 1].alias(f"p{i}") for i in range(1, k + 1)])
+
+
+def _numbers(spark: SparkSession, count: int) -> DataFrame:
+    """number from 0, of `count` rows, dealt out over tasks; more than a double can tell apart raises."""
+    if count >= 1 << 53:
+        raise ValueError(f"{count} combinations cannot be listed")
+    return spark.range(count).select(F.col("id").alias("number"))
+
+
 def combinations(items: DataFrame, key: str, k: int) -> DataFrame:
-    """Every set of k of the items as columns c1 < c2 < ... < ck."""
-    out = items.select(F.col(key).alias("c1"))
-    for i in range(2, k + 1):
-        out = out.join(items.select(F.col(key).alias(f"c{i}")), F.col(f"c{i}") > F.col(f"c{i - 1}"))
-    return out
+    """Every set of k of the distinct items (null is none) as columns c1 < c2 < ... < ck.
+
+    A combination is made from its number: tasks share the C(n, k) numbers evenly, and each of the k places is looked up
+    by its own equi-join, so no items are joined with items.
+    """
+    if k < 1:
+        raise ValueError("a combination has one item at least")
+    held = saved(numbered(items.select(F.col(key).alias("item")).where("item IS NOT NULL").distinct(), [F.col("item").asc()], "place"))
+    out = _unranked(_numbers(items.sparkSession, math.comb(held.count(), k)), k)
+    for i in range(1, k + 1):
+        out = out.join(held.select(F.col("place").alias(f"p{i}"), F.col("item").alias(f"c{i}")), f"p{i}")
+    return out.select(*[f"c{i}" for i in range(1, k + 1)])
 
 
-def subsets(cells: DataFrame, mined: DataFrame, baseline: list[str], seed: int = 42) -> DataFrame:
+def subsets(cells: DataFrame, mined: DataFrame, baseline: list[str], seed: int = 42, most: int = MAX_ENUMERATED) -> DataFrame:
     """(keys, cells): sets of keys with the cells that stand for them, of the least drive alone and with all drives.
 
-    cells (name, p_key); keys must be mined and not in the baseline.  Every single key; with up to MAX_ENUMERATED
-    keys every set of two and more, else DRAWN sets chosen by a seeded hash (not the draw of another generator).
+    cells (name, p_key); keys must be mined and not in the baseline.  With up to `most` keys every set, made from the
+    bits of its number; beyond that every single key and DRAWN sets of two and more whose numbers follow from a seeded
+    hash (not the draw of another generator).
     """
     kept = cells.join(mined.select("p_key").distinct(), "p_key", "left_semi").where(~F.col("p_key").isin(baseline)).withColumn("drive", names.drive(F.col("name"), 1))
-    by_key = kept.groupBy("p_key").agg(F.array_sort(F.collect_list(F.struct("drive", "name"))).alias("l"), F.min("drive").alias("least"))
-    modes = by_key.select(
-        "p_key", F.expr("transform(filter(l, x -> x.drive = least), x -> x.name)").alias("base"), F.expr("transform(l, x -> x.name)").alias("every")
-    )
-    listed = modes.agg(F.array_sort(F.collect_list(F.struct("p_key", "base", "every"))).alias("k"))  # keys of a library
-    n = F.size("k")
-    sampled = F.expr(f"transform(sequence(1, {DRAWN} * 4), s -> filter(sequence(1, size(k)), i -> xxhash64(s, i, {seed}) % 2 = 0))")
-    every = F.expr("transform(sequence(1, shiftleft(1, size(k)) - 1), m -> filter(sequence(1, size(k)), i -> getbit(m, i - 1) = 1))")
-    some = F.array_union(F.slice(F.array_distinct(F.filter(sampled, lambda x: F.size(x) >= 2)), 1, DRAWN), F.expr("transform(sequence(1, size(k)), i -> array(i))"))
-    chosen = listed.where(n > 0).select("k", F.explode(F.when(n <= MAX_ENUMERATED, every).otherwise(some)).alias("places"))
-    picked = chosen.select(F.expr("transform(places, i -> k[i - 1])").alias("p"))
-    both = picked.select(
-        F.expr("transform(p, x -> x.p_key)").alias("keys"), F.explode(F.array(F.expr("flatten(transform(p, x -> x.base))"), F.expr("flatten(transform(p, x -> x.every))"))).alias("cells")
-    )
-    return both.select("keys", F.array_sort("cells").alias("cells")).distinct()
+    kept = saved(kept.select("p_key", "name", (F.col("drive") == F.min("drive").over(Window.partitionBy("p_key"))).alias("is_base")))
+    keys = saved(numbered(kept.select("p_key").distinct(), [F.col("p_key").asc()], "bit"))
+    n, spark = keys.count(), cells.sparkSession
+    if n <= most:
+        chosen = _numbers(spark, 1 << n).where("number > 0").select(F.col("number").cast("string").alias("set"), F.expr(f"explode(filter(sequence(0L, {max(n - 1, 0)}L), b -> getbit(number, cast(b AS int)) = 1))").alias("bit"))
+    else:
+        single = keys.select(F.concat(F.lit("single "), "bit").alias("set"), "bit")
+        draws = spark.range(1, 4 * DRAWN + 1).select(F.col("id").alias("draw"))
+        taken = draws.select("draw", F.expr(f"explode(filter(sequence(0L, {n - 1}L), b -> xxhash64(draw, b + 1, {seed}) % 2 = 0))").alias("bit"))
+        sets = taken.groupBy("draw").agg(F.array_sort(F.collect_list("bit")).alias("bits")).where(F.size("bits") > 1)
+        first = sets.groupBy("bits").agg(F.min("draw").alias("draw")).orderBy("draw").limit(DRAWN)
+        chosen = single.union(first.select(F.concat(F.lit("drawn "), "draw").alias("set"), F.explode("bits").alias("bit")))
+    named = chosen.join(keys, "bit").join(kept, "p_key")
+    of = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("name")))).alias("cells")
+    whole = named.groupBy("set").agg(F.array_sort(F.collect_set("p_key")).alias("keys"), of(F.col("is_base")).alias("base"), of(F.lit(True)).alias("every"))
+    return whole.select("keys", F.explode(F.array("base", "every")).alias("cells")).distinct()
 
 
 def grid(areas: DataFrame, freqs: DataFrame, repeats: int) -> DataFrame:

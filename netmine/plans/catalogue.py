@@ -440,16 +440,26 @@ def q_pair_grouping_shared(spark, sf_dir):
     return grouping.pairs(_outputs(spark, sf_dir), "shared", span=500.0)
 
 
+@query(f"""WITH {_OUTPUTS_SQL}, p AS MATERIALIZED (SELECT grp || ':' || out_a AS ka, grp || ':' || out_b AS kb, out_b AS o FROM x WHERE ki >= 1 AND kc >= 1 AND ui <= 6),
+t AS MATERIALIZED (SELECT p.ka || '|' || q.kb AS ac, q.ka || '|' || q.kb AS bc, p.ka || '|' || p.kb AS ab, q.kb AS kc, p.ka AS ka, p.kb AS kb FROM p JOIN p q ON q.ka = p.kb),
+e AS MATERIALIZED (SELECT ka || '|' || kb AS ends FROM p), f AS MATERIALIZED (SELECT t.ka, t.kb, t.kc FROM t JOIN e ON e.ends = t.ac)
+SELECT count(*) AS n_quadruples FROM (SELECT f.ka || '|' || p.kb AS ad, f.kb || '|' || p.kb AS bd FROM f JOIN p ON p.ka = f.kc) g JOIN e ON e.ends = g.ad JOIN e e2 ON e2.ends = g.bd""")
+def q_quadruple_count(spark, sf_dir):
+    """Number of sets of four outputs of one place in which every two pair up."""
+    return grouping.tuples(grouping.pairs(_outputs(spark, sf_dir), "shared"), 4, saved).agg(F.count("*").alias("n_quadruples"))
+
+
 @query(f"WITH {_OUTPUTS_SQL} SELECT {_PAIR_COLS} FROM x WHERE same AND ki >= 1 AND kc >= 0 AND ui <= 6")
 def q_pair_grouping_exact(spark, sf_dir):
     return grouping.pairs(_outputs(spark, sf_dir), "exact", least_shared_cells=0)
 
 
-@query(f"""WITH {_OUTPUTS_SQL}, p AS MATERIALIZED (SELECT grp, out_a, out_b, round(ki / ui, 6) AS s FROM x WHERE ki >= 1 AND kc >= 0 AND ui <= 6)
-SELECT p.grp, p.out_a AS a, p.out_b AS b, q.out_b AS c, round((p.s + q.s + r.s) / 3, 6) AS mean_overlap FROM p JOIN p q ON q.grp = p.grp AND q.out_a = p.out_b
-JOIN p r ON r.grp = p.grp AND r.out_a = p.out_a AND r.out_b = q.out_b""")
+@query(f"""WITH {_OUTPUTS_SQL}, p AS MATERIALIZED (SELECT grp, out_a, out_b, grp || ':' || out_a AS ka, grp || ':' || out_b AS kb, round(ki / ui, 6) AS s FROM x WHERE ki >= 1 AND kc >= 0 AND ui <= 6),
+w AS MATERIALIZED (SELECT p.grp, p.out_a AS a, p.out_b AS b, q.out_b AS c, p.s + q.s AS s, p.ka || '|' || q.kb AS ends FROM p JOIN p q ON q.ka = p.kb),
+r AS MATERIALIZED (SELECT ka || '|' || kb AS ends, s FROM p)
+SELECT grp, a, b, c, round((w.s + r.s) / 3, 6) AS mean_overlap FROM w JOIN r USING (ends)""")
 def q_triple_grouping(spark, sf_dir):
-    return grouping.triples(grouping.pairs(_outputs(spark, sf_dir), "shared", least_shared_cells=0))
+    return grouping.triples(grouping.pairs(_outputs(spark, sf_dir), "shared", least_shared_cells=0), saved)
 
 
 @query(f"""WITH {_OUTPUTS_SQL}, k AS (SELECT least(out_a, out_b) AS key_a, greatest(out_a, out_b) AS key_b, round(ki / ui, 6) AS i, round(kc / uc, 6) AS c FROM x WHERE ki >= 1 AND kc >= 1 AND ui <= 6)
