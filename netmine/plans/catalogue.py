@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netmine.functions import canonical, space, truth
-from netmine.operators import clusters, demand, features, graph, grouping
+from netmine.operators import clusters, demand, features, graph, grouping, search
 from netmine.plans import cone_sql
 from netmine.session import saved, table
 
@@ -314,9 +314,9 @@ def q_bit_inverse_fallback(spark, sf_dir):
     return both.select("p_key", "cnt", "inverse", F.coalesce("own", "other", F.lit("New")).alias("label"), F.when(F.col("own").isNull() & F.col("other").isNotNull(), 1).otherwise(0).alias("out_inverter"))
 
 
-@query(f"WITH t AS (SELECT lpad(bin(range), 8, '0') AS tt FROM range(256)) SELECT '0b' || {P3} AS p_key, count(*) AS n_functions, min(tt) AS least_tt, max(tt) AS greatest_tt FROM t GROUP BY 1")
+@query(f"WITH t AS (SELECT DISTINCT lpad(bin(p_partkey % 256), 8, '0') AS tt FROM part) SELECT '0b' || {P3} AS p_key, count(*) AS n_functions, min(tt) AS least_tt, max(tt) AS greatest_tt FROM t GROUP BY 1")
 def q_function_space(spark, sf_dir):
-    rows = spark.range(256).select(truth.bits_column(F.col("id"), 3).alias("tt"))
+    rows = table(spark, sf_dir, "part").select(truth.bits_column(F.pmod("p_partkey", F.lit(256)), 3).alias("tt")).distinct()
     return rows.groupBy(F.concat(F.lit("0b"), truth.p_canonical(F.col("tt"), 3)).alias("p_key")).agg(
         F.count("*").alias("n_functions"), F.min("tt").alias("least_tt"), F.max("tt").alias("greatest_tt")
     )
@@ -860,9 +860,12 @@ def _grid(spark):
     return rows.withColumn("run", F.concat(F.lit("a"), "area", F.lit("_f"), "freq", F.lit("_r"), "rep"))
 
 
-@query(f"WITH {_GRID_SQL} SELECT run, area, freq, rep, round(1000.0 / freq, 6) AS period FROM g")
+@query("""WITH g AS (SELECT area, freq, unnest([1, 2, 3]) AS rep FROM (SELECT DISTINCT p_size * 10 AS area FROM part) CROSS JOIN (SELECT DISTINCT 800 + p_partkey % 4 * 100 AS freq FROM part))
+SELECT 'a' || area || '_f' || freq || '_r' || rep AS run, area, freq, rep, round(1000.0 / freq, 6) AS period FROM g""")
 def q_sweep_grid(spark, sf_dir):
-    rows = _grid(spark).select("run")
+    part = table(spark, sf_dir, "part")
+    grid = search.grid(part.select((F.col("p_size") * 10).alias("area")), part.select((800 + F.pmod("p_partkey", F.lit(4)) * 100).alias("freq")), 3)
+    rows = grid.select(F.concat(F.lit("a"), "area", F.lit("_f"), "freq", F.lit("_r"), "rep").alias("run"))
     number = lambda k: F.regexp_extract("run", r"^a(\d+)_f(\d+)_r(\d+)$", k).cast("int")
     return rows.select("run", number(1).alias("area"), number(2).alias("freq"), number(3).alias("rep")).withColumn("period", F.round(1000.0 / F.col("freq"), 6))
 

@@ -68,10 +68,18 @@ def q_key_parse(spark, sf_dir):
     return rows.select("p_partkey", expr.key_bits(F.col("k")).alias("bits"), expr.normal_key(F.col("k")).alias("normal"), expr.inputs_of_key(F.col("k")).alias("n_inputs"))
 
 
-@query("SELECT v AS value, lpad(bin(v), 8, '0') AS tt FROM (SELECT unnest(range(0, 256)) AS v)")
+_MET = "(SELECT DISTINCT p_partkey % 256 AS v FROM part)"
+
+
+def _met(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(256)).alias("value")).distinct()
+
+
+@query(f"SELECT v AS value, lpad(bin(v), 8, '0') AS tt FROM {_MET}")
 def q_minimal_sum(spark, sf_dir):
+    """The shortest sum of each function met, evaluated again."""
     names_ = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
-    rows = spark.range(256).select(F.col("id").alias("value"), truth.bits_column(F.col("id"), 3).alias("tt"))
+    rows = _met(spark, sf_dir).select("value", truth.bits_column(F.col("value"), 3).alias("tt"))
     short = rows.select("value", expr.minimise(F.col("tt"), names_).alias("e"))
     return short.select("value", expr.truth_table(F.col("e"), names_).alias("tt"))
 
@@ -82,10 +90,10 @@ def q_projection_test(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", truth.projection(bits, 3).alias("projection"))
 
 
-@query(f"""WITH t AS (SELECT v, lpad(bin(v), 8, '0') AS tt FROM (SELECT unnest(range(0, 256)) AS v))
+@query(f"""WITH t AS (SELECT v, lpad(bin(v), 8, '0') AS tt FROM {_MET})
 SELECT v AS value, least({', '.join(forms_sql('tt', 3, range(8), [0, 1]))}) AS smallest FROM (SELECT v, reverse(tt) AS tt FROM t)""")
 def q_npn_least_integer(spark, sf_dir):
-    return space.least_integer_dim(spark, 3).select("value", truth.bits_column(F.col("least"), 3).alias("smallest"))
+    return _met(spark, sf_dir).join(space.least_integer_dim(spark, 3), "value").select("value", truth.bits_column(F.col("least"), 3).alias("smallest"))
 
 
 # ---------------------------------------------------------------- names and numbers

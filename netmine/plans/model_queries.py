@@ -21,15 +21,20 @@ def q_combinations(spark, sf_dir):
     return search.combinations(table(spark, sf_dir, "part").select(F.col("p_type").alias("t")).distinct(), "t", 3)
 
 
-@query("""WITH k(key, base, every) AS (VALUES ('0b0001', ['A_X1'], ['A_X1', 'A_X2']), ('0b0110', ['B_X2'], ['B_X2']), ('0b0111', ['C_X1'], ['C_X1', 'C_X4'])),
-s AS (SELECT unnest(range(1, 8)) AS m), r AS (SELECT m, row_number() OVER (ORDER BY key) - 1 AS i, * FROM s CROSS JOIN k QUALIFY true),
-n AS (SELECT key, base, every, row_number() OVER (ORDER BY key) - 1 AS i FROM k), j AS (SELECT m, n.* FROM s CROSS JOIN n WHERE (m >> i::INT) & 1 = 1),
+@query("""WITH c AS (SELECT DISTINCT 'C' || p_partkey % 6 || '_X' || (1 + p_partkey % 9) AS name, '0b' || lpad(bin(p_partkey % 6), 4, '0') AS key, 1 + p_partkey % 9 AS drive FROM part),
+m AS (SELECT c.* FROM c WHERE key IN (SELECT '0b' || lpad(bin(p_size % 8), 4, '0') FROM part) AND key <> '0b0001'), least AS (SELECT key, min(drive) AS d FROM m GROUP BY 1),
+k AS (SELECT key, list(name ORDER BY name) AS every, list(name ORDER BY name) FILTER (WHERE drive = d) AS base FROM m JOIN least USING (key) GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS i FROM k), s AS (SELECT unnest(range(1, CAST(pow(2, (SELECT count(*) FROM k)) AS BIGINT))) AS m),
+j AS (SELECT m, n.* FROM s CROSS JOIN n WHERE (m >> i::INT) & 1 = 1),
 a AS (SELECT string_agg(key, ',' ORDER BY key) AS keys, list_sort(flatten(list(base))) AS b, list_sort(flatten(list(every))) AS e FROM j GROUP BY m)
 SELECT keys, array_to_string(b, ',') AS cells FROM a UNION SELECT keys, array_to_string(e, ',') FROM a""")
 def q_key_subsets(spark, sf_dir):
-    c = spark.createDataFrame([("A_X1", "0b0001"), ("A_X2", "0b0001"), ("B_X2", "0b0110"), ("C_X1", "0b0111"), ("C_X4", "0b0111"), ("N_X1", "0b1110"), ("U_X1", "0b1001")], "name string, p_key string")
-    mined = spark.createDataFrame([("0b0001",), ("0b0110",), ("0b0111",), ("0b1110",)], "p_key string")
-    out = search.subsets(c, mined, ["0b1110", "0b1000"])
+    """Keys are the remainders of parts by 6, each with up to nine drives; those of remainder 1 are in the baseline."""
+    p = table(spark, sf_dir, "part")
+    key = lambda x: F.concat(F.lit("0b"), F.lpad(F.bin(x), 4, "0")).alias("p_key")
+    six, drive = F.pmod("p_partkey", F.lit(6)), 1 + F.pmod("p_partkey", F.lit(9))
+    c = p.select(F.concat(F.lit("C"), six.cast("string"), F.lit("_X"), drive.cast("string")).alias("name"), key(six)).distinct()
+    out = search.subsets(c, p.select(key(F.pmod("p_size", F.lit(8)))), ["0b0001"])
     return out.select(F.array_join("keys", ",").alias("keys"), F.array_join("cells", ",").alias("cells"))
 
 
@@ -54,15 +59,13 @@ def q_set_shape(spark, sf_dir):
     return a.join(search.longest_path(sets, edges).select("root", "depth"), "root")
 
 
-#: Base gates and inverters of known circuits of two inputs: status, base gates, inverters.
-_KNOWN = """(VALUES ('0b0001', '0b0001', 'OK', 1, 0), ('0b0110', '0b0110', 'OK', 1, 0), ('0b1110', '0b0001', 'OK', 1, 1), ('0b0001', '0b1110', 'OK', 1, 1), ('0b1001', '0b0110', 'OK', 1, 1),
-('0b0111', '0b0001', 'OK', 1, 3), ('0b1000', '0b0001', 'OK', 1, 2), ('0b0110', '0b1110', 'OK', 4, 0), ('0b0011', '0b1110', 'PROJECTION', 0, 0), ('0b0001', '0b0110', 'IMPOSSIBLE_AFFINE', NULL, NULL))"""
-
-
-@query(f"SELECT target, base, status, CAST(b AS BIGINT) AS base_count, CAST(i AS BIGINT) AS inv_count FROM {_KNOWN} v(target, base, status, b, i)")
+@query()  # held against an exhaustive search in the tests
 def q_exact_synthesis(spark, sf_dir):
-    pairs = spark.sql(f"SELECT target, base FROM {_KNOWN.replace('NULL', 'CAST(NULL AS INT)')[1:-1].replace('(VALUES', 'VALUES')} AS v(target, base, status, b, i)")
-    return search.relation(pairs, most=4).select("target", "base", "status", "base_count", "inv_count")
+    """Every function of two inputs met in part sizes, from every one met in part keys."""
+    p = table(spark, sf_dir, "part")
+    key = lambda c: F.concat(F.lit("0b"), F.lpad(F.bin(F.pmod(c, F.lit(16))), 4, "0"))
+    targets, bases = p.select(key("p_size").alias("target")).distinct(), p.select(key("p_partkey").alias("base")).distinct()
+    return search.relation(targets.crossJoin(bases), most=3).select("target", "base", "status", "base_count", "inv_count")  # 16 by 16 at most
 
 
 @query("SELECT 'shapes' AS what, count(*) AS n FROM (SELECT DISTINCT a.gate, b.gate, c.gate FROM (SELECT p_partkey AS id, p_type AS gate FROM part WHERE p_partkey > 0) a LEFT JOIN (SELECT p_partkey AS id, p_type AS gate FROM part) b ON b.id = 2 * a.id LEFT JOIN (SELECT p_partkey AS id, p_type AS gate FROM part) c ON c.id = 2 * a.id + 1)")
@@ -138,12 +141,12 @@ def q_split_by_design(spark, sf_dir):
 # ---------------------------------------------------------------- network, losses, scores
 
 
-@query("""WITH e AS (SELECT unnest(range(0, 40)) AS epoch), x AS (SELECT epoch, (epoch - 20) / 4.0 AS x FROM e)
-SELECT epoch, round(CASE WHEN epoch < 5 THEN (epoch + 1) / 5.0 ELSE 0.01 + 0.99 * 0.5 * (1 + cos(pi() * least(1.0, (epoch - 5) / 25.0))) END, 6) AS rate,
+@query("""WITH x AS (SELECT s_suppkey, s_suppkey % 40 AS epoch, round(s_acctbal) / 1000.0 AS x FROM supplier)
+SELECT s_suppkey, round(CASE WHEN epoch < 5 THEN (epoch + 1) / 5.0 ELSE 0.01 + 0.99 * 0.5 * (1 + cos(pi() * least(1.0, (epoch - 5) / 25.0))) END, 6) AS rate,
 round(CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END, 6) AS elu, round(ln(1 + exp(x)), 6) AS softplus FROM x""")
 def q_activations(spark, sf_dir):
-    e = spark.range(40).select(F.col("id").alias("epoch"), ((F.col("id") - 20) / 4.0).alias("x"))
-    return e.select("epoch", F.round(model.learning_rate(F.col("epoch"), 5, 30), 6).alias("rate"), F.round(model.elu_column(F.col("x")), 6).alias("elu"), F.round(model.softplus_column(F.col("x")), 6).alias("softplus"))
+    e = table(spark, sf_dir, "supplier").select("s_suppkey", F.pmod("s_suppkey", F.lit(40)).alias("epoch"), (F.round("s_acctbal") / 1000.0).alias("x"))
+    return e.select("s_suppkey", F.round(model.learning_rate(F.col("epoch"), 5, 30), 6).alias("rate"), F.round(model.elu_column(F.col("x")), 6).alias("elu"), F.round(model.softplus_column(F.col("x")), 6).alias("softplus"))
 
 
 @query()  # the forward pass is held against a loop over nodes and edges in the tests

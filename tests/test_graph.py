@@ -202,14 +202,38 @@ def test_shapes_group_equal_cones(spark):
     assert one[1] == one[4] and two[1] != two[4] and two[2] == two[3] == two[5]
 
 
-def test_known_circuits_and_simulation():
-    known = [(0b0001, 0b0001, 1, 0), (0b0110, 0b0110, 1, 0), (0b1110, 0b0001, 1, 1), (0b0111, 0b0001, 1, 3), (0b1000, 0b0001, 1, 2), (0b0110, 0b1110, 4, 0)]
-    for target, base, gates, inverters in known:
-        assert search.synthesis(target, 2, base, 2, 4)[:3] == ("OK", gates, inverters)
-    assert search.synthesis(0b0011, 2, 0b0001, 2, 4)[0] == "PROJECTION"
-    assert search.synthesis(0b0001, 2, 0b0110, 2, 4)[0] == "IMPOSSIBLE_AFFINE"
-    assert search.synthesis(0b0110, 2, 0b1110, 2, 3)[0] == "IMPOSSIBLE_MAXGATES"
-    assert search.simulate([(0b1110, [0, 1]), (0b1110, [0, 2]), (0b1110, [1, 2]), (0b1110, [3, 4])], 2)[-1] == 0b0110
+def fewest_gates(target, base, most):
+    """Least number of base gates and inverters over two inputs, by sets of all values that so many gates can give."""
+    inputs = frozenset([0b0011, 0b0101])
+    states = {inputs}
+    for gates in range(most + 1):
+        if any(target in s for s in states):
+            return gates
+        after = set()
+        for s in states:
+            made = {15 ^ x for x in s}
+            for x in s:
+                for y in s:
+                    rows = [(x >> (3 - a) & 1) * 2 + (y >> (3 - a) & 1) for a in range(4)]
+                    made.add(sum((base >> (3 - r) & 1) << (3 - a) for a, r in enumerate(rows)))
+            after |= {s | {v} for v in made - s}
+        states = after
+    return None
+
+
+def test_synthesis_against_all_circuits():
+    rng = random.Random(5)
+    for target, base in [(rng.randrange(1, 15), rng.choice([1, 2, 4, 6, 7, 8, 9, 11, 13, 14])) for _ in range(25)]:
+        status, gates, inverters, *_ = search.synthesis(target, 2, base, 2, 3)
+        want = fewest_gates(target, base, 3)
+        if status == "OK":
+            assert gates + inverters == want
+        elif status == "PROJECTION":
+            assert want == 0
+        else:
+            assert want is None or gates is None and status.startswith("IMPOSSIBLE") and want > 3
+    two = search.simulate([(0b1000, [0, 1]), (0b10, [2])], 2)
+    assert two == [0b1000, 0b0111]
 
 
 def test_loops_end_when_a_value_repeats():
