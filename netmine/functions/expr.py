@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAME = r"[A-Za-z0-9_/$]+"
@@ -111,6 +111,17 @@ def truth_table(expression: Column, inputs: Column | None = None, least_first: b
     return run(expression, F.reverse(names) if least_first else names)
 
 
+def tabulated(rows: DataFrame, expression: str, inputs: str | None = None, into: str = "tt", least_first: bool = False) -> DataFrame:
+    """The rows with the truth table of a column of expressions, null where that is.
+
+    Every distinct expression, with its inputs, is parsed once, whatever the number of rows that have it.
+    """
+    keys = ["__expression", "__inputs"]
+    named = rows.withColumn(keys[0], F.col(expression)).withColumn(keys[1], variables(F.col(expression)) if inputs is None else F.col(inputs))
+    met = named.where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()).select(*keys).distinct()
+    return named.join(met.select(*keys, truth_table(F.col(keys[0]), F.col(keys[1]), least_first).alias(into)), keys, "left").drop(*keys)
+
+
 def hex_of(bits_column: Column) -> Column:
     """<rows>#0x<HEX> of bits of any length."""
     width = F.greatest(F.lit(1), F.ceil(F.length(bits_column) / 4)).cast("int")

@@ -129,6 +129,52 @@ def structural_groups(cells: DataFrame, edges: DataFrame, saved, depth: int) ->
     return shape
 
 
+def _codes(heads: DataFrame, info: DataFrame, edges: DataFrame, saved, steps: int) -> DataFrame:
+    """(root, id, code, paths): every cell or net within `steps` pins of a root, its least path of pin names, and all of them."""
+    level = heads.select(F.col("id").alias("root"), "id", F.lit("").alias("path"))
+    every = level
+    pins = edges.select(F.col("load").alias("id"), "driver", "term")
+    for _ in range(steps):
+        level = saved(level.join(pins, "id").select("root", F.col("driver").alias("id"), F.concat("path", F.lit("/"), "term").alias("path")))
+        every = every.union(level)
+    return every.groupBy("root", "id").agg(F.min("path").alias("code"), F.array_sort(F.collect_set("path")).alias("paths"))
+
+
+def replay(cells: DataFrame, edges: DataFrame, saved, bounds: Bounds = Bounds(), roots: DataFrame | None = None) -> DataFrame:
+    """Every state that `search` reaches, most of them without judging: root, cells, n_cells, n_inputs, n_outputs, depth, verdict, replayed.
+
+    cells (id, gate, x, y), edges (driver, load, term).  Roots of one shape are told apart further by where their paths of
+    pins meet and how many loads each cell has, so that members of a group have the same cone cell by cell: a state of
+    the least member names, by the paths of its cells, a state of every other one, with the same verdict.  A root that
+    only looks like others from its gates, say with a lower fan-out or other meeting points, is searched itself.
+    Distances depend on places, so bounds on them leave nothing to replay.
+    """
+    shown = ["root", "cells", "n_cells", "n_inputs", "n_outputs", "depth", "verdict"]
+    bare = edges.select("driver", "load")
+    if any(b is not None for b in (bounds.max_distance, bounds.max_root_dx, bounds.max_root_dy)):
+        return search(cells, bare, saved, bounds, roots).select(*shown, F.lit(False).alias("replayed"))
+    steps = bounds.max_depth + 1  # a state reaches one level below the deepest that grows, and its nets one further
+    shape = structural_groups(cells, edges, saved, steps)
+    shape = shape if roots is None else shape.join(roots.select("id"), "id", "left_semi")
+    several = saved(shape.join(shape.groupBy("shape").agg(F.count("*").alias("k")).where("k > 1").select("shape"), "shape"))
+    info = saved(_info(cells, bare))
+    codes = saved(_codes(several, info, edges, saved, steps))
+    seen = codes.join(info.select("id", F.col("n_loads")), "id", "left")
+    cone = seen.groupBy("root").agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("code", "paths", F.coalesce("n_loads", F.lit(-1)).alias("n")))))).alias("cone"))
+    groups = several.join(cone.withColumnRenamed("root", "id"), "id").select("id", F.concat("shape", "cone").alias("cone"))
+    heads = groups.groupBy("cone").agg(F.min("id").alias("head"))
+    member = saved(groups.join(heads, "cone").where("id <> head").select("id", "head"))
+    every = cells.select("id") if roots is None else roots.select("id")
+    judged = saved(search(cells, bare, saved, bounds, every.join(member, "id", "left_anti")).select(shown))
+    # a head's states, cell by cell, as codes, and these as the member's cells
+    state = judged.join(member.select(F.col("head").alias("root")).distinct(), "root", "left_semi").withColumn("cell", F.explode("cells"))
+    by_code = state.join(codes.select("root", F.col("id").alias("cell"), "code"), ["root", "cell"]).select(F.col("root").alias("head"), F.col("cells").alias("state"), *shown[2:], "code")
+    theirs = codes.join(member, codes["root"] == member["id"]).select("root", "head", codes["id"].alias("cell"), "code")
+    mapped = by_code.join(theirs, ["head", "code"]).groupBy("root", "state", *shown[2:]).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    whole = F.when(F.size("cells") == F.size("state"), F.col("cells")).otherwise(F.raise_error(F.lit("a replayed set lost a cell")).cast("array<bigint>"))
+    return judged.withColumn("replayed", F.lit(False)).union(mapped.select("root", whole.alias("cells"), *shown[2:], F.lit(True).alias("replayed")))
+
+
 def replayed(groups: DataFrame, found: DataFrame) -> DataFrame:
     """Counts of each representative's sets times the members of its shape: (shape, representative, members, sets)."""
     head = groups.groupBy("shape").agg(F.min("id").alias("representative"), F.count("*").alias("members"))

@@ -164,6 +164,30 @@ def predict(nodes: DataFrame, edges: DataFrame, weights: Weights) -> DataFrame:
 # ---------------------------------------------------------------- losses and scores
 
 
+def rank_hinge(rows: DataFrame, margin: float) -> DataFrame:
+    """One row: the mean over all pairs of nodes of a graph of how far they are from being ranked right by `margin`.
+
+    rows (graph, share, label).  No pairs are made.  Labels are ranked, and two different ranks part at exactly one bit of
+    their binary prefixes: there the smaller has 0 and the larger 1 below an equal prefix.  So for each bit and prefix the
+    nodes are put in order of share, and running sums over the smaller labels give each larger label its loss.
+    """
+    graph = Window.partitionBy("graph")
+    ranked = rows.select("graph", F.col("share").alias("p"), (F.dense_rank().over(graph.orderBy("label")) - 1).cast("long").alias("r"))
+    counted = ranked.withColumn("bits", F.length(F.bin(F.max("r").over(graph))))
+    level = counted.select("graph", "p", "r", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit")).select(
+        "graph", "bit", F.expr("shiftright(r, bit + 1)").alias("prefix"), F.expr("getbit(r, bit) = 1").alias("larger"), "p"
+    )
+    key = F.when(F.col("larger"), F.col("p") - margin).otherwise(F.col("p"))
+    above = Window.partitionBy("graph", "bit", "prefix").orderBy(key.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    smaller = level.select("*", F.count(F.when(~F.col("larger"), 1)).over(above).alias("n"), F.sum(F.when(~F.col("larger"), F.col("p"))).over(above).alias("s"))
+    apart = smaller.where("larger").agg(F.coalesce(F.sum(F.col("n") * (margin - F.col("p")) + F.coalesce("s", F.lit(0.0))), F.lit(0.0)).alias("loss"))
+    ties = ranked.groupBy("graph", "r").agg(F.count("*").alias("k"))
+    equal = ties.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0)).alias("equal"))
+    pairs = rows.groupBy("graph").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("pairs"))
+    whole = apart.crossJoin(equal).crossJoin(pairs)  # one row each
+    return whole.select(F.when(F.col("pairs") > 0, (F.col("loss") + F.col("equal") * max(margin, 0.0)) / F.nullif("pairs", F.lit(0.0))).alias("rank"))
+
+
 def losses(rows: DataFrame, delta: float = 0.1, margin: float = 0.02) -> DataFrame:
     """One row for rows (graph, name, share, label, mask): cross-entropy for each graph, Huber, squared error, and the hinge over all pairs of a graph."""
     kept = rows.where("mask")
@@ -174,10 +198,7 @@ def losses(rows: DataFrame, delta: float = 0.1, margin: float = 0.02) -> DataFra
         F.sum(-F.greatest(y, F.lit(0.0)) * F.log(F.greatest(p, F.lit(EPS)))).alias("ce"),
         F.avg(F.when(gap <= delta, 0.5 * gap * gap).otherwise(delta * (gap - 0.5 * delta))).alias("huber"), F.avg(gap * gap).alias("mse"),
     )
-    a, b = kept.select("graph", F.col("name").alias("i"), p.alias("pi"), y.alias("yi")), kept.select("graph", F.col("name").alias("j"), p.alias("pj"), y.alias("yj"))
-    pairs = a.join(b, "graph").where("i < j")  # nodes of a graph are cells of a library
-    hinge = pairs.agg(F.avg(F.greatest(F.lit(0.0), margin - F.signum(F.col("yi") - F.col("yj")) * (F.col("pi") - F.col("pj")))).alias("rank"))
-    return sums.crossJoin(graphs).crossJoin(hinge).select(  # one row each
+    return sums.crossJoin(graphs).crossJoin(rank_hinge(kept, margin)).select(  # one row each
         F.round(F.col("ce") / F.col("graphs"), 6).alias("cross_entropy"), F.round("huber", 6).alias("huber"), F.round("mse", 6).alias("mse"), F.round(F.coalesce("rank", F.lit(0.0)), 6).alias("rank_hinge")
     )
 

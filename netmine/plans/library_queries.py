@@ -16,6 +16,7 @@ from netmine.operators import checks, library
 from netmine.plans.catalogue import P3, forms_sql, pick_sql, query
 from netmine.session import shared_folder, table
 from netmine.sinks import tables as sinks
+from netmine.sinks import versions
 
 _BITS = "lpad(bin(p_partkey % 256), 8, '0')"
 _DRIVE = "pow(2, p_partkey % 4)::INT"
@@ -57,8 +58,8 @@ CASE WHEN flat THEN '1#0x' || tt[1] ELSE '8#0x' || upper(lpad(to_hex(v), 2, '0')
 def q_expression_table(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", _spelt(truth.bits_column(F.pmod("p_partkey", F.lit(256)), 3), F.col("p_partkey") % 4).alias("e"))
     used = rows.select("p_partkey", "e", expr.variables(F.col("e")).alias("v"))
-    out = used.select("p_partkey", F.size("v").alias("n_inputs"), expr.truth_table(F.col("e"), F.col("v")).alias("tt"), expr.truth_table(F.col("e"), F.col("v"), least_first=True).alias("tt_least_first"))
-    return out.withColumn("key", expr.hex_of(F.col("tt")))
+    both = expr.tabulated(expr.tabulated(used, "e", "v"), "e", "v", "tt_least_first", least_first=True)
+    return both.select("p_partkey", F.size("v").alias("n_inputs"), "tt", "tt_least_first", expr.hex_of(F.col("tt")).alias("key"))
 
 
 @query("""SELECT p_partkey, lpad(bin(p_partkey % 65536), 16, '0') AS bits, '16#0x' || lpad(upper(to_hex(p_partkey % 65536)), 4, '0') AS normal, 4 AS n_inputs FROM part""")
@@ -350,6 +351,18 @@ def q_content_stamp(spark, sf_dir):
     return checks.content_stamp(table(spark, sf_dir, "region").select(F.format_string("%05d", "r_regionkey").alias("path"), F.encode("r_name", "utf-8").alias("content")))
 
 
+@query("""SELECT CAST(o_orderkey % 16 AS VARCHAR) AS part, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS customers, CASE WHEN o_orderkey % 16 IN (3, 7) THEN 2 ELSE 1 END AS written FROM orders GROUP BY ALL""")
+def q_incremental_parts(spark, sf_dir):
+    """Orders by part, summed without those of part 3 and with other customers in part 7, and brought up to date: only these parts are made again."""
+    orders = table(spark, sf_dir, "orders").select(F.pmod("o_orderkey", F.lit(16)).cast("string").alias("part"), "o_orderkey", "o_custkey")
+    early = orders.where("part <> '3'").withColumn("o_custkey", F.when(F.col("part") == "7", F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    folder = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    for rows in (early, orders):
+        versions.refresh(spark, folder, versions.digests(rows, "part"), lambda parts, rows=rows: rows.join(parts, "part").groupBy("part").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("customers")))
+    held = versions.manifest(spark, folder).select("part", "written")
+    return versions.read(spark, folder).join(held, "part")
+
+
 @query("""SELECT s_nationkey AS run, CASE WHEN bool_or(s_acctbal < 0) THEN 'BROKEN' ELSE 'OK' END AS status, coalesce(string_agg(DISTINCT 'check' || s_suppkey % 3, ',' ORDER BY 'check' || s_suppkey % 3) FILTER (WHERE s_acctbal < 0), '') AS why FROM supplier GROUP BY 1""")
 def q_run_verdicts(spark, sf_dir):
     return checks.verdicts(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("run"), F.concat(F.lit("check"), (F.col("s_suppkey") % 3).cast("string")).alias("check"), (F.col("s_acctbal") < 0).alias("broken")))

@@ -334,17 +334,44 @@ def q_stage_summary(spark, sf_dir):
     return rows
 
 
-@query(f"""SELECT rule, CAST(0 AS BIGINT) AS n FROM (VALUES ('included outside of the bounds'), ('skipped within the bounds'), ('depth within its bound'), ('size within its bound'), ('outputs within their bound'), ('unknown reason'), ('state without verdict'), ('verdict without state'), ('two verdicts')) v(rule)""")
+_LOG_RULES = {"included outside of the bounds": 1, "state without verdict": 2, "unknown reason": 3, "depth within its bound": 4, "size within its bound": 5, "outputs within their bound": 6, "verdict without state": 7, "two verdicts": 8}
+
+
+@query(f"""WITH {cone_sql.GRAPH}, c AS ({cone_sql.expand().split(cone_sql.GRAPH, 1)[1]}), s AS (SELECT count(*) AS n FROM c WHERE root % 10 = 9 AND n_cells <= 3)
+SELECT rule, count(g.id) AS n FROM (VALUES {', '.join(f"('{r}', {k})" for r, k in _LOG_RULES.items())}) v(rule, k) LEFT JOIN g ON g.id % 10 = k GROUP BY 1 UNION ALL SELECT 'skipped within the bounds', n FROM s""")
 def q_log_consistency(spark, sf_dir):
-    """The log of the general search over the tree, held against its rules."""
+    """The log of the general search over the tree with faults of every kind, by the last digit of the root, held against its rules."""
     from netmine.operators import explore
 
-    cells, edges = _graph(spark, sf_dir)
+    cells, edges = _tree_nets(spark, sf_dir)
     bounds = explore.Bounds(max_cells=3)
-    nets = cells.select("id", F.explode(F.array(2 * F.col("id"), 2 * F.col("id") + 1)).alias("net")).join(cells.select(F.col("id").alias("net"), F.lit(True).alias("there")), "net", "left")
-    edges = nets.select(F.when(F.col("there"), F.col("net")).otherwise(-F.col("net")).alias("driver"), F.col("id").alias("load"))
-    found = explore.search(cells.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), edges, saved, bounds)
-    return checks.log_violations(found.drop("verdict"), found.select("root", "cells", "verdict"), {k: getattr(bounds, k) for k in ("min_cells", "max_cells", "min_inputs", "max_inputs", "max_outputs", "max_depth")})
+    found = saved(explore.search(cells, edges.select("driver", "load"), saved, bounds))
+    digit, single = F.col("root") % 10, F.size("cells") == 1
+    fault = F.when(single, F.element_at(F.create_map(*[F.lit(x) for kv in {1: "include", 2: "missing", 3: "prune:odd", 4: "prune:max_depth", 5: "prune:max_cells", 6: "prune:max_outputs"}.items() for x in kv]), digit.cast("int")))
+    log = found.select("root", "cells", F.coalesce(fault, F.when((digit == 9) & (F.col("verdict") == "include"), "skip:bounds"), "verdict").alias("verdict"))
+    extra = log.where(single & (digit == 7)).select("root", F.array(-F.col("root")).alias("cells"), F.lit("skip:bounds").alias("verdict"))
+    log = log.where("verdict <> 'missing'").union(extra).union(log.where(single & (digit == 8)))
+    return checks.log_violations(found.drop("verdict"), log, {k: getattr(bounds, k) for k in ("min_cells", "max_cells", "min_inputs", "max_inputs", "max_outputs", "max_depth")})
+
+
+def _tree_nets(spark, sf_dir):
+    """Cells of the tree (id, gate, x, y) and their pins (driver, load, term); a net without a cell has a number of its own below 0."""
+    cells, _ = _graph(spark, sf_dir)
+    pins = F.array(F.struct((2 * F.col("id")).alias("net"), F.lit("A").alias("term")), F.struct((2 * F.col("id") + 1).alias("net"), F.lit("B").alias("term")))
+    nets = cells.select("id", F.explode(pins).alias("p")).select("id", "p.net", "p.term").join(cells.select(F.col("id").alias("net"), F.lit(True).alias("there")), "net", "left")
+    edges = nets.select(F.when(F.col("there"), F.col("net")).otherwise(-F.col("net")).alias("driver"), F.col("id").alias("load"), "term")
+    return cells.select("id", "gate", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), edges
+
+
+@query(cone_sql.expand())
+def q_cone_replay(spark, sf_dir):
+    """The clusters of the tree, searched for one cell of each cone and replayed on the others."""
+    from netmine.operators import explore
+
+    cells, edges = _tree_nets(spark, sf_dir)
+    found = explore.replay(cells, edges, saved).where("verdict = 'include'")
+    text = F.array_join(F.col("cells").cast("array<string>"), ",").alias("cells")
+    return found.select("root", text, *[F.col(c).cast("long").alias(c) for c in ("n_cells", "depth", "n_inputs")])
 
 
 @query(f"SELECT 'three' AS what, count(*) AS n FROM part WHERE p_partkey % 256 > 0 AND {P3.replace('tt', 'lpad(bin(p_partkey % 256), 8, ' + chr(39) + '0' + chr(39) + ')')} = '00010111'")
