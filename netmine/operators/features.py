@@ -57,26 +57,29 @@ def label_norm(rows: DataFrame, group: str, value: str, mask: str) -> DataFrame:
     return rows.select("*", F.when(F.coalesce(total, F.lit(0.0)) <= 1e-9, 0.0).otherwise(F.round(F.col(value) / total, 6)).alias("label"))
 
 
-def graph_edges(nodes: DataFrame, mining: DataFrame, ratio: DataFrame) -> DataFrame:
+def graph_edges(nodes: DataFrame, mining: DataFrame, ratio: DataFrame, saved) -> DataFrame:
     """nodes: name, p_key, np_key, inv_in, inv_out; mining: p_key, name, m1, m2; ratio: key_a, key_b, overlap_ratio.
 
-    Seven attributes for each ordered pair of cell types; an edge stays if the class
-    is equal or one of the three mined weights is not 0.  Cell types are a library's, some hundreds.
+    Seven attributes for each ordered pair of cell types whose class is equal or one of whose three mined weights is not 0.
+    Each of these four conditions gives its pairs by an equi-join; other pairs are never made.
     """
+    mining, ratio = saved(mining.where("m1 <> 0 OR m2 <> 0").toDF("d_p_key", "s_name", "m1", "m2")), saved(ratio.where("overlap_ratio <> 0").toDF("d_p_key", "s_p_key", "overlap"))
     d = nodes.select(*[F.col(c).alias(f"d_{c}") for c in nodes.columns])
     s = nodes.select(*[F.col(c).alias(f"s_{c}") for c in nodes.columns])
-    pairs = d.crossJoin(s).where("d_name <> s_name")
-    joined = pairs.join(mining.toDF("d_p_key", "s_name", "m1", "m2"), ["d_p_key", "s_name"], "left").join(
-        ratio.toDF("d_p_key", "s_p_key", "overlap"), ["d_p_key", "s_p_key"], "left"
-    )
+    own, other = d.select("d_name", "d_p_key", "d_np_key"), s.select("s_name", "s_p_key", "s_np_key")
+    met = (
+        own.join(other, own["d_np_key"] == other["s_np_key"]).select("d_name", "s_name")
+        .union(own.join(mining, "d_p_key").join(other.select("s_name"), "s_name").select("d_name", "s_name"))
+        .union(own.join(ratio, "d_p_key").join(other, "s_p_key").select("d_name", "s_name"))
+    ).where("d_name <> s_name").distinct()
+    joined = met.join(d, "d_name").join(s, "s_name").join(mining, ["d_p_key", "s_name"], "left").join(ratio, ["d_p_key", "s_p_key"], "left")
     same = F.col("d_np_key") == F.col("s_np_key")
     zero = F.lit(0.0)
-    out = joined.select(
+    return joined.select(
         F.col("d_name").alias("dst"), F.col("s_name").alias("src"), (F.col("d_p_key") == F.col("s_p_key")).cast("int").alias("same_key"), same.cast("int").alias("same_class"),
         F.coalesce("m1", zero).alias("m1"), F.coalesce("m2", zero).alias("m2"), F.coalesce("overlap", zero).alias("overlap"),
         F.when(same, F.abs(F.col("d_inv_in") - F.col("s_inv_in"))).otherwise(0).alias("d_in"), F.when(same, F.abs(F.col("d_inv_out") - F.col("s_inv_out"))).otherwise(0).alias("d_out"),
     )
-    return out.where("same_class = 1 OR m1 <> 0 OR m2 <> 0 OR overlap <> 0")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -34,15 +34,16 @@ def subset(rules: DataFrame, cells: DataFrame) -> DataFrame:
     only_use names cells, canonical_keys lists keys.  A deny list that exists always decides, even if it leaves none.
     """
     order = F.expr("array_position(array('direct_deny', 'provenance_deny', 'filter_deny', 'only_use', 'canonical_keys'), source)")
-    pairs = rules.select("run", "source", order.alias("rank")).distinct()
-    every = pairs.join(F.broadcast(cells.select("name", "p_key")))  # sources of runs by cells of a library
-    listed = rules.select("run", "source", F.col("value").alias("v")).distinct()
-    deny = every.where("source LIKE '%deny'").join(listed.withColumnRenamed("v", "name"), ["run", "source", "name"], "left_anti")
-    only = every.where("source = 'only_use'").join(listed.withColumnRenamed("v", "name"), ["run", "source", "name"], "left_semi")
-    keyed = every.where("source = 'canonical_keys'").join(listed.withColumnRenamed("v", "p_key"), ["run", "source", "p_key"], "left_semi")
-    found = deny.select("run", "source", "rank", "name").unionByName(only.select("run", "source", "rank", "name")).unionByName(keyed.select("run", "source", "rank", "name"))
-    decided = pairs.where("source LIKE '%deny'").unionByName(found.select("run", "source", "rank")).groupBy("run").agg(F.min("rank").alias("rank"))
-    return found.join(decided, ["run", "rank"]).select("run", "source", "name")
+    listed = rules.select("run", "source", order.alias("rank"), F.col("value").alias("v")).distinct()
+    lists = listed.select("run", "source", "rank").distinct()
+    # the first deny list of a run decides before all else, so no other is taken against the cells, and only such runs meet all cells
+    deny = lists.where("source LIKE '%deny'").groupBy("run").agg(F.min(F.struct("rank", "source")).alias("m")).select("run", "m.source", "m.rank")
+    left = deny.crossJoin(cells.select("name")).join(listed.select("run", "source", F.col("v").alias("name")), ["run", "source", "name"], "left_anti")
+    only = listed.where("source = 'only_use'").withColumnRenamed("v", "name").join(cells.select("name").distinct(), "name", "left_semi")
+    keyed = listed.where("source = 'canonical_keys'").withColumnRenamed("v", "p_key").join(cells.select("name", "p_key"), "p_key")
+    found = left.select("run", "source", "rank", "name").unionByName(only.select("run", "source", "rank", "name")).unionByName(keyed.select("run", "source", "rank", "name"))
+    decided = deny.select("run", "rank").unionByName(only.select("run", "rank")).unionByName(keyed.select("run", "rank")).groupBy("run").agg(F.min("rank").alias("rank"))
+    return found.join(decided, ["run", "rank"]).select("run", "source", "name").distinct()
 
 
 def compliance(used: DataFrame, rules: DataFrame, allow: bool = False) -> DataFrame:

@@ -778,7 +778,7 @@ def _feature_graph(spark, sf_dir):
     value = ((37 * F.row_number().over(Window.orderBy("name")) + 11) % 256).cast("long")
     nodes = brands.select("name", value.alias("value")).join(space.p_dim(spark, 3), "value").select("name", truth.key_column(F.col("p"), 3).alias("p_key"))
     nodes = nodes.join(space.polarity_dim(spark, 3), "p_key").groupBy("name", "p_key").agg(F.min("np_key").alias("np_key"), F.min("ei").alias("inv_in"), F.min("eo").alias("inv_out"))
-    return features.graph_edges(nodes, q_edge_features(spark, sf_dir), q_overlap_ratio(spark, sf_dir))
+    return features.graph_edges(saved(nodes), q_edge_features(spark, sf_dir), q_overlap_ratio(spark, sf_dir), saved)
 
 
 @query(f"WITH {_NODE_SQL} SELECT * FROM g")

@@ -110,17 +110,17 @@ def q_liberty_ranges(spark, sf_dir):
     return rows.select("name", "area", "is_seq", F.col("functions")[0]["function"].alias("function"))
 
 
-def _netlist_files(spark, sf_dir, sequential: bool = False):
-    """One module of all cells of the synthetic tree, instances in the order of their numbers."""
+def _netlist_lines(spark, sf_dir, sequential: bool = False):
+    """One module of all cells of the synthetic tree, instances in the order of their numbers, by ranges of 5 001 lines."""
     cells, _ = _graph(spark, sf_dir, keep_sequential=True)
     i = lambda c: c.cast("string")
     master = F.when(F.col("is_seq") & F.lit(sequential), "DFF").otherwise(F.concat(F.lit("G_"), F.regexp_replace("gate", "[^A-Za-z0-9]", "_")))
     line = F.concat(
         master, F.lit(" u"), i(F.col("id")), F.lit(" ( .A(n"), i(2 * F.col("id")), F.lit("), .B(\\n"), i(2 * F.col("id") + 1), F.lit(" ), .Y(n"), i(F.col("id")), F.lit(") );")
     )
-    listed = cells.agg(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))).alias("l"))  # one netlist is one text
-    text = F.concat(F.lit("// net\nmodule top (n1);\noutput n1;\nwire x;\n"), F.array_join(F.transform("l", lambda x: x["l"]), "\n"), F.lit("\nendmodule\n"))
-    return listed.select(F.lit("/net/top.v").alias("path"), text.alias("text"))
+    ends = spark.range(2).select(F.when(F.col("id") == 0, F.lit(0)).otherwise(F.lit(1 << 60)).alias("id"), F.when(F.col("id") == 0, "// net\nmodule top (n1);\noutput n1;\nwire x;").otherwise("endmodule").alias("line"))
+    rows = cells.select("id", line.alias("line")).union(ends.select("id", F.explode(F.split("line", "\n")).alias("line")).withColumn("id", F.when(F.col("line").startswith("//"), -3).when(F.col("line").startswith("module"), -2).when(F.col("line").startswith("output"), -1).otherwise(F.col("id"))))
+    return ranges.of_table(rows, "/net/top.v", "id", "line", 5001)
 
 
 def _masters(spark, sf_dir):
@@ -138,7 +138,7 @@ def _masters(spark, sf_dir):
 def _mined(spark, sf_dir):
     """Library text and netlist text to clusters with their truth tables."""
     masters = saved(_masters(spark, sf_dir))
-    rows = saved(blocks.netlist(_netlist_files(spark, sf_dir, sequential=True)))
+    rows = saved(blocks.netlist(_netlist_lines(spark, sf_dir, sequential=True)))
     cells, edges = graph.load(rows, masters)
     cells, edges = saved(cells), saved(edges)
     comb = cells.where("NOT is_seq")
@@ -164,14 +164,14 @@ def q_library_netlist_patterns(spark, sf_dir):
 
 @query("WITH p AS (SELECT p_partkey AS id, p_brand = (SELECT min(p_brand) FROM part WHERE p_partkey > 0) AS seq FROM part WHERE p_partkey > 0) SELECT 'cells' AS what, count(*) AS n FROM p UNION ALL SELECT 'sequential', count(*) FILTER (WHERE seq) FROM p UNION ALL SELECT 'inner edges', count(*) FROM p x JOIN p y ON y.id = x.id // 2 WHERE NOT x.seq AND NOT y.seq UNION ALL SELECT 'open inputs', count(*) FROM (SELECT id, unnest([2 * id, 2 * id + 1]) AS d FROM p WHERE NOT seq) WHERE d NOT IN (SELECT id FROM p WHERE NOT seq)")
 def q_graph_load(spark, sf_dir):
-    cells, edges = graph.load(blocks.netlist(_netlist_files(spark, sf_dir, sequential=True)), _masters(spark, sf_dir))
+    cells, edges = graph.load(blocks.netlist(_netlist_lines(spark, sf_dir, sequential=True)), _masters(spark, sf_dir))
     one = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
     return one(cells, "cells").union(one(cells.where("is_seq"), "sequential")).union(one(edges.where("driver > 0"), "inner edges")).union(one(edges.where("driver < 0"), "open inputs"))
 
 
 @query("SELECT 'u' || p_partkey AS name, CAST(p_partkey AS INT) AS number, 'n' || p_partkey AS y, 'n' || (2 * p_partkey + 1) AS b FROM part WHERE p_partkey > 0")
 def q_netlist_scan(spark, sf_dir):
-    rows = blocks.netlist(_netlist_files(spark, sf_dir)).where("number > 0")
+    rows = blocks.netlist(_netlist_lines(spark, sf_dir)).where("number > 0")
     pin = lambda p: F.max(F.when(F.col("pin") == p, F.col("net")))
     return rows.groupBy("name", "number").agg(pin("Y").alias("y"), pin("B").alias("b"))
 
