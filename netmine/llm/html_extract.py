@@ -7,13 +7,16 @@ of WINDOW lines.  Where the sum surges to SURGE and more a stretch of main text
 begins, where it dives under DIVE it ends, and the blocks between are kept.
 
 Markup only changes weights.  A block in a marked article (article, main) weighs
-SURGE more, so short ones stay; on a page that marks one, other blocks weigh an
-eighth, so only dense text beside it surges.  Class names and roles of notices,
-adverts, comments and the like take the weight from their element.  Where that
-leaves a page without a marked article, they don't for a wrapper, an element whose
-own text, without that of hinted elements inside, is over half of the page's; an
-article inside an aside element counts if nothing else has a weight.  Those of the
-body never count.
+SURGE more, so short ones stay; on a page whose article has SURGE characters and
+more, other blocks have no weight, else an eighth.  Class names, ids and roles of
+notices, adverts, comments and the like take the weight from their element; an id
+counts if it has no further word of its own (`related`, `related-posts`, but not
+`related-work`), and headings have none that count.  Where that leaves a page without
+a marked article, marks don't count for a wrapper, an element whose own text, without
+that of marked elements inside, is over half of the page's; so a form around the whole
+page is one, by its text outside links.  An article inside an aside element counts if
+nothing else has a weight.  Those of the body never count.  The last blocks of a page
+are judged by its last whole window.
 
 Character references are decoded, white space within a block becomes one
 space, blocks are trimmed, empty ones dropped, the others joined by two \\n in the
@@ -59,6 +62,14 @@ HINT = re.compile(
     r"footer|masthead|popup|modal|overlay|widget|toolbar|skip-?link)(?=$|[\s_-])",
     re.I,
 )
+#: Words that may stand beside a hint in an id.
+BESIDE = frozenset(
+    "posts post articles article links link content contents stories items item list box block section widget container wrapper wrap area bar bars button buttons icons icon inner outer main left right top bottom "
+    "header title banner form message messages text thread panel pane region module group slot unit zone view page site primary secondary".split()
+)
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: Elements that are aside by name but may hold the whole page.
+MAY_WRAP = frozenset("form fieldset header footer aside menu dialog nav".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 #: One attribute after another, so that no word within a value counts; a quote cut off goes to the end.
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*)))?""")
@@ -66,7 +77,7 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>
 
 
 class Around(NamedTuple):
-    """What stands around a block: outside and inside of the outermost article, elements that are aside by name or hidden, and numbers of hinted ones."""
+    """What stands around a block: outside and inside of the outermost article, elements that are always aside, and numbers of other marked ones."""
 
     in_main: bool = False
     aside_out: bool = False
@@ -98,18 +109,27 @@ class Block(NamedTuple):
     around: Around
 
 
+def _hinting_id(value: str) -> bool:
+    """Whether an id is a hint and has no word beside it that is none; numbers count for nothing."""
+    if not HINT.search(value):
+        return False
+    words = [w for w in re.split(r"[\s_-]+", value.lower()) if w and not w.isdigit()]
+    return all(w in BESIDE or HINT.search(w) for w in words)
+
+
 def _marks(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is aside by name or hidden, and whether its attributes hint at that."""
-    if name in ASIDE:
+    """Whether an element is aside whatever it holds, or hidden, and whether its name or its attributes hint at that."""
+    if name in ASIDE and name not in MAY_WRAP:
         return True, False
+    named = name in MAY_WRAP
     if "=" not in attributes and "hidden" not in attributes.lower():
-        return False, False
-    hint = False
+        return False, named
+    hint = named
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True, False
-        if key in ("class", "id") and HINT.search(value) or key == "role" and value.lower() in ROLES:
+        if key == "class" and HINT.search(value) or key == "id" and name not in HEADINGS and _hinting_id(value) or key == "role" and value.lower() in ROLES:
             hint = name not in ("html", "body")
     return False, hint
 
@@ -250,17 +270,18 @@ def weights_of(found: list[Block]) -> np.ndarray:
     main = in_main & ~off_in & ~off_out
     if not main.any():
         own: Counter[int] = Counter()
-        for b, n, aside in zip(found, length.tolist(), structural.tolist()):
+        for b, n, aside in zip(found, plain.tolist(), structural.tolist()):
             hints = b.around.hints_out + b.around.hints_in
             if hints and not aside:
                 own[hints[-1]] += n
-        whole = int(length[~structural].sum())
+        whole = int(plain[~structural].sum())
         off_in, off_out = off({h for h, n in own.items() if 2 * n > whole})
         main = in_main & ~off_in & ~off_out
         if not main.any() and not plain[~off_in & ~off_out].any():
             main = in_main & ~off_in
     if main.any():  # a wrapper is one for its article only
-        return np.where(main, length + SURGE, np.where(strict[0] | strict[1], -1, plain // OUTSIDE))
+        beside = np.zeros_like(plain) if length[main].sum() >= SURGE else plain // OUTSIDE
+        return np.where(main, length + SURGE, np.where(strict[0] | strict[1], -1, beside))
     return np.where(off_in | off_out, -1, plain)
 
 
@@ -269,7 +290,8 @@ def kept(weights: np.ndarray) -> np.ndarray:
     n = len(weights)
     total = np.append(0, np.cumsum(weights))
     at = np.arange(n)
-    sums = total[np.minimum(at + WINDOW, n)] - total[at]
+    first = np.minimum(at, max(n - WINDOW, 0))  # the last whole window judges the last blocks
+    sums = total[np.minimum(first + WINDOW, n)] - total[first]
     out, inside = np.zeros(n, dtype=bool), False
     for i in range(n):
         if not inside and weights[i] and sums[i] >= SURGE:
