@@ -15,8 +15,7 @@ counts if it has no further word of its own (`related`, `related-posts`, but not
 a marked article, marks don't count for a wrapper, an element whose own text, without
 that of marked elements inside, is over half of the page's; so a form around the whole
 page is one, by its text outside links.  An article inside an aside element counts if
-nothing else has a weight.  Those of the body never count.  The last blocks of a page
-are judged by its last whole window.
+nothing else has a weight.  Those of the body never count.
 
 Character references are decoded, white space within a block becomes one
 space, blocks are trimmed, empty ones dropped, the others joined by two \\n in the
@@ -290,8 +289,7 @@ def kept(weights: np.ndarray) -> np.ndarray:
     n = len(weights)
     total = np.append(0, np.cumsum(weights))
     at = np.arange(n)
-    first = np.minimum(at, max(n - WINDOW, 0))  # the last whole window judges the last blocks
-    sums = total[np.minimum(first + WINDOW, n)] - total[first]
+    sums = total[np.minimum(at + WINDOW, n)] - total[at]
     out, inside = np.zeros(n, dtype=bool), False
     for i in range(n):
         if not inside and weights[i] and sums[i] >= SURGE:
