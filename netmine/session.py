@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,14 +62,49 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", was)
 
 
+#: Folders written in the innermost scope of this thread of work; those outside of any go when the driver ends.
+_written: contextvars.ContextVar[list[str]] = contextvars.ContextVar("written")
+_left: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What `saved` writes inside is deleted at the end: write a query's result inside, since it is read from there."""
+    mine: list[str] = []
+    token = _written.set(mine)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in mine:
+            delete(spark, path)
+
+
+def _clean(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session's JVM may have ended before
+        for path in _left:
+            delete(spark, path)
+
+
+def _note(spark: SparkSession, path: str) -> None:
+    held = _written.get(None)
+    if held is None:
+        if not _left:
+            atexit.register(_clean, spark)
+        held = _left
+    held.append(path)
+
+
 def saved(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back, so that sizes are those of files.
 
     In a loop a checkpoint would keep the estimates of the plans that it came from, which multiply
-    each round.  `instead` is an earlier result of this function that nothing needs any more.
+    each round.  `instead` is an earlier result of this function that nothing needs any more.  The folder goes at the
+    end of the `scratch` around the call, or else with the driver.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    _note(spark, path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
