@@ -5,14 +5,16 @@ One file for each nation unless said otherwise; paths are names only, nothing is
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netmine.functions import canonical, expr, space, truth
-from netmine.operators import checks, clusters, graph, transistors
+from netmine.operators import checks, clusters, graph, search, transistors
 from netmine.plans import cone_sql
 from netmine.plans.catalogue import P3, _graph, forms_sql, query
-from netmine.session import saved, table
+from netmine.session import saved, shared_folder, table
 from netmine.sources import blocks, lines, ranges
 
 
@@ -176,12 +178,17 @@ def q_netlist_scan(spark, sf_dir):
     return rows.groupBy("name", "number").agg(pin("Y").alias("y"), pin("B").alias("b"))
 
 
-@query("""SELECT n_nationkey AS k, name, master, net FROM nation CROSS JOIN (VALUES ('a/g', 'INV', 'Y', 'a/m'), ('a/h', 'BUF', 'Y', 'w'), ('b/g', 'INV', 'Y', 'b/m'), ('b/h', 'BUF', 'Y', 'o'), ('z', 'TIE', 'Y', 'o')) v(name, master, pin, net)""")
+@query("""SELECT 's' || s_suppkey || CASE k WHEN 0 THEN '/g' WHEN 1 THEN '/h' ELSE '/t' END AS name, ['INV', 'BUF', 'TIE'][k + 1] AS master,
+CASE k WHEN 0 THEN 's' || s_suppkey || '/m' WHEN 1 THEN 'n' || (s_suppkey + 1) ELSE 's' || s_suppkey || '/z' END AS net FROM supplier CROSS JOIN (SELECT unnest(range(0, 3)) AS k) WHERE k < 2 OR s_suppkey % 3 = 0""")
 def q_netlist_flatten(spark, sf_dir):
-    text = F.lit("module sub (i, o); input i; output o; INV g (.A(i), .Y(m)); BUF h (.A(m), .Y(o)); endmodule\nmodule top (i, o); input i; output o; sub a (.i(i), .o(w)); sub b (.i(w), .o(o)); TIE z (.Y(o)); endmodule")
-    rows = blocks.netlist(_files(spark, sf_dir, text, "/net/{}.v"))
-    flat = blocks.flattened(rows, "top").where("pin = 'Y'")
-    return flat.select(F.regexp_extract("path", r"(\d+)\.v", 1).cast("int").alias("k"), "name", "master", "net")
+    """One netlist with a chain of modules, one for each supplier; every third is of another kind."""
+    sub = "module sub (i, o); input i; output o; INV g (.A(i), .Y(m)); BUF h (.A(m), .Y(o)); endmodule"
+    wide = sub.replace("sub", "wide").replace(" endmodule", " TIE t (.Y(z)); endmodule")
+    k = F.col("s_suppkey")
+    line = F.concat(F.when(k % 3 == 0, "wide").otherwise("sub"), F.lit(" s"), k.cast("string"), F.lit(" (.i(n"), k.cast("string"), F.lit("), .o(n"), (k + 1).cast("string"), F.lit("));"))
+    ends = spark.range(2).select(F.when(F.col("id") == 0, F.lit(-1)).otherwise(F.lit(1 << 60)).alias("no"), F.when(F.col("id") == 0, f"{sub} {wide} module top (a);").otherwise("endmodule").alias("line"))
+    rows = blocks.netlist(ranges.of_table(table(spark, sf_dir, "supplier").select(k.alias("no"), line.alias("line")).union(ends), "/net/chain.v", "no", "line", 31))
+    return blocks.flattened(rows, "top").where("pin = 'Y'").select("name", "master", "net")
 
 
 @query("""SELECT 'i' || c_custkey AS name, CASE WHEN c_custkey % 3 > 0 THEN c_custkey / 10.0 END AS x, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 100 / 10.0 END AS y, CAST(n_nationkey AS DOUBLE) AS hi_x FROM customer JOIN nation ON c_nationkey = n_nationkey""")
@@ -296,18 +303,59 @@ def q_pattern_block_ranges(spark, sf_dir):
     return lines.pattern_blocks(text).select("canonical", "cluster", F.element_at("cells", 2).alias("second"))
 
 
-@query("SELECT mode, a, b, count(*) AS n FROM nation CROSS JOIN (VALUES ('star', 'clst1', 'clst2'), ('star', 'clst1', 'clst3'), ('pairs', 'clst1', 'clst2'), ('pairs', 'clst1', 'clst3'), ('pairs', 'clst2', 'clst3')) v(mode, a, b) GROUP BY ALL")
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey AS key, CASE WHEN p_partkey % 7 > 0 THEN p_name || ',\"' || p_brand END AS name, CAST(p_size AS DOUBLE) AS size FROM part")
+def q_csv_scan(spark, sf_dir):
+    """Parts written as headed text with quotes, commas and empty fields, and scanned under a stated schema."""
+    folder = _folder(spark)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 7 > 0, F.concat("p_name", F.lit(',"'), "p_brand")).alias("name"), F.col("p_size").cast("double").alias("size"))
+    rows.write.option("header", True).option("escape", '"').csv(folder)
+    return lines.table(spark, folder, "key long, name string, size double", escape='"')
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n_lines, count(DISTINCT o_custkey) AS n_names, CAST(0 AS BIGINT) AS n_others FROM orders GROUP BY 1")
+def q_folder_scan(spark, sf_dir):
+    """Lines of files below nested folders, found by their names and read by ranges; files of other names are left out."""
+    folder = _folder(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("value"))
+    orders.withColumn("day", F.pmod(F.xxhash64("value"), F.lit(3))).write.partitionBy("o_orderstatus", "day").text(f"{folder}/a/runs")
+    orders.limit(1).select(F.lit("other").alias("value")).write.option("compression", "gzip").text(f"{folder}/b")
+    rows = ranges.of_files(spark, folder, "*.txt")
+    return rows.groupBy(F.regexp_extract("path", "o_orderstatus=(.)", 1).alias("status")).agg(
+        F.count("*").alias("n_lines"), F.countDistinct("value").alias("n_names"), F.count(F.when(F.col("value") == "other", 1)).alias("n_others")
+    )
+
+
+@query("""WITH RECURSIVE m AS MATERIALIZED (SELECT q AS x, floor(sum(s) / sum(n)) AS y FROM (SELECT DISTINCT l_quantity AS q FROM lineitem) JOIN (SELECT l_quantity AS l, sum(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY 1) ON l <= q GROUP BY q),
+s(step, value, done) AS (SELECT 0, CAST(50 AS DOUBLE), false UNION ALL SELECT step + 1, y, y = value FROM s JOIN m ON m.x = s.value WHERE NOT done AND step < 20)
+SELECT step, value FROM s""")
+def q_converged_quantity(spark, sf_dir):
+    """A loop of queries: the mean quantity of all lines up to the last mean, until it repeats."""
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity")
+    mean = lambda x: float(rows.where(F.col("l_quantity") <= x).agg(F.floor(F.sum("l_quantity") / F.count("*")).alias("m")).first().m)
+    return spark.createDataFrame(list(enumerate(search.converge(50.0, mean))), "step int, value double")
+
+
+@query("""WITH o AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey))) AS p FROM lineitem GROUP BY 1 HAVING l_orderkey % 10 > 0), i AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM o),
+x AS (SELECT 'star' AS mode, p[1] AS a, p[i] AS b FROM i WHERE i > 1 UNION ALL SELECT 'pairs', j.p[j.i], j.p[k] FROM (SELECT p, i, unnest(range(i + 1, len(p) + 1)) AS k FROM i) j)
+SELECT mode, 'clst' || a AS a, 'clst' || b AS b, count(*) AS n FROM x GROUP BY ALL""")
 def q_overlap_line_scan(spark, sf_dir):
-    files = _lines(spark, sf_dir, F.lit("# clst7 clst8"), F.lit("clst1 clst2 clst3"), F.lit("clst4"))
-    both = lines.overlap_lines(files, "star").select(F.lit("star").alias("mode"), "a", "b").union(lines.overlap_lines(files, "pairs").select(F.lit("pairs"), "a", "b"))
+    """One file with a line of clusters for every order, its parts; every tenth line is a comment."""
+    parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda x: F.concat(F.lit("clst"), x.cast("string"))), " ").alias("p"))
+    text = ranges.of_table(parts.select("l_orderkey", F.concat(F.when(F.col("l_orderkey") % 10 == 0, "# ").otherwise(""), "p").alias("line")), "/run/all.txt", "l_orderkey", "line", 4001)
+    both = lines.overlap_lines(text, "star").select(F.lit("star").alias("mode"), "a", "b").union(lines.overlap_lines(text, "pairs").select(F.lit("pairs"), "a", "b"))
     return both.groupBy("mode", "a", "b").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey AS k, cell, n FROM nation CROSS JOIN (VALUES ('AND2_X1', 2), ('INV_X1', 1)) v(cell, n)")
+@query(f"SELECT 'G_' || l_returnflag || '_X' || l_linenumber AS cell, count(*) AS n FROM {_ITEMS} GROUP BY 1")
 def q_cell_count_scan(spark, sf_dir):
-    text = ["module top (a);", "  input a;", "  integer i;", "  AND2_X1cdl u1 (.A(a));", "  AND2_X1 u2 (.A(a));", "  if (a) begin", "  end else begin", "  case x", "  tri t;", "  INV_X1 u3 (.A(a));", "endmodule"]
-    rows = lines.cell_counts(_lines(spark, sf_dir, *map(F.lit, text)), suffix="cdl")
-    return rows.select(F.regexp_extract("path", r"/(\d+)/", 1).cast("int").alias("k"), "cell", F.col("cnt").cast("int").alias("n"))
+    """One netlist with an instance for every order line, among lines that only look like one."""
+    cell = F.concat(F.lit("  G_"), F.col("l_returnflag"), F.lit("_X"), F.col("l_linenumber").cast("string"), F.when(F.col("l_partkey") % 2 == 0, "cdl").otherwise(""), F.lit(" u1 (.A(a));"))
+    other = F.element_at(F.array(*map(F.lit, ["  input a;", "  integer i;", "  if (a) begin", "  end else begin", "  case x", "  tri t;"])), (F.col("l_suppkey") % 6 + 1).cast("int"))
+    return lines.cell_counts(_one_text(spark, sf_dir, "/net/all.v", "module top (a);", "endmodule", other, cell), suffix="cdl").select("cell", F.col("cnt").alias("n"))
 
 
 @query("SELECT n_nationkey AS k, n_nationkey * -0.5 AS slack_in2reg, 500.0 + n_nationkey AS freq_mhz, -0.25 AS slack_clock, n_nationkey * 2.0 AS cell_area, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE 0 END AS total, CASE WHEN n_nationkey % 4 = 0 THEN 3 ELSE 0 END AS shorts FROM nation")

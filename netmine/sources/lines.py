@@ -52,9 +52,9 @@ def overlap_lines(source: DataFrame, mode: str = "pairs") -> DataFrame:
     return one.select("a", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("b"))
 
 
-def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def table(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
     """A headed text table under a stated schema; a wrong header or value raises."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").options(**options).csv(path)
 
 
 #: Words of the netlist language that begin a line like an instance does.
@@ -64,10 +64,10 @@ RESERVED = (
 ).split()
 
 
-def cell_counts(files: DataFrame, suffix: str = "") -> DataFrame:
+def cell_counts(source: DataFrame, suffix: str = "") -> DataFrame:
     """Instances of each cell type, from the first word of lines that look like instances; a given ending of names is dropped."""
-    name = F.regexp_extract("line", r"^\s*([A-Za-z_]\w*)\s+\w", 1)
-    rows = numbered(files).select("path", name.alias("cell")).where((F.col("cell") != "") & ~F.lower("cell").isin(RESERVED))
+    name = F.regexp_extract("value", r"^\s*([A-Za-z_]\w*)\s+\w", 1)
+    rows = by_ranges(source).select("path", name.alias("cell")).where((F.col("cell") != "") & ~F.lower("cell").isin(RESERVED))
     if suffix:
         rows = rows.withColumn("cell", F.when(F.col("cell").endswith(suffix), F.expr(f"left(cell, length(cell) - {len(suffix)})")).otherwise(F.col("cell")))
     return rows.groupBy("path", "cell").agg(F.count("*").alias("cnt"))
