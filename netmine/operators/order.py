@@ -45,12 +45,11 @@ def numbered(rows: DataFrame, by: list[Column], name: str = "rank_no", total: st
 
     One shuffle by range, no window.  An empty table stays empty.
     """
-    at = _ranged(rows, by, partitions, spread)
-    part = F.shiftright("__at", _PLACE_BITS)
-    parts = at.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).collect()
-    offsets = F.create_map(*[F.lit(x) for p, n in _before(parts, ["n"]) for x in (p, n)]) if parts else F.lit(None).cast("map<bigint,bigint>")
-    place = F.col("__at") - F.shiftleft(part, _PLACE_BITS)
-    out = at.select(*rows.columns, (F.element_at(offsets.cast("map<bigint,bigint>"), part) + place).alias(name))
+    at = _ranged(rows, by, partitions, spread).withColumn("__part", F.shiftright("__at", _PLACE_BITS))
+    parts = at.groupBy("__part").agg(F.count("*").alias("n")).collect()
+    offsets = rows.sparkSession.createDataFrame(_before(parts, ["n"]), "__part bigint, __before bigint")
+    place = F.col("__before") + F.col("__at") - F.shiftleft("__part", _PLACE_BITS)
+    out = at.join(F.broadcast(offsets), "__part").select(*rows.columns, place.alias(name))  # one row for each partition
     return out.withColumn(total, F.lit(sum(p["n"] for p in parts)).cast("long")) if total else out
 
 
