@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -194,8 +195,8 @@ def _searcher(documents: int, terms: int, k: int):
         return whole.offsets.to_numpy(), whole.values.to_numpy(zero_copy_only=False)
 
     def run(group: pa.Table) -> pa.Table:
-        head = group.filter(pa.compute.is_null(group["term"]))
-        lists = group.filter(pa.compute.is_valid(group["term"]))
+        head = group.filter(pc.is_null(group["term"]))
+        lists = group.filter(pc.is_valid(group["term"]))
         if not lists.num_rows:
             return _FOUND.empty_table()
         known = head["ids"][0].values
