@@ -131,3 +131,26 @@ def test_stages_keep_clashing_columns(spark, folder):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         assert out.count() > 0
     assert line_dedup.digest(docs).count() == docs.count() == near_dedup.near_duplicates(docs).count()
+
+
+def test_stages_on_repeated_ids_and_very_long_texts(spark, folder):
+    """Rows that share an id, a text of megabytes, nulls in every column: no stage fails, loses a row without cause or changes a column's type."""
+    rng = random.Random(3)
+    long = "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6_000))
+    rows = [(1, "first text of this id, long enough to stand", "en", "s", 5), (1, "second text of this id, which is another", "en", "s", 5), (2, long, None, None, None)]
+    rows += [(3, long + "\nand one line more at its end", "de", "t", 1), (None, None, None, None, None), (4, "", "", "", 0), (4, "", "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        got = out.collect()
+        ids = [r.doc_id for r in got]
+        if name == "quality_classifier":
+            assert set(ids) <= {1, 2, 3, 4, None}
+        elif name == "near_dedup":
+            assert sorted(map(str, ids)) == sorted(map(str, [1, 1, 2, None, 4, 4]))  # the longer copy goes
+        else:
+            assert sorted(map(str, ids)) == sorted(map(str, [1, 1, 2, 3, None, 4, 4]))
+        if name != "bpe":
+            assert out.schema.simpleString() == docs.schema.simpleString()
+        if name == "line_dedup":  # the copied lines go once, from one of the two
+            assert sum(len(r.text or "") for r in got if r.doc_id in (2, 3)) < len(long) + 100
