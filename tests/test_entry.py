@@ -16,7 +16,7 @@ def plain(rows, columns):
 
 
 def names():
-    from netmine.plans import catalogue
+    from netmine.plans import catalogue, library_queries, model_queries, scan_queries  # noqa: F401  each adds its queries
 
     return sorted(catalogue.SQL)
 
