@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 def plain(rows, columns):
     at = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(repr([round(float(r[i]), 6) if isinstance(r[i], float) and not math.isnan(r[i]) or type(r[i]).__name__ == "Decimal" else r[i] for i in at]) for r in rows)
+    return sorted(repr([round(float(r[i]), 6) + 0.0 if isinstance(r[i], float) and not math.isnan(r[i]) or type(r[i]).__name__ == "Decimal" else r[i] for i in at]) for r in rows)
 
 
 def names():
