@@ -68,7 +68,7 @@ BESIDE = frozenset(
 )
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: Elements that are aside by name but may hold the whole page.
-MAY_WRAP = frozenset("form fieldset header footer aside menu dialog nav".split())
+MAY_WRAP = frozenset(["form", "fieldset"])
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 #: One attribute after another, so that no word within a value counts; a quote cut off goes to the end.
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*)))?""")
