@@ -307,3 +307,17 @@ def test_line_recall_is_high():
 @pytest.mark.parametrize("text", ["", "a", "one two", "x " * 500])
 def test_shingler_counts(text):
     assert len(near_dedup.Shingler().hashes(text)) == len(shingles(text))
+
+
+def test_pairs_are_verified_in_rounds(spark):
+    """What a round brings along does not grow with the number of pairs, and no link is lost."""
+    pairs = linking.saved(spark.range(1000).selectExpr("id AS a", "id + 7 AS b"))
+    sizes = []
+
+    def verify(some):
+        sizes.append(some.count())
+        return some.where("a % 3 = 0")
+
+    links = linking.verified(pairs, verify, 100)
+    assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) < 200
+    assert sorted(r.a for r in links.collect()) == list(range(0, 1000, 3))
