@@ -236,16 +236,19 @@ def weighted_counts(neighbours: DataFrame, keyed: DataFrame) -> DataFrame:
 def overlap_ratio(member: DataFrame, keyed: DataFrame) -> DataFrame:
     """Share of the clusters of key_a that touch at least one cluster of key_b.
 
-    A cell passes on the set of keys that its clusters have, not the clusters.
+    A cell passes on which keys its clusters have, not the clusters: keys are numbered, and 64 of them are the bits of one
+    long, so a member is a row or two of fixed width however many clusters its cell has.
     """
     key = keyed.select("cluster", "p_key")
-    rows = member.join(key, "cluster")
-    held = rows.groupBy("cell").agg(F.collect_set("p_key").alias("keys")).where(F.size("keys") > 1)
-    near = rows.join(held, "cell").groupBy("cluster", "p_key").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
-    touching = near.select(F.col("p_key").alias("key_a"), F.explode("keys").alias("key_b")).where("key_a <> key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("touching"))
-    return touching.join(key.groupBy("p_key").agg(F.count("*").alias("n")).toDF("key_a", "n"), "key_a").select(
-        "key_a", "key_b", F.round(F.col("touching") / F.col("n"), 6).alias("overlap_ratio")
-    )
+    number = numbered(key.groupBy("p_key").agg(F.count("*").alias("n")), [F.col("p_key")], "k")
+    own = key.join(number, "p_key").select("cluster", "k")
+    rows = member.join(own, "cluster").select("cluster", "k", "cell").repartition("cell")
+    held = rows.groupBy("cell", F.expr("k div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(k % 64 AS int)))").alias("bits"))
+    near = rows.join(held, "cell").groupBy("cluster", "k", "word").agg(F.bit_or("bits").alias("bits"))
+    each = near.select("k", "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).where("getbit(bits, bit) = 1")
+    touching = each.select(F.col("k").alias("a"), F.expr("word * 64 + bit").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("touching"))
+    of_a, of_b = number.select(F.col("k").alias("a"), F.col("p_key").alias("key_a"), "n"), number.select(F.col("k").alias("b"), F.col("p_key").alias("key_b"))
+    return touching.join(of_a, "a").join(of_b, "b").select("key_a", "key_b", F.round(F.col("touching") / F.col("n"), 6).alias("overlap_ratio"))
 
 
 def presence(member: DataFrame, keyed: DataFrame, master: DataFrame) -> DataFrame:

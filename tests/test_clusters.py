@@ -92,3 +92,16 @@ def test_positions_over_partition_borders(spark):
     assert got == {k: (i, round(i / 199, 6)) for i, (k, _) in enumerate(want)}
     plan = clusters.positions(spark.createDataFrame(counts, "key string, cnt int"), "cnt", "key")._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def test_overlap_ratio_passes_no_lists_on(spark):
+    """Rows of fixed width are shuffled, with more keys than one long has bits."""
+    sets = {c: {c % 11, 11 + c % 7} for c in range(300)}
+    keys = {c: f"k{c % 150}" for c in sets}
+    got = clusters.overlap_ratio(rows(spark, sets), spark.createDataFrame(list(keys.items()), "cluster long, p_key string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan and "array_distinct" not in plan
+    near = {c: {keys[d] for d in sets if sets[c] & sets[d]} for c in sets}
+    own = {k: [c for c in sets if keys[c] == k] for k in set(keys.values())}
+    want = {(a, b): round(n / len(own[a]), 6) for a in own for b in own if a != b and (n := sum(b in near[c] for c in own[a]))}
+    assert {(r.key_a, r.key_b): r.overlap_ratio for r in got.collect()} == want and len(want) > 1000
