@@ -1,12 +1,13 @@
 """Node features, labels, splits, the attention network's forward pass, losses and scores.
 
-A graph has as many nodes as a library has cells, so each graph is one Arrow group;
+A graph has as many nodes as a library has cells, so a task holds the nodes of a graph, but not its edges;
 weights are a few matrices that are sent with the function.  Training is not done here.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netmine.operators.order import numbered
+from netmine.session import saved
 
 EPS = 1e-9
+#: Edges of a group, about; a node's incoming edges are together.
+EDGES = 1 << 18
 
 
 def elu(x: np.ndarray) -> np.ndarray:
@@ -146,19 +150,67 @@ def forward(x: np.ndarray, edges: np.ndarray, attributes: np.ndarray, mask: np.n
     return share, None if w.scale is None else float(softplus((h.mean(0) @ w.scale[0] + w.scale[1])[0]))
 
 
-def predict(nodes: DataFrame, edges: DataFrame, weights: Weights) -> DataFrame:
-    """nodes (graph, name, x, mask), edges (graph, src, dst, attributes): graph, name, share, scale, pred."""
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("name", ignore_index=True)
-        place = {n: i for i, n in enumerate(left.name)}
-        pairs = np.array([[place[s] for s in right.src], [place[d] for d in right.dst]], dtype=np.int64).reshape(2, -1)
-        attributes = np.array(right.attributes.tolist(), dtype=float).reshape(len(right), weights.layers[0][2].shape[0])
-        share, scale = forward(np.array(left.x.tolist(), dtype=float), pairs, attributes, left["mask"].to_numpy(bool), weights)
-        return pd.DataFrame({"graph": left.graph, "name": left.name, "share": share, "scale": scale, "pred": share * (1.0 if scale is None else scale)})
+def _nodewise(nodes: DataFrame, run: Callable, ddl: str) -> DataFrame:
+    """`run` over pandas batches of nodes."""
+    return nodes.mapInPandas(lambda batches: map(run, batches), ddl)
 
-    left, right = nodes.select("graph", "name", "x", "mask"), edges.select("graph", "src", "dst", "attributes")
-    cogrouped = left.toDF(*left.columns).groupBy("graph").cogroup(right.toDF(*right.columns).groupBy("graph"))  # they may come from one table
-    return cogrouped.applyInPandas(run, f"graph {nodes.schema['graph'].dataType.simpleString()}, name string, share double, scale double, pred double")
+
+def _by_graph(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """Join by graph, where null is a graph like others."""
+    return rows.join(other.withColumnRenamed("graph", "__graph"), F.col("graph").eqNullSafe(F.col("__graph")), how).drop("__graph")
+
+
+def predict(nodes: DataFrame, edges: DataFrame, weights: Weights, most: int = EDGES) -> DataFrame:
+    """nodes (graph, name, x, mask), edges (graph, src, dst, attributes): graph, name, share, scale, pred.
+
+    A graph's targets are dealt out so that a group has about `most` edges: it meets all nodes of its graph and gives its
+    own targets' next state.  So a task holds a graph's nodes and one group's edges, never a graph's edges.
+    """
+    kind = nodes.schema["graph"].dataType.simpleString()
+    names = ["graph", "name", "mask", "no"]
+    schema = f"graph {kind}, name string, mask boolean, no long, h array<double>"
+
+    def enter(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(rows.x.tolist(), dtype=float).reshape(len(rows), weights.entry[0].shape[0])
+        return rows[names].assign(h=list(x @ weights.entry[0] + weights.entry[1]))
+
+    def step(layer):
+        def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            left = left.sort_values(["name", "no"], ignore_index=True)
+            place = left.name[~left.name.duplicated(keep="last")]
+            at = [pd.Index(place).get_indexer(right[c]) for c in ("src", "dst")]
+            if any((x < 0).any() for x in at):
+                raise KeyError(f"an edge of graph {key[0]} has no node")
+            pairs = np.array([place.index.to_numpy()[x] for x in at], dtype=np.int64).reshape(2, -1)
+            attributes = np.array(right.attributes.tolist(), dtype=float).reshape(len(right), layer[2].shape[0])
+            h = np.array(left.h.tolist(), dtype=float).reshape(len(left), layer[0].shape[0])
+            own = left.own.to_numpy(bool)
+            h = elu(attention(h, pairs, attributes, layer, weights.heads)[own]) + h[own]
+            return left.loc[own, names].assign(h=list(h))
+
+        return run
+
+    def leave(rows: pd.DataFrame) -> pd.DataFrame:
+        h = np.array(rows.h.tolist(), dtype=float).reshape(len(rows), weights.head[0].shape[0])
+        z = np.zeros(len(rows)) if weights.scale is None else (h @ weights.scale[0])[:, 0]
+        return rows[["graph", "name", "mask"]].assign(raw=(h @ weights.head[0] + weights.head[1])[:, 0], z=z)
+
+    size = edges.groupBy("graph").agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("n")).cast("int")
+    dealt = edges.select("graph", "src", "dst", "attributes").transform(_by_graph, size).select("graph", block("dst").alias("block"), "src", "dst", "attributes")
+    size = saved(_by_graph(nodes.select("graph").distinct(), size, "left").select("graph", F.coalesce("n", F.lit(1)).alias("n")))
+    state = saved(_nodewise(nodes.select("graph", "name", "x", F.coalesce("mask", F.lit(False)).alias("mask"), F.monotonically_increasing_id().alias("no")), enter, schema))
+    for layer in weights.layers:
+        spread = _by_graph(state, size).select(*names, "h", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), block("name").alias("at"))
+        spread = spread.select(*names, "h", "block", (F.col("at") == F.col("block")).alias("own"))
+        state = saved(spread.groupBy("graph", "block").cogroup(dealt.groupBy("graph", "block")).applyInPandas(step(layer), schema), instead=state)
+    rows = saved(_nodewise(state, leave, f"graph {kind}, name string, mask boolean, raw double, z double"), instead=state)
+    top = rows.groupBy("graph").agg(F.max(F.when(F.col("mask"), F.col("raw"))).alias("top"), F.avg("z").alias("z"))
+    total = _by_graph(rows, top.select("graph", "top")).where("mask").groupBy("graph").agg(F.sum(F.exp(F.col("raw") - F.col("top"))).alias("total"))
+    share = F.when(F.col("mask"), F.exp(F.col("raw") - F.col("top")) / F.col("total")).otherwise(0.0)
+    scale = F.lit(None).cast("double") if weights.scale is None else softplus_column(F.col("z") + float(weights.scale[1][0]))
+    out = _by_graph(_by_graph(rows.drop("z"), top), total, "left").select("graph", "name", share.alias("share"), scale.alias("scale"))
+    return out.withColumn("pred", F.col("share") * F.coalesce("scale", F.lit(1.0)))
 
 
 # ---------------------------------------------------------------- losses and scores

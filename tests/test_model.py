@@ -63,6 +63,29 @@ def test_forward_pass_against_loops(spark):
         assert np.allclose([r.share, r.scale, r.pred], [*want[r.graph, r.name], want[r.graph, r.name][0] * want[r.graph, r.name][1]])
 
 
+def test_forward_pass_in_parts(spark, monkeypatch):
+    """A group holds a part of a graph's edges, and the parts give what the whole graph gives."""
+    rng = random.Random(8)
+    w = model.Weights.seeded(3, 2, hidden=8, heads=2, layers=2, two_head=True, seed=5)
+    x = [[rng.uniform(-1, 1) for _ in range(3)] for _ in range(40)]
+    pairs = [(a, b) for a in range(40) for b in range(39) if a != b]  # one node has no edge to it
+    attributes = [[rng.random(), rng.random()] for _ in pairs]
+    share, scale = loop_forward(x, pairs, attributes, [True] * 40, w)
+    nodes = spark.createDataFrame([(g, f"n{i}", x[i], True) for g in (None, 1) for i in range(40)], "graph int, name string, x array<double>, mask boolean")
+    edges = spark.createDataFrame([(g, f"n{a}", f"n{b}", t) for g in (None, 1) for (a, b), t in zip(pairs, attributes)], "graph int, src string, dst string, attributes array<double>")
+
+    def few(h, edges, *rest, attention=model.attention):
+        if edges.shape[1] > 800:
+            raise ValueError("a whole graph's edges")
+        return attention(h, edges, *rest)
+
+    monkeypatch.setattr(model, "attention", few)
+    rows = model.predict(nodes, edges, w, most=100).collect()
+    assert len(rows) == 80
+    for r in rows:
+        assert np.allclose([r.share, r.scale, r.pred], [share[int(r.name[1:])], scale, share[int(r.name[1:])] * scale])
+
+
 def test_split_keeps_runs_apart(spark):
     pairs = spark.range(400).select(F.lit("d").alias("design"), (F.col("id") % 20).alias("run_a"), F.floor(F.col("id") / 20).alias("run_b")).where("run_a <> run_b")
     rows = model.split(pairs, 0.3, 1).collect()
