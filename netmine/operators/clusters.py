@@ -19,6 +19,8 @@ from netmine.operators.order import numbered
 
 #: Clusters of a cell beyond which it is hot: its clusters are counted by their hot cells, and pairs are made in blocks of so many.
 HOT = 2048
+#: Members whose pairs one task counts.
+COUNTED = 1 << 17
 #: Edges that one task joins into components without another round.
 ONE_TASK = 1 << 20
 
@@ -62,25 +64,30 @@ def grouped_roll_up(counts: DataFrame, relation: DataFrame, labels: DataFrame) -
     return one.groupBy("grp").agg(F.min("np_key").alias("np_key"), F.sum("cnt").alias("cnt"), F.count("*").alias("n_classes"))
 
 
+def sized(member: DataFrame) -> DataFrame:
+    """The members with the number of cells that their cluster has."""
+    return member.withColumn("size", F.count("*").over(Window.partitionBy("cluster")).cast("int"))
+
+
 def overlap_pairs(member: DataFrame, saved: Callable, block: int = HOT) -> DataFrame:
-    """a < b and the number of cells they share.
+    """a < b and the number of cells they share; of sized members also size_a and size_b, so that no pair is joined with anything.
 
-    The clusters of a hot cell, one with more than `block` clusters, are dealt into blocks, each of which meets the whole
-    cell, so a hot cell is as many tasks as it has blocks.
+    A member takes the greater clusters of its cell along as one array, and pairs are made and counted where all arrays
+    of a cluster have met.  The clusters of a hot cell, one with more than `block` clusters, are dealt into blocks, each
+    of which meets the whole cell, so a hot cell is as many tasks as it has blocks.
     """
+    sizes = ["size"] if "size" in member.columns else []
     hot = saved(member.groupBy("cell").agg(F.count("*").alias("k")).where(F.col("k") > block).select("cell", F.ceil(F.col("k") / block).cast("int").alias("n")))
-    rest = member.join(hot, "cell", "left_anti").select("cluster", "cell")
-    met = rest.toDF("a", "cell").join(rest.toDF("b", "cell"), "cell").where("a < b").select("a", "b")
-    dealt = member.join(hot, "cell")
-    left = dealt.select(F.col("cluster").alias("a"), "cell", F.pmod(F.xxhash64("cluster"), "n").cast("int").alias("block"))
-    right = dealt.select(F.col("cluster").alias("b"), "cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    met_hot = left.join(right, ["cell", "block"]).where("a < b").select("a", "b")
-    return met.union(met_hot).groupBy("a", "b").agg(F.count("*").alias("shared"))
-
-
-def with_sizes(pairs: DataFrame, member: DataFrame) -> DataFrame:
-    sizes = member.groupBy("cluster").agg(F.count("*").alias("size"))
-    return pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+    dealt = member.join(hot, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    posted = dealt.select("cell", F.pmod(F.xxhash64("cluster"), "n").cast("int").alias("block"), F.struct("cluster", *sizes).alias("x"))
+    posted = posted.groupBy("cell", "block").agg(F.array_sort(F.collect_list("x")).alias("every"))
+    own = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.col("cluster").alias("a"), *[F.col(c).alias(f"{c}_a") for c in sizes])
+    met = own.join(posted, ["cell", "block"]).withColumn("b", F.filter("every", lambda x: x["cluster"] > F.col("a"))).where(F.size("b") > 0)
+    packed = met.select("a", *[f"{c}_a" for c in sizes], F.col("b.cluster").alias("b"), *[F.col(f"b.{c}").alias(f"{c}_b") for c in sizes])
+    parts = max(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), member.count() // COUNTED)
+    packed = packed.repartition(parts, "a")  # by number of members, as the arrays are small beside the pairs made of them
+    each = packed.select("a", *[f"{c}_a" for c in sizes], F.inline(F.arrays_zip("b", *[f"{c}_b" for c in sizes])))
+    return each.groupBy("a", "b", *[f"{c}_{side}" for c in sizes for side in ("a", "b")]).agg(F.count("*").alias("shared"))
 
 
 def jaccard(pairs: DataFrame) -> Column:

@@ -328,8 +328,7 @@ def q_function_space(spark, sf_dir):
 @query(f"""WITH {PAIRS}, s AS (SELECT c, count(*) AS n FROM m GROUP BY 1)
 SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM pr JOIN s x ON x.c = a JOIN s y ON y.c = b""")
 def q_cluster_overlap_pairs(spark, sf_dir):
-    m = members(spark, sf_dir)
-    pairs = clusters.with_sizes(clusters.overlap_pairs(m, saved), m)
+    pairs = clusters.overlap_pairs(saved(clusters.sized(members(spark, sf_dir))), saved)
     return pairs.select("a", "b", "shared", clusters.jaccard(pairs).alias("jaccard"))
 
 

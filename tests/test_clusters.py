@@ -105,3 +105,11 @@ def test_overlap_ratio_passes_no_lists_on(spark):
     own = {k: [c for c in sets if keys[c] == k] for k in set(keys.values())}
     want = {(a, b): round(n / len(own[a]), 6) for a in own for b in own if a != b and (n := sum(b in near[c] for c in own[a]))}
     assert {(r.key_a, r.key_b): r.overlap_ratio for r in got.collect()} == want and len(want) > 1000
+
+
+@pytest.mark.parametrize("block", [4, 10_000])
+def test_pairs_with_sizes(spark, block):
+    sets = drawn(random.Random(4), 60, 30)
+    pairs = clusters.overlap_pairs(clusters.sized(rows(spark, sets)), saved, block)
+    got = {(r.a, r.b): (r.shared, r.size_a, r.size_b) for r in pairs.collect()}
+    assert got == {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
