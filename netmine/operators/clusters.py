@@ -19,7 +19,7 @@ from netmine.operators.order import numbered
 
 #: Clusters of a cell beyond which it is hot: its clusters are counted by their hot cells, and pairs are made in blocks of so many.
 HOT = 2048
-#: Members whose pairs one task counts.
+#: Members that one task counts, or makes pairs of.
 COUNTED = 1 << 17
 #: Edges that one task joins into components without another round.
 ONE_TASK = 1 << 20
@@ -29,6 +29,11 @@ def members(rows: DataFrame, cluster: str, cell: str) -> DataFrame:
     return rows.select(F.col(cluster).alias("cluster"), F.col(cell).alias("cell")).distinct()
 
 
+def tasks(member: DataFrame) -> int:
+    """Partitions in which a task counts about COUNTED members, so that its memory does not grow with them."""
+    return max(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-member.count() // COUNTED))
+
+
 def frequency(keyed: DataFrame, library: DataFrame | None = None) -> DataFrame:
     """p_key, count and label; the label is the smallest (area, name) master of that key, else New."""
     counts = keyed.groupBy("p_key").agg(F.count("*").alias("cnt"))
@@ -84,8 +89,7 @@ def overlap_pairs(member: DataFrame, saved: Callable, block: int = HOT) -> DataF
     own = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.col("cluster").alias("a"), *[F.col(c).alias(f"{c}_a") for c in sizes])
     met = own.join(posted, ["cell", "block"]).withColumn("b", F.filter("every", lambda x: x["cluster"] > F.col("a"))).where(F.size("b") > 0)
     packed = met.select("a", *[f"{c}_a" for c in sizes], F.col("b.cluster").alias("b"), *[F.col(f"b.{c}").alias(f"{c}_b") for c in sizes])
-    parts = max(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), member.count() // COUNTED)
-    packed = packed.repartition(parts, "a")  # by number of members, as the arrays are small beside the pairs made of them
+    packed = packed.repartition(tasks(member), "a")  # by number of members, as the arrays are small beside the pairs made of them
     each = packed.select("a", *[f"{c}_a" for c in sizes], F.inline(F.arrays_zip("b", *[f"{c}_b" for c in sizes])))
     return each.groupBy("a", "b", *[f"{c}_{side}" for c in sizes for side in ("a", "b")]).agg(F.count("*").alias("shared"))
 
@@ -261,12 +265,20 @@ def overlap_ratio(member: DataFrame, keyed: DataFrame) -> DataFrame:
 def presence(member: DataFrame, keyed: DataFrame, master: DataFrame) -> DataFrame:
     """For (p_key, master): share of clusters holding it, and its mean number in a cluster."""
     key = keyed.select("cluster", "p_key")
-    rows = member.join(master, "cell").join(key, "cluster")
+    rows = member.join(master, "cell").repartition(tasks(member), "cluster").join(key, "cluster")
     held = rows.groupBy("p_key", "master", "cluster").agg(F.count("*").alias("k")).groupBy("p_key", "master").agg(F.count("*").alias("c"), F.sum("k").alias("k"))
     n = key.groupBy("p_key").agg(F.count("*").alias("n"))
     return held.join(n, "p_key").select("p_key", "master", F.round(F.col("c") / F.col("n"), 6).alias("m1"), F.round(F.col("k") / F.col("n"), 6).alias("m2"))
 
 
+def attributes(member: DataFrame, cells: DataFrame) -> DataFrame:
+    """cells (cell, area, master): for each cluster the number, total and largest area of its cells, and how many masters they have."""
+    rows = member.join(cells, "cell").repartition(tasks(member), "cluster")
+    return rows.groupBy("cluster").agg(
+        F.count("*").alias("n_cells"), F.sum("area").alias("total_area"), F.countDistinct("master").alias("n_masters"), F.max("area").cast("long").alias("max_area")
+    )
+
+
 def secondary(member: DataFrame, keyed: DataFrame, primary: DataFrame, k: int, saved: Callable) -> DataFrame:
     """For the clusters of the primary key: neighbours by key, most in one cluster, top k."""
     key = keyed.select("cluster", "p_key")

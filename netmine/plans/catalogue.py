@@ -365,7 +365,7 @@ SELECT k.p_key, p_brand AS master, round(count(DISTINCT k.c) / any_value(n), 6)
 FROM m JOIN part ON p_partkey = p JOIN k ON k.c = m.c JOIN n ON n.p_key = k.p_key GROUP BY 1, 2""")
 def q_edge_features(spark, sf_dir):
     master = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), F.col("p_brand").alias("master"))
-    return clusters.presence(members(spark, sf_dir), keyed(spark, sf_dir), master)
+    return clusters.presence(saved(members(spark, sf_dir)), keyed(spark, sf_dir), master)
 
 
 _TOP = "top AS (SELECT p_key FROM k GROUP BY 1 ORDER BY count(*) DESC, p_key LIMIT 1)"
@@ -407,10 +407,8 @@ def q_top_patterns(spark, sf_dir):
 @query(f"""WITH {MEMBERS} SELECT c AS cluster, count(*) AS n_cells, CAST(sum(p_size) AS BIGINT) AS total_area, count(DISTINCT p_brand) AS n_masters,
 CAST(max(p_size) AS BIGINT) AS max_area FROM m JOIN part ON p_partkey = p GROUP BY 1""")
 def q_cluster_attributes(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), "p_size", "p_brand")
-    return members(spark, sf_dir).join(part, "cell").groupBy("cluster").agg(
-        F.count("*").alias("n_cells"), F.sum("p_size").alias("total_area"), F.countDistinct("p_brand").alias("n_masters"), F.max("p_size").cast("long").alias("max_area")
-    )
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), F.col("p_size").alias("area"), F.col("p_brand").alias("master"))
+    return clusters.attributes(saved(members(spark, sf_dir)), part)
 
 
 # ---------------------------------------------------------------- multi-output grouping

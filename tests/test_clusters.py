@@ -113,3 +113,16 @@ def test_pairs_with_sizes(spark, block):
     pairs = clusters.overlap_pairs(clusters.sized(rows(spark, sets)), saved, block)
     got = {(r.a, r.b): (r.shared, r.size_a, r.size_b) for r in pairs.collect()}
     assert got == {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+
+
+def test_partitions_follow_the_members(spark, monkeypatch):
+    """What one task counts does not grow with the input."""
+    monkeypatch.setattr(clusters, "COUNTED", 50)
+    sets = {c: {c % 7, 7 + c % 5} for c in range(500)}
+    master = spark.createDataFrame([(x, x, f"m{x % 3}") for x in range(12)], "cell long, area int, master string")
+    key = spark.createDataFrame([(c, "k") for c in sets], "cluster long, p_key string")
+    got = clusters.attributes(rows(spark, sets), master)
+    assert got.rdd.getNumPartitions() >= 20
+    assert {r.cluster: (r.n_cells, r.total_area, r.n_masters, r.max_area) for r in got.collect()} == {c: (2, sum(x), len({y % 3 for y in x}), max(x)) for c, x in sets.items()}
+    share = {(r.p_key, r.master): r.m1 for r in clusters.presence(rows(spark, sets), key, master.select("cell", "master")).collect()}
+    assert share == {("k", f"m{i}"): round(sum(any(y % 3 == i for y in x) for x in sets.values()) / 500, 6) for i in range(3)}
