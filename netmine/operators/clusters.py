@@ -265,7 +265,8 @@ def overlap_ratio(member: DataFrame, keyed: DataFrame) -> DataFrame:
 def presence(member: DataFrame, keyed: DataFrame, master: DataFrame) -> DataFrame:
     """For (p_key, master): share of clusters holding it, and its mean number in a cluster."""
     key = keyed.select("cluster", "p_key")
-    rows = member.join(master, "cell").repartition(tasks(member), "cluster").join(key, "cluster")
+    dealt = tasks(member)
+    rows = member.join(master, "cell").repartition(dealt, "cluster").join(key.repartition(dealt, "cluster"), "cluster")
     held = rows.groupBy("p_key", "master", "cluster").agg(F.count("*").alias("k")).groupBy("p_key", "master").agg(F.count("*").alias("c"), F.sum("k").alias("k"))
     n = key.groupBy("p_key").agg(F.count("*").alias("n"))
     return held.join(n, "p_key").select("p_key", "master", F.round(F.col("c") / F.col("n"), 6).alias("m1"), F.round(F.col("k") / F.col("n"), 6).alias("m2"))
