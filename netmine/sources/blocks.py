@@ -30,11 +30,10 @@ def whole_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 def _mapped(files: DataFrame, parse, schema: str, arrow: pa.Schema) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):  # one file at a time, its rows in pieces
-                rows = parse(batch.column("path")[k].as_py(), batch.column("text")[k].as_py())
-                while piece := list(islice(rows, 4096)):
-                    yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in piece], schema=arrow)
+        texts = ((p.as_py(), t.as_py()) for batch in batches for p, t in zip(batch.column("path"), batch.column("text")))
+        rows = (r for path, text in texts for r in parse(path, text))  # one text at a time; rows of many short texts go together
+        while piece := list(islice(rows, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*piece), arrow.types)], schema=arrow)
 
     return files.select("path", "text").mapInArrow(run, schema)
 

@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,10 @@ from netmine.session import saved
 #: Deeper than any group: no border was met.
 _NONE = 1 << 30
 _CHUNK = 4096
+#: Lines that are walked as one text.
+_PIECE = 512
+#: A name that was not set.
+UNSET = "\0"
 
 
 def of_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -58,66 +64,97 @@ class Place(NamedTuple):
     carry: str | None = None
 
 
+class Move(NamedTuple):
+    """What a token does: the state after it, the change of depth, the name set (`UNSET` leaves it), whether a record ends there, and whether its text is kept."""
+
+    state: str
+    depth: int = 0
+    carry: str | None = UNSET
+    border: bool = False
+    keep: bool = False
+
+
 class Grammar(NamedTuple):
-    """`tokens` has, for each state, the pattern of what matters there; `step(token, place)` is the place after it and whether a record ends there.
+    """`tokens` has, for each state, the pattern of what matters there; `step(token, state)` is what it does.
 
-    Text is kept in the states of `kept`; a record ends at a depth of `deepest` at most, and its token is kept where `step` says so.
+    Text is kept in the states of `kept`; a record ends at a depth of `deepest` at most.  A search is quick where every
+    alternative of a pattern begins with a literal.  A token may be a whole string or comment, if it ends in this piece.
     """
 
     tokens: dict[str, re.Pattern]
-    step: Callable[[str, Place], tuple[Place, bool, bool]]
+    step: Callable[[str, str], Move]
     kept: frozenset[str]
     deepest: int
     first: str = "text"
 
 
-def _walk(grammar: Grammar, line: str, place: Place):
-    """Events of one line: (kept text before, place after, depth of a border or None); the last one has the place at its end."""
-    at = 0
-    while True:
-        m = grammar.tokens[place.state].search(line, at)
-        if not m:
-            yield (line[at:] + "\n" if place.state in grammar.kept else "\n"), place, None
-            return
-        text = line[at : m.start()] if place.state in grammar.kept else ""
-        place, border, keep = grammar.step(m[0], place)
-        at = m.end()
-        if m[0] == "//":
-            at = len(line)
-        yield text + (m[0] if keep else " "), place, place.depth if border else None
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, str]]:
-    """((path, block, ...), line) of every row; a line that is null is empty."""
+    """((path, block, ...), text): up to _PIECE lines of a range as one text, each with its end; a line that is null is empty."""
     for batch in batches:
-        *keys, values = (c.to_pylist() for c in batch.columns)
-        for *key, value in zip(*keys, values):
-            yield tuple(key), value or ""
+        path, block = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        borders = np.flatnonzero((path[1:] != path[:-1]) | (block[1:] != block[:-1])) + 1
+        values = batch.column(batch.num_columns - 1).fill_null("").to_pylist()
+        for begin, end in zip([0, *borders.tolist()], [*borders.tolist(), len(values)]):
+            key = tuple(c[begin].as_py() for c in batch.columns[:-1]) if end > begin else ()
+            for at in range(begin, end, _PIECE):
+                yield key, "\n".join(values[at : min(at + _PIECE, end)]) + "\n"
+
+
+class _Run:
+    """A walk that serves all states a range could begin in that have led to its state: for each of them depth, least depth of a border, and name."""
+
+    def __init__(self, state: str, begins: dict[str, tuple[int, int, str | None]]):
+        self.state, self.begins = state, begins
+
+    def over(self, grammar: Grammar, text: str) -> None:
+        depth, low, carry, at, step = 0, _NONE, UNSET, 0, grammar.step
+        while at is not None:
+            begin, at, state = at, None, self.state
+            for m in grammar.tokens[state].finditer(text, begin):
+                after, by, name, border, _ = step(m[0], state)
+                depth += by
+                if border and depth < low:
+                    low = depth
+                if name is not UNSET:
+                    carry = name
+                if after != state:
+                    self.state, at = after, m.end()
+                    break
+        for s, (d, least, name) in self.begins.items():
+            self.begins[s] = d + depth, min(least, d + low) if low < _NONE else least, name if carry is UNSET else carry
+
+
+def _over(grammar: Grammar, held: list[_Run], text: str) -> list[_Run]:
+    """The walks after a piece; those in one state are one from here on."""
+    met: dict[str, _Run] = {}
+    for h in held:
+        h.over(grammar, text)
+        met.setdefault(h.state, h).begins.update(h.begins)
+    return list(met.values())
 
 
 def _summaries(grammar: Grammar, lines: DataFrame) -> DataFrame:
-    """For each range and each state it could begin in: state at its end, change of depth, least depth of a border, whether a name was set, and the name."""
+    """For each range and each state it could begin in: state at its end, change of depth, least depth of a border, whether a name was set, and the name.
+
+    Walks that are in one state at the end of a piece go on as one, so most of a range is walked once or twice.
+    """
     states = list(grammar.tokens)
     names = ["path", "block", "begin", "end", "delta", "low", "is_set", "carry"]
     schema = pa.schema(list(zip(names, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()])))
-    unset = "\0"
 
     def run(batches):
-        key, held = None, {}
+        key, held = None, []
 
         def done():
-            rows = [(*key, s, p.state, p.depth, low, p.carry != unset, None if p.carry == unset else p.carry) for s, (p, low) in held.items()]
+            rows = [(*key, s, h.state, d, low, carry is not UNSET, None if carry is UNSET else carry) for h in held for s, (d, low, carry) in h.begins.items()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-        for now, line in _runs(batches):
+        for now, text in _runs(batches):
             if now != key:
                 if key is not None:
                     yield done()
-                key, held = now, {s: (Place(s, 0, unset), _NONE) for s in states}
-            for s, (place, low) in held.items():
-                for _, place, border in _walk(grammar, line, place):
-                    low = low if border is None else min(low, border)
-                held[s] = place, low
+                key, held = now, [_Run(s, {s: (0, _NONE, UNSET)}) for s in states]
+            held = _over(grammar, held, text)
         if key is not None:
             yield done()
 
@@ -152,39 +189,55 @@ def records(grammar: Grammar, lines: DataFrame) -> DataFrame:
 
     def run(batches):
         out: list[tuple] = []
-        key, place, text, seq, number = None, None, [], 0, 0
+        key, text, seq, number = None, [], 0, 0
+        state, depth, carry, step = grammar.first, 0, None, grammar.step
 
-        def cut(is_inner: bool):
+        def cut(name: str | None, is_inner: bool):
             whole = "".join(text)
             text.clear()
             if not whole.isspace() and whole:
-                out.append((key[0], key[1], seq, carried, whole, None if is_inner else number))
+                out.append((key[0], key[1], seq, name, whole, None if is_inner else number))
 
         def batch():
             made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
             out.clear()
             return made
 
-        carried = None
-        for now, line in _runs(batches):
+        for now, piece in _runs(batches):
             if now[:2] != (key or ())[:2]:
                 if key is not None:
-                    carried = place.carry
-                    cut(False)
-                key, place, seq, number = now, Place(*now[2:5]), 0, now[5]
-            for piece, after, border in _walk(grammar, line, place):
-                text.append(piece)
-                if border is not None and border <= grammar.deepest:
-                    carried = after.carry if after.carry is not None else place.carry  # a name that ends here is still the record's
-                    cut(seq > 0)
-                    number += seq == 0
-                    seq += 1
-                place = after
+                    cut(carry, False)
+                key, seq, number = now, 0, now[5]
+                state, depth, carry = now[2:5]
+            at, goes_on = 0, True
+            while goes_on:
+                goes_on, here = False, state
+                is_kept = here in grammar.kept
+                for m in grammar.tokens[here].finditer(piece, at):
+                    token, end = m[0], m.start()
+                    state, by, name, border, keep = step(token, here)
+                    if is_kept:
+                        text.append(piece[at:end])
+                    else:
+                        text.append("\n" * piece.count("\n", at, end))
+                    text.append(token if keep else " " if len(token) < 3 or token[1] == "/" else " " + "\n" * token.count("\n") + " ")
+                    at = m.end()
+                    depth += by
+                    last = carry
+                    if name is not UNSET:
+                        carry = name
+                    if border and depth <= grammar.deepest:
+                        cut(carry if carry is not None else last, seq > 0)  # a name that ends here is still the record's
+                        number += seq == 0
+                        seq += 1
+                    if state != here:
+                        goes_on = True
+                        break
+            text.append(piece[at:] if state in grammar.kept else "\n" * piece.count("\n", at))
             if len(out) >= _CHUNK:
                 yield batch()
         if key is not None:
-            carried = place.carry
-            cut(False)
+            cut(carry, False)
         if out:
             yield batch()
 
@@ -200,49 +253,51 @@ def records(grammar: Grammar, lines: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- grammars
 
 
-def _library_step(token: str, p: Place) -> tuple[Place, bool, bool]:
-    if p.state == "comment":
-        return Place("text", p.depth, p.carry), False, False
-    if p.state == "string":
-        return (Place("text", p.depth, p.carry) if token == '"' else p), False, True
-    if token == "//":
-        return p, False, False
+@lru_cache(maxsize=4096)
+def _library_step(token: str, state: str) -> Move:
+    if state == "comment":
+        return Move("text")
+    if state == "string":
+        return Move("text" if token == '"' else state, keep=True)
     if token == "/*":
-        return Place("comment", p.depth, p.carry), False, False
-    if token == '"':
-        return Place("string", p.depth, p.carry), False, True
-    depth = p.depth + (token == "{") - (token == "}")
-    return Place("text", depth, p.carry), True, True
+        return Move("comment")
+    if token[:2] in ("//", "/*"):
+        return Move(state)
+    if token[0] == '"':
+        return Move("string" if token == '"' else state, keep=True)
+    return Move("text", (token == "{") - (token == "}"), border=True, keep=True)
 
 
 #: Cell libraries: a record is a statement or a whole group inside the outermost group, or the begin or end of that.
 LIBRARY = Grammar(
-    {"text": re.compile(r'//|/\*|["{};]'), "comment": re.compile(r"\*/"), "string": re.compile(r'\\.|"')}, _library_step, frozenset(["text", "string"]), 1,
+    {"text": re.compile(r'//[^\n]*|/\*[\s\S]*?\*/|/\*|"(?:[^"\\]|\\[\s\S])*+"|"|\{|\}|;'), "comment": re.compile(r"\*/"), "string": re.compile(r'\\.|"')},
+    _library_step, frozenset(["text", "string"]), 1,
 )
 
 
-def _netlist_step(token: str, p: Place) -> tuple[Place, bool, bool]:
-    state, _, back = p.state.partition(">")
-    if state in ("comment", "attribute"):
-        return Place(back, 0, p.carry), False, False
-    if token == "//":
-        return p, False, False
+@lru_cache(maxsize=4096)
+def _netlist_step(token: str, state: str) -> Move:
+    kind, _, back = state.partition(">")
+    if kind in ("comment", "attribute"):
+        return Move(back)
     if token in ("/*", "(*"):
-        return Place(("comment>" if token == "/*" else "attribute>") + p.state, 0, p.carry), False, False
-    if p.state == "name":
-        return Place("text", 0, token), False, True
+        return Move(("comment>" if token == "/*" else "attribute>") + state)
+    if token[:2] in ("//", "/*", "(*"):
+        return Move(state)
+    if state == "name":
+        return Move("text", carry=token, keep=True)
     if token == "module":
-        return Place("name", 0, p.carry), False, True
+        return Move("name", keep=True)
     if token == "endmodule":
-        return Place("text", 0, None), True, False
-    return p, token == ";", token != ";"
+        return Move("text", carry=None, border=True)
+    return Move(state, border=token == ";", keep=token != ";")
 
 
-_WORDS = re.compile(r"//|/\*|\(\*(?!\))|;|\\\S+|(?<![\w$.])(?:end)?module(?![\w$.])")
+_WORDS = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|/\*|\(\*(?!\))[\s\S]*?\*\)|\(\*(?!\))|;|\\\S+|endmodule(?<![\w$.]endmodule)(?![\w$.])|module(?<![\w$.]module)(?![\w$.])")
 #: Gate-level netlists: a record is a statement without its semicolon; the module's name is carried.
 NETLIST = Grammar(
     {
-        "text": _WORDS, "name": re.compile(r"//|/\*|\(\*|[^\s(;]+"), "comment>text": re.compile(r"\*/"), "comment>name": re.compile(r"\*/"),
+        "text": _WORDS, "name": re.compile(r"//[^\n]*|/\*|\(\*|[^\s(;]+"), "comment>text": re.compile(r"\*/"), "comment>name": re.compile(r"\*/"),
         "attribute>text": re.compile(r"\*\)"), "attribute>name": re.compile(r"\*\)"),
     },
     _netlist_step, frozenset(["text", "name"]), 0,

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,22 @@ def test_merged_library(spark):
     parts = [(r.variant, r.path, r.kind, r.text) for r in blocks.merged_library(rows).orderBy("variant", "path", "block", "seq").collect()]
     assert [(v, p, k) for v, p, k, _ in parts] == [(0, "a", "head"), (0, "a", "cell"), (0, "c", "cell"), (1, "b", "head"), (1, "b", "cell")]
     assert "grid_v0" in parts[0][3] and parts[2][3] == "cell (C) { values (grid_v0) { } }" and "grid_v1" in parts[4][3]
+
+
+def test_walks_in_one_state_go_on_as_one():
+    """A range is walked from each of its states only until they meet."""
+    held = [ranges._Run(s, {s: (0, ranges._NONE, ranges.UNSET)}) for s in ranges.NETLIST.tokens]
+    held = ranges._over(ranges.NETLIST, held, "; */ G u (.A(a), // u (;\n.Y(b) )\n; /* ;\n")
+    assert {h.state: sorted(h.begins) for h in held} == {"comment>text": ["comment>name", "comment>text", "name", "text"], "attribute>text": ["attribute>text"], "attribute>name": ["attribute>name"]}
+    held = ranges._over(ranges.NETLIST, held, "*) */ ; endmodule module m\n")
+    assert [h.state for h in held] == ["text"] and {k: v[2] for k, v in held[0].begins.items()} == dict.fromkeys(ranges.NETLIST.tokens, "m")
+
+
+def test_rows_of_many_short_texts_go_in_one_batch():
+    class Files:
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run
+
+    run = blocks._mapped(Files(), lambda path, text: iter([(path, text)] * 3), "", pa.schema([("path", pa.string()), ("text", pa.string())]))
+    made = list(run(iter([pa.RecordBatch.from_pydict({"path": ["p"] * 100, "text": [str(i) for i in range(100)]})])))
+    assert [b.num_rows for b in made] == [300] and made[0].column("text")[299].as_py() == "99"
