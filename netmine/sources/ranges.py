@@ -220,7 +220,7 @@ def records(grammar: Grammar, lines: DataFrame) -> DataFrame:
                         text.append(piece[at:end])
                     else:
                         text.append("\n" * piece.count("\n", at, end))
-                    text.append(token if keep else " " if len(token) < 3 or token[1] == "/" else " " + "\n" * token.count("\n") + " ")
+                    text.append(token if keep else " " + "\n" * token.count("\n") + " " if token[:2] in ("/*", "(*") and len(token) > 2 else " ")
                     at = m.end()
                     depth += by
                     last = carry
