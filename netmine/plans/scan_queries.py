@@ -346,8 +346,7 @@ def q_overlap_line_scan(spark, sf_dir):
     """One file with a line of clusters for every order, its parts; every tenth line is a comment."""
     parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda x: F.concat(F.lit("clst"), x.cast("string"))), " ").alias("p"))
     text = ranges.of_table(parts.select("l_orderkey", F.concat(F.when(F.col("l_orderkey") % 10 == 0, "# ").otherwise(""), "p").alias("line")), "/run/all.txt", "l_orderkey", "line", 4001)
-    both = lines.overlap_lines(text, "star").select(F.lit("star").alias("mode"), "a", "b").union(lines.overlap_lines(text, "pairs").select(F.lit("pairs"), "a", "b"))
-    return both.groupBy("mode", "a", "b").agg(F.count("*").alias("n"))
+    return lines.overlap_counts(saved(text))
 
 
 @query(f"SELECT 'G_' || l_returnflag || '_X' || l_linenumber AS cell, count(*) AS n FROM {_ITEMS} GROUP BY 1")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netmine.sources import ranges
 
+#: Pairs of clusters that one task counts.
+PAIRED = 1 << 18
+
 
 def numbered(files: DataFrame) -> DataFrame:
     """path, line number from 0, line; of files read whole."""
@@ -52,6 +57,16 @@ def overlap_lines(source: DataFrame, mode: str = "pairs") -> DataFrame:
     return one.select("a", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("b"))
 
 
+def overlap_counts(source: DataFrame, modes: tuple[str, ...] = ("star", "pairs")) -> DataFrame:
+    """mode, a, b, n: how many lines give each pair.  Pairs are dealt out before they are counted, about PAIRED to a task, however many a range gives."""
+    rows = by_ranges(source)
+    both = [overlap_lines(rows, m).select(F.lit(m).alias("mode"), "a", "b") for m in modes]
+    k = F.size(F.regexp_extract_all("value", F.lit(r"(clst\d+)"), 1)).cast("long")
+    most = rows.agg(F.sum(k * (k - 1))).first()[0] or 0
+    dealt = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // PAIRED))
+    return reduce(DataFrame.union, both).repartition(dealt, "mode", "a", "b").groupBy("mode", "a", "b").agg(F.count("*").alias("n"))
+
+
 def table(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
     """A headed text table under a stated schema; a wrong header or value raises."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").options(**options).csv(path)

@@ -115,3 +115,12 @@ def test_rows_of_many_short_texts_go_in_one_batch():
     run = blocks._mapped(Files(), lambda path, text: iter([(path, text)] * 3), "", pa.schema([("path", pa.string()), ("text", pa.string())]))
     made = list(run(iter([pa.RecordBatch.from_pydict({"path": ["p"] * 100, "text": [str(i) for i in range(100)]})])))
     assert [b.num_rows for b in made] == [300] and made[0].column("text")[299].as_py() == "99"
+
+
+def test_pairs_of_lines_are_dealt_out_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PAIRED", 2)
+    text = "clst1 clst2 clst3\nclst1 clst2\n# clst1 clst2\nclst9"
+    got = lines.overlap_counts(spark.createDataFrame([("p", text)], "path string, text string"))
+    assert got.rdd.getNumPartitions() == 5
+    want = {("star", 1, 2): 2, ("star", 1, 3): 1, ("pairs", 1, 2): 2, ("pairs", 1, 3): 1, ("pairs", 2, 3): 1}
+    assert {(r.mode, int(r.a[4:]), int(r.b[4:])): r.n for r in got.collect()} == want
