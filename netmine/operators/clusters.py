@@ -19,6 +19,8 @@ from netmine.operators.order import numbered
 
 #: Clusters of a cell beyond which it is hot: its clusters are counted by their hot cells, and pairs are made in blocks of so many.
 HOT = 2048
+#: Cells of a narrow cluster, and how many narrow clusters may have the same two cells: their neighbours are counted without lists.
+NARROW = 16
 #: Members that one task counts, or makes pairs of.
 COUNTED = 1 << 17
 #: Edges that one task joins into components without another round.
@@ -130,31 +132,62 @@ def contained(member: DataFrame, saved: Callable) -> DataFrame:
     return named.select(F.coalesce("c_sub", "sub").alias("sub"), F.coalesce("c_sup", "sup").alias("sup"))
 
 
+def _met_twice(sets: DataFrame, per: list[str]) -> DataFrame:
+    """The lists of clusters without hot cells, of at most NARROW cells, that have the same two cells."""
+    narrow = sets.where((F.size("heavy") == 0) & F.size("light").between(2, NARROW)).select("cluster", *per, F.array_sort("light").alias("c"))
+    one = narrow.select("cluster", *per, "c", F.posexplode("c").alias("i", "x"))
+    two = one.select("cluster", *per, "x", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("y"))
+    return two.groupBy("x", "y").agg(F.collect_list(F.struct("cluster", *per)).alias("m")).where(F.size("m") > 1).select("m", F.col("m.cluster").alias("clusters"))
+
+
+def _surplus(twice: DataFrame, many: DataFrame, own: DataFrame, per: list[str]) -> DataFrame:
+    """own, n (below 0): by how much a sum over its cells counts the narrow neighbours that a narrow cluster meets in more than one cell.
+
+    Two that share s cells are in s(s - 1)/2 lists.
+    """
+    each = twice.where(F.size("clusters") <= NARROW).select("m", F.explode("m").alias("a")).select("a", F.explode("m").alias("b")).where("a.cluster <> b.cluster")
+    lists = each.select(F.col("a.cluster").alias("own"), F.col("b.cluster").alias("b"), *[F.col(f"b.{c}").alias(c) for c in per]).groupBy("own", "b", *per).agg(F.count("*").alias("t"))
+    kept = lists.join(many.select(F.col("cluster").alias("own")), "own", "left_anti").join(many.select(F.col("cluster").alias("b")), "b", "left_anti")
+    shared = F.round((F.sqrt(8 * F.col("t") + 1) + 1) / 2).cast("long")
+    return kept.join(own.select(F.col("cluster").alias("own")), "own", "left_semi").select("own", *per, (1 - shared).alias("n"))
+
+
 def neighbour_counts(member: DataFrame, saved: Callable, key: DataFrame | None = None, asked: DataFrame | None = None, hot: int = HOT) -> DataFrame:
     """cluster, and with `key` (cluster, p_key) the p_key of neighbours, and n: the number of other clusters that share a cell.
 
     Only clusters of `asked` (cluster) are counted for, if given; those without a neighbour have no row.  No pair becomes
     a row.  A cell that at most `hot` clusters have is posted as one array, and a cluster takes the union of its arrays.
-    Clusters that meet in a hot cell are counted by the hot cells they have: distinct sets of hot cells are compared,
+    Narrow clusters, without hot cells and of few cells that no others share by twos, are no part of arrays for each other:
+    a sum over the cells counts them, less those met more than once.  Clusters that meet in a hot cell are counted by the hot cells they have: distinct sets of hot cells are compared,
     not clusters, and a cluster's arrays leave out those it has met there.
     """
     per = [] if key is None else ["p_key"]
-    spread = member.groupBy("cell").agg((F.count("*") > hot).alias("is_hot"))
-    tagged = member.join(spread, "cell")
+    spread = saved(member.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("cell", F.lit(True).alias("is_hot")))
+    tagged = member.join(spread, "cell", "left").withColumn("is_hot", F.col("is_hot").isNotNull())
     light = F.collect_list(F.when(~F.col("is_hot"), F.col("cell")))
     heavy = F.array_sort(F.collect_list(F.when(F.col("is_hot"), F.col("cell"))))
     sets = tagged.groupBy("cluster").agg(light.alias("light"), heavy.alias("heavy"))
     sets = saved(sets if key is None else sets.join(key.select("cluster", "p_key"), "cluster"))
-    own = sets if asked is None else sets.join(asked.select("cluster").distinct(), "cluster", "left_semi")
     hot_less = F.size("heavy") == 0
-    posted = sets.select(F.explode("light").alias("cell"), *per, "cluster", "heavy").groupBy("cell", *per).agg(
-        F.collect_list(F.when(hot_less, F.col("cluster"))).alias("near"), F.collect_list(F.when(~hot_less, F.struct("cluster", "heavy"))).alias("mixed")
+    # narrow clusters count each other: all that have their cells, less those met in more than one of them
+    twice = saved(_met_twice(sets, per))
+    many = twice.where(F.size("clusters") > NARROW).select(F.explode("clusters").alias("cluster")).distinct()
+    narrow = hot_less & (F.size("light") <= NARROW)
+    sets = sets.join(saved(many).withColumn("is_many", F.lit(True)), "cluster", "left").withColumn("narrow", narrow & F.col("is_many").isNull()).drop("is_many")
+    own = sets if asked is None else sets.join(asked.select("cluster").distinct(), "cluster", "left_semi")
+    posted = sets.select(F.explode("light").alias("cell"), *per, "cluster", "heavy", "narrow").groupBy("cell", *per).agg(
+        F.collect_list(F.when(F.col("narrow"), F.col("cluster"))).alias("few"), F.collect_list(F.when(hot_less & ~F.col("narrow"), F.col("cluster"))).alias("near"),
+        F.collect_list(F.when(~hot_less, F.struct("cluster", "heavy"))).alias("mixed"),
     )
-    probed = own.select(F.explode("light").alias("cell"), F.col("cluster").alias("own"), F.col("heavy").alias("own_heavy")).join(posted, "cell")
+    probed = own.select(F.explode("light").alias("cell"), F.col("cluster").alias("own"), F.col("heavy").alias("own_heavy"), F.col("narrow").alias("own_narrow")).join(posted, "cell")
     fresh = F.transform(F.filter("mixed", lambda c: ~F.arrays_overlap(c["heavy"], F.col("own_heavy"))), lambda c: c["cluster"])
-    met = F.when(F.size("mixed") == 0, F.col("near")).otherwise(F.concat("near", fresh))
-    by_own = probed.select("own", *per, met.alias("met")).groupBy("own", *per).agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
-    by_light = by_own.select("own", *per, (F.size("met") - F.array_contains("met", F.col("own")).cast("int")).cast("long").alias("n"))
+    wide = F.when(F.size("mixed") == 0, F.col("near")).otherwise(F.concat("near", fresh))
+    met = F.when(F.col("own_narrow"), wide).otherwise(F.concat("few", wide))
+    itself = F.lit(1) if key is None else F.array_contains("few", F.col("own")).cast("int")
+    by_own = probed.select("own", *per, F.when(F.size(met) > 0, met).alias("met"), F.when(F.col("own_narrow"), F.size("few") - itself).otherwise(0).alias("n")).groupBy("own", *per).agg(
+        F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"), F.sum("n").alias("n")
+    )
+    by_light = by_own.select("own", *per, (F.size("met") - F.array_contains("met", F.col("own")).cast("int") + F.col("n")).alias("n")).union(_surplus(twice, many, own, per))
     # hot cells: how many clusters have one of a set's cells
     counted = sets.where(F.size("heavy") > 0).groupBy("heavy", *per).agg(F.count("*").alias("n"))
     theirs = counted.select(F.explode("heavy").alias("cell"), F.col("heavy").alias("theirs"), *per, "n")

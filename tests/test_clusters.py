@@ -126,3 +126,14 @@ def test_partitions_follow_the_members(spark, monkeypatch):
     assert {r.cluster: (r.n_cells, r.total_area, r.n_masters, r.max_area) for r in got.collect()} == {c: (2, sum(x), len({y % 3 for y in x}), max(x)) for c, x in sets.items()}
     share = {(r.p_key, r.master): r.m1 for r in clusters.presence(rows(spark, sets), key, master.select("cell", "master")).collect()}
     assert share == {("k", f"m{i}"): round(sum(any(y % 3 == i for y in x) for x in sets.values()) / 500, 6) for i in range(3)}
+
+
+def test_narrow_clusters_count_each_other_without_lists(spark, monkeypatch):
+    """Clusters that share one cell, two cells, and two cells with more than NARROW others; a wide one among them."""
+    monkeypatch.setattr(clusters, "NARROW", 4)
+    sets = {1: [1, 2, 3], 2: [1, 2, 3], 3: [3, 4], 4: [5, 6], 5: [6], 6: list(range(1, 7)), 7: [99], **{10 + i: [7, 8, 9 + i] for i in range(6)}, 20: [7, 8, 3], 21: [9]}
+    member = rows(spark, sets)
+    want = {a: sum(1 for b in sets if b != a and set(sets[a]) & set(sets[b])) for a in sets}
+    assert {r.cluster: r.n for r in clusters.neighbour_counts(member, saved).collect()} == {a: n for a, n in want.items() if n}
+    twice = clusters._met_twice(member.groupBy("cluster").agg(F.collect_list("cell").alias("light")).withColumn("heavy", F.array().cast("array<long>")), [])
+    assert sorted(sorted(r.clusters) for r in twice.collect()) == [[1, 2]] * 3 + [[10, 11, 12, 13, 14, 15, 20]]
