@@ -261,11 +261,11 @@ def _labels(edges: DataFrame, saved: Callable, one_task: int) -> DataFrame:
 def components(member: DataFrame, saved: Callable, one_task: int = ONE_TASK) -> DataFrame:
     """cluster, component: least cluster reachable through shared cells.  Clusters are integers.
 
-    A cell links its clusters to its least one, so there are no more edges than members.
+    A cell links its clusters to its least one, so there are no more edges than members.  Members are dealt out once, by
+    cell, and may repeat.
     """
     member = member.select(F.col("cluster").cast("long").alias("cluster"), "cell")
-    least = member.groupBy("cell").agg(F.min("cluster").alias("v"))
-    edges = member.join(least, "cell").where("cluster <> v").select(F.col("cluster").alias("u"), "v")
+    edges = member.where(F.col("cell").isNotNull()).withColumn("v", F.min("cluster").over(Window.partitionBy("cell"))).where("cluster <> v").select(F.col("cluster").alias("u"), "v")
     labels = _labels(edges, saved, one_task)
     alone = member.select("cluster").distinct()
     return alone.join(labels.select(F.col("node").alias("cluster"), "root"), "cluster", "left").select("cluster", F.coalesce("root", "cluster").alias("component"))

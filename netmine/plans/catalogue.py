@@ -343,8 +343,8 @@ e AS MATERIALIZED (SELECT DISTINCT x.c AS a, y.c AS b FROM m x JOIN m y USING (p
 r(cluster, component) USING KEY (cluster) AS (SELECT DISTINCT c, c FROM m UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.cluster JOIN recurring.r AS o ON o.cluster = e.b WHERE r.component < o.component GROUP BY e.b)
 SELECT cluster, component FROM r""")
 def q_overlap_components(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") * 100 + F.pmod("l_suppkey", F.lit(100))).alias("cell"))
-    return clusters.components(clusters.members(rows, "l_orderkey", "cell"), reliable(spark))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster"), (F.col("l_partkey") * 100 + F.pmod("l_suppkey", F.lit(100))).alias("cell"))
+    return clusters.components(rows, reliable(spark))
 
 
 @query(f"""WITH {KEYED}, {PAIRS}, {BOTH}, d AS (SELECT a, count(*) AS n FROM bw GROUP BY 1)

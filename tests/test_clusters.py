@@ -137,3 +137,12 @@ def test_narrow_clusters_count_each_other_without_lists(spark, monkeypatch):
     assert {r.cluster: r.n for r in clusters.neighbour_counts(member, saved).collect()} == {a: n for a, n in want.items() if n}
     twice = clusters._met_twice(member.groupBy("cluster").agg(F.collect_list("cell").alias("light")).withColumn("heavy", F.array().cast("array<long>")), [])
     assert sorted(sorted(r.clusters) for r in twice.collect()) == [[1, 2]] * 3 + [[10, 11, 12, 13, 14, 15, 20]]
+
+
+def test_components_deal_members_out_once(spark, monkeypatch):
+    """Repeated members are no harm, and edges come from one exchange of the members."""
+    member = rows(spark, {1: [1], 2: [1, 1, 2], 3: [2], 9: [5], 8: [5], 7: [6]})
+    plans, labels = [], clusters._labels
+    monkeypatch.setattr(clusters, "_labels", lambda edges, *more: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or labels(edges, *more))
+    assert {r.cluster: r.component for r in clusters.components(member, saved).collect()} == {1: 1, 2: 1, 3: 1, 9: 8, 8: 8, 7: 7}
+    assert plans[0].count("Exchange hashpartitioning") == 1
