@@ -321,3 +321,30 @@ def test_pairs_are_verified_in_rounds(spark):
     links = linking.verified(pairs, verify, 100)
     assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) < 200
     assert sorted(r.a for r in links.collect()) == list(range(0, 1000, 3))
+
+
+def test_few_edges_need_no_exchange(spark, monkeypatch):
+    plans, real = [], linking.saved
+
+    def saved(df, instead=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, instead)
+
+    monkeypatch.setattr(linking, "saved", saved)
+    pairs = linking.saved(spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long"))
+    del plans[:]
+    assert {r.component for r in linking.components(pairs).collect()} == {0}
+    assert len(plans) > 2 and not any("hashpartitioning" in p for p in plans[1:])  # the first makes the pairs distinct
+
+
+def test_signature_of_a_line_is_its_own():
+    lines = ["a", "b", "c", "abcdefg", "hello world", "q", "abcdefghij" * 5, "\U0001f600", "日本" * 9]
+    together = line_dedup.signatures(lines)
+    assert all((line_dedup.signatures([s])[0] == row).all() for s, row in zip(lines, together))
+
+
+def test_similar_pairs_of_odd_lines():
+    rng = random.Random(5)
+    lines = ["a", "abcdefg", "abcdefgh", "\U0001f600" * 9, "abcdefg" * 3, "日本" * 9, "x" * 700] + ["".join(chr(rng.randrange(1, 3000)) for _ in range(900)) for _ in range(2)]
+    left, right = zip(*[(a, b) for a in lines for b in [*lines, lines[-1][:850] + "!"]])
+    assert line_dedup.all_similar(list(left), list(right)) == [i for i, (a, b) in enumerate(zip(left, right)) if line_dedup.similar(a, b)]
