@@ -82,3 +82,13 @@ def test_hinge_without_pairs(spark, margin):
     assert abs(frame.first()["rank"] - sum(losses) / len(losses)) < 1e-9
     none = spark.createDataFrame([("a", 0.1, 0.2)], "graph string, share double, label double")
     assert model.rank_hinge(none, margin).first()["rank"] is None and model.rank_hinge(none.limit(0), margin).first()["rank"] is None
+
+
+def test_search_without_places_gives_the_same_states(spark):
+    cells = spark.createDataFrame([(i, 0.5 * i, 1.0) for i in range(1, 8)], "id long, x double, y double")
+    edges = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (7, 3), (5, 4), (-1, 4), (-2, 5)], "driver long, load long")
+    full = explore.search(cells, edges, saved)
+    bare = explore.search(cells, edges, saved, places=False)
+    assert bare.columns == [c for c in full.columns if c not in ("distance", "dx", "dy")]
+    plain = lambda rows: sorted(map(repr, rows.select("root", "cells", "n_inputs", "n_outputs", "depth", "verdict").collect()))
+    assert plain(bare) == plain(full) and len(plain(bare)) > 20
