@@ -343,6 +343,15 @@ def test_signature_of_a_line_is_its_own():
     assert all((line_dedup.signatures([s])[0] == row).all() for s, row in zip(lines, together))
 
 
+def test_what_differs_too_much_is_seen_before_shingles_are_sorted():
+    rng = random.Random(6)
+    a = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(40)]
+    b = [s[: 300 - k * 4] + "".join(rng.choice("ijkl") for _ in range(k * 4)) for k, s in enumerate(a)]
+    may = line_dedup._may_be_similar(a + b, np.arange(40), np.arange(40, 80))
+    same = [line_dedup.similar(x, y) for x, y in zip(a, b)]
+    assert all(may[k] for k in range(40) if same[k]) and 0 < sum(same) <= sum(may) < 20
+
+
 def test_similar_pairs_of_odd_lines():
     rng = random.Random(5)
     lines = ["a", "abcdefg", "abcdefgh", "\U0001f600" * 9, "abcdefg" * 3, "日本" * 9, "x" * 700] + ["".join(chr(rng.randrange(1, 3000)) for _ in range(900)) for _ in range(2)]
