@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +358,20 @@ def test_similar_pairs_of_odd_lines():
     lines = ["a", "abcdefg", "abcdefgh", "\U0001f600" * 9, "abcdefg" * 3, "日本" * 9, "x" * 700] + ["".join(chr(rng.randrange(1, 3000)) for _ in range(900)) for _ in range(2)]
     left, right = zip(*[(a, b) for a in lines for b in [*lines, lines[-1][:850] + "!"]])
     assert line_dedup.all_similar(list(left), list(right)) == [i for i, (a, b) in enumerate(zip(left, right)) if line_dedup.similar(a, b)]
+
+
+def test_a_pair_meets_once_for_shingles_in_a_row():
+    """Members of one list that share many shingles one after another meet at the first, and no pair is lost; lists are short and long."""
+    rng = np.random.default_rng(4)
+    common = rng.integers(-(1 << 62), 1 << 62, 60)
+    for members in (3, 40):
+        sets = [np.sort(np.append(common, rng.integers(-(1 << 62), 1 << 62, 5)).view(np.uint64)).view(np.int64) for _ in range(members)]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(members)), pa.array(np.arange(members) // 2), pa.array(sets, pa.list_(pa.int64()))], names=["id", "component", "hashes"])
+        counts = np.zeros(linking.BUCKETS, np.uint32)
+        np.add.at(counts, (np.concatenate(sets).view(np.uint64) % np.uint64(linking.BUCKETS)).astype(np.int64), np.uint32(1))
+        rows = pa.Table.from_batches(list(linking._prefixes(counts)(iter([batch])))).sort_by("key")
+        met = [(a, b) for out in linking._met(iter(rows.to_batches(max_chunksize=50))) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+        want = {(a, b) for a in range(members) for b in range(a + 1, members) if a // 2 != b // 2}
+        assert set(met) == want
+        assert len(met) == len(want)
