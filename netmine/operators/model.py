@@ -20,6 +20,8 @@ from netmine.session import saved
 EPS = 1e-9
 #: Edges of a group, about; a node's incoming edges are together.
 EDGES = 1 << 18
+#: Pairs of nodes of a group, about, where edges follow from the nodes.
+PAIRS = 1 << 24
 
 
 def elu(x: np.ndarray) -> np.ndarray:
@@ -111,30 +113,34 @@ class Weights:
         )
 
 
-def attention(h: np.ndarray, edges: np.ndarray, attributes: np.ndarray, layer, heads: int) -> np.ndarray:
+def attention(h: np.ndarray, edges: np.ndarray, attributes: np.ndarray, layer, heads: int, targets: np.ndarray | None = None) -> np.ndarray:
     """One layer: for each edge a score of leaky(source + target + edge), a softmax over a target's edges, the weighted sum of sources.
 
-    Every node has an edge to itself, with the mean of its incoming edges' attributes.
+    Every node has an edge to itself, with the mean of its incoming edges' attributes.  With `targets`, sorted, all edges go to them and only their rows are made.
     """
     w_source, w_target, w_edge, score, bias = layer
-    n, width = len(h), w_source.shape[1] // heads
-    src, dst = edges
-    count = np.bincount(dst, minlength=n)
-    own = np.zeros((n, attributes.shape[1]))
-    np.add.at(own, dst, attributes)
-    own /= np.maximum(count, 1)[:, None]
-    src, dst = np.append(src, np.arange(n)), np.append(dst, np.arange(n))
-    attributes = np.concatenate([attributes, own])
-    sent, taken = (h @ w_source).reshape(n, heads, width), (h @ w_target).reshape(n, heads, width)
-    z = sent[src] + taken[dst] + (attributes @ w_edge).reshape(-1, heads, width)
-    s = (np.where(z > 0, z, 0.2 * z) * score).sum(-1)
-    top = np.full((n, heads), -np.inf)
-    np.maximum.at(top, dst, s)
-    e = np.exp(s - top[dst])
-    total = np.zeros((n, heads))
-    np.add.at(total, dst, e)
-    out = np.zeros((n, heads, width))
-    np.add.at(out, dst, sent[src] * (e / total[dst])[..., None])
+    if targets is None:
+        targets = np.arange(len(h))
+    n, hidden = len(targets), w_source.shape[1]
+    if not n:
+        return np.zeros((0, hidden))
+    src, at = edges[0], np.searchsorted(targets, edges[1])
+    count = np.bincount(at, minlength=n)
+    own = np.column_stack([np.zeros((n, 0)), *(np.bincount(at, c, n) for c in attributes.T)]) / np.maximum(count, 1)[:, None]
+    at = np.append(at, np.arange(n))
+    order = np.argsort(at, kind="stable")  # a target's edges are together
+    src, at = np.append(src, targets)[order], at[order]
+    first = np.cumsum(count + 1) - count - 1
+    sent = (h @ w_source)[src]
+    z = np.concatenate([attributes, own])[order] @ w_edge
+    z += sent
+    z += (h[targets] @ w_target)[at]
+    each = np.zeros((hidden, heads))  # a head's score of its own part
+    each[np.arange(hidden), np.arange(hidden) // (hidden // heads)] = score.ravel()
+    s = np.maximum(z, 0.2 * z) @ each
+    e = np.exp(s - np.maximum.reduceat(s, first)[at])
+    sent = sent.reshape(len(at), heads, -1)
+    out = np.add.reduceat(sent * e[..., None], first) / np.add.reduceat(e, first)[..., None]
     return out.reshape(n, -1) + bias
 
 
@@ -160,57 +166,117 @@ def _by_graph(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFram
     return rows.join(other.withColumnRenamed("graph", "__graph"), F.col("graph").eqNullSafe(F.col("__graph")), how).drop("__graph")
 
 
+NAMES = ["graph", "name", "mask", "no"]
+
+
+def _schema(nodes: DataFrame) -> str:
+    return f"graph {nodes.schema['graph'].dataType.simpleString()}, name string, mask boolean, no long, h array<double>"
+
+
+def _enter(nodes: DataFrame, weights: Weights, kept: tuple[str, ...] = ()) -> DataFrame:
+    """The first state of every node: graph, name, mask, no, h, and the columns kept."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(rows.x.tolist(), dtype=float).reshape(len(rows), weights.entry[0].shape[0])
+        return rows[NAMES].assign(h=list(x @ weights.entry[0] + weights.entry[1]), **{c: rows[c] for c in kept})
+
+    rows = nodes.select("graph", "name", "x", F.coalesce("mask", F.lit(False)).alias("mask"), F.monotonically_increasing_id().alias("no"), *kept)
+    return _nodewise(rows, run, ", ".join([_schema(nodes), *(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in kept)]))
+
+
+def _leave(state: DataFrame, weights: Weights) -> DataFrame:
+    """graph, name, share, scale, pred of the last state, a result of `saved`."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        h = np.array(rows.h.tolist(), dtype=float).reshape(len(rows), weights.head[0].shape[0])
+        z = np.zeros(len(rows)) if weights.scale is None else (h @ weights.scale[0])[:, 0]
+        return rows[["graph", "name", "mask"]].assign(raw=(h @ weights.head[0] + weights.head[1])[:, 0], z=z)
+
+    kind = state.schema["graph"].dataType.simpleString()
+    rows = saved(_nodewise(state, run, f"graph {kind}, name string, mask boolean, raw double, z double"), instead=state)
+    top = rows.groupBy("graph").agg(F.max(F.when(F.col("mask"), F.col("raw"))).alias("top"), F.avg("z").alias("z"))
+    total = _by_graph(rows, top.select("graph", "top")).where("mask").groupBy("graph").agg(F.sum(F.exp(F.col("raw") - F.col("top"))).alias("total"))
+    share = F.when(F.col("mask"), F.exp(F.col("raw") - F.col("top")) / F.col("total")).otherwise(0.0)
+    scale = F.lit(None).cast("double") if weights.scale is None else softplus_column(F.col("z") + float(weights.scale[1][0]))
+    out = _by_graph(_by_graph(rows.drop("z"), top), total, "left").select("graph", "name", share.alias("share"), scale.alias("scale"))
+    return out.withColumn("pred", F.col("share") * F.coalesce("scale", F.lit(1.0)))
+
+
+def _block(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.col("n")).cast("int")
+
+
+def _spread(state: DataFrame, size: DataFrame, *columns: str) -> DataFrame:
+    """Every node in each of its graph's n blocks, and whether it is the block's own."""
+    rows = _by_graph(state, size).select(*columns, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), _block("name").alias("at"))
+    return rows.select(*columns, "block", (F.col("at") == F.col("block")).alias("own"))
+
+
+def _places(left: pd.DataFrame, names) -> np.ndarray:
+    """Of sorted nodes the last with each name; -1: none."""
+    place = left.name[~left.name.duplicated(keep="last")]
+    x = pd.Index(place).get_indexer(names)
+    return np.where(x < 0, -1, place.index.to_numpy()[x]) if len(place) else np.full(len(x), -1)
+
+
 def predict(nodes: DataFrame, edges: DataFrame, weights: Weights, most: int = EDGES) -> DataFrame:
     """nodes (graph, name, x, mask), edges (graph, src, dst, attributes): graph, name, share, scale, pred.
 
     A graph's targets are dealt out so that a group has about `most` edges: it meets all nodes of its graph and gives its
     own targets' next state.  So a task holds a graph's nodes and one group's edges, never a graph's edges.
     """
-    kind = nodes.schema["graph"].dataType.simpleString()
-    names = ["graph", "name", "mask", "no"]
-    schema = f"graph {kind}, name string, mask boolean, no long, h array<double>"
-
-    def enter(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(rows.x.tolist(), dtype=float).reshape(len(rows), weights.entry[0].shape[0])
-        return rows[names].assign(h=list(x @ weights.entry[0] + weights.entry[1]))
-
     def step(layer):
         def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             left = left.sort_values(["name", "no"], ignore_index=True)
-            place = left.name[~left.name.duplicated(keep="last")]
-            at = [pd.Index(place).get_indexer(right[c]) for c in ("src", "dst")]
-            if any((x < 0).any() for x in at):
+            pairs = np.array([_places(left, right[c]) for c in ("src", "dst")], dtype=np.int64).reshape(2, -1)
+            if (pairs < 0).any():
                 raise KeyError(f"an edge of graph {key[0]} has no node")
-            pairs = np.array([place.index.to_numpy()[x] for x in at], dtype=np.int64).reshape(2, -1)
             attributes = np.array(right.attributes.tolist(), dtype=float).reshape(len(right), layer[2].shape[0])
             h = np.array(left.h.tolist(), dtype=float).reshape(len(left), layer[0].shape[0])
             own = left.own.to_numpy(bool)
-            h = elu(attention(h, pairs, attributes, layer, weights.heads)[own]) + h[own]
-            return left.loc[own, names].assign(h=list(h))
+            h = elu(attention(h, pairs, attributes, layer, weights.heads, np.flatnonzero(own))) + h[own]
+            return left.loc[own, NAMES].assign(h=list(h))
 
         return run
 
-    def leave(rows: pd.DataFrame) -> pd.DataFrame:
-        h = np.array(rows.h.tolist(), dtype=float).reshape(len(rows), weights.head[0].shape[0])
-        z = np.zeros(len(rows)) if weights.scale is None else (h @ weights.scale[0])[:, 0]
-        return rows[["graph", "name", "mask"]].assign(raw=(h @ weights.head[0] + weights.head[1])[:, 0], z=z)
-
     size = edges.groupBy("graph").agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("n")).cast("int")
-    dealt = edges.select("graph", "src", "dst", "attributes").transform(_by_graph, size).select("graph", block("dst").alias("block"), "src", "dst", "attributes")
+    dealt = edges.select("graph", "src", "dst", "attributes").transform(_by_graph, size).select("graph", _block("dst").alias("block"), "src", "dst", "attributes")
     size = saved(_by_graph(nodes.select("graph").distinct(), size, "left").select("graph", F.coalesce("n", F.lit(1)).alias("n")))
-    state = saved(_nodewise(nodes.select("graph", "name", "x", F.coalesce("mask", F.lit(False)).alias("mask"), F.monotonically_increasing_id().alias("no")), enter, schema))
+    state = saved(_enter(nodes, weights))
     for layer in weights.layers:
-        spread = _by_graph(state, size).select(*names, "h", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), block("name").alias("at"))
-        spread = spread.select(*names, "h", "block", (F.col("at") == F.col("block")).alias("own"))
-        state = saved(spread.groupBy("graph", "block").cogroup(dealt.groupBy("graph", "block")).applyInPandas(step(layer), schema), instead=state)
-    rows = saved(_nodewise(state, leave, f"graph {kind}, name string, mask boolean, raw double, z double"), instead=state)
-    top = rows.groupBy("graph").agg(F.max(F.when(F.col("mask"), F.col("raw"))).alias("top"), F.avg("z").alias("z"))
-    total = _by_graph(rows, top.select("graph", "top")).where("mask").groupBy("graph").agg(F.sum(F.exp(F.col("raw") - F.col("top"))).alias("total"))
-    share = F.when(F.col("mask"), F.exp(F.col("raw") - F.col("top")) / F.col("total")).otherwise(0.0)
-    scale = F.lit(None).cast("double") if weights.scale is None else softplus_column(F.col("z") + float(weights.scale[1][0]))
-    out = _by_graph(_by_graph(rows.drop("z"), top), total, "left").select("graph", "name", share.alias("share"), scale.alias("scale"))
-    return out.withColumn("pred", F.col("share") * F.coalesce("scale", F.lit(1.0)))
+        spread = _spread(state, size, *NAMES, "h")
+        state = saved(spread.groupBy("graph", "block").cogroup(dealt.groupBy("graph", "block")).applyInPandas(step(layer), _schema(nodes)), instead=state)
+    return _leave(state, weights)
+
+
+def predict_pairs(nodes: DataFrame, linked: Callable, attributes: Callable, weights: Weights, pairs: int = PAIRS, most: int = EDGES) -> DataFrame:
+    """As `predict` for nodes (graph, name, x, mask, id) whose edges follow from the ids of a graph's nodes: no edge is a row.
+
+    linked(i, j) is true where the source i has an edge to the target j, attributes(i, j) gives a row for each such edge;
+    both get arrays.  A null graph has no edges.  A graph's targets are dealt out so that a group looks at about `pairs`
+    pairs, for some targets at a time, of about `most` pairs: a task holds a graph's nodes and so many edges.
+    """
+    def step(layer):
+        def run(key, left: pd.DataFrame) -> pd.DataFrame:
+            left = left.sort_values(["name", "no"], ignore_index=True)
+            place, ids = _places(left, left.name), left.id.to_numpy()
+            h = np.array(left.h.tolist(), dtype=float).reshape(len(left), layer[0].shape[0])
+            own = np.flatnonzero(left.own.to_numpy(bool))
+            to = place[own]
+            part = np.searchsorted(to, to) // max(1, most // max(1, len(left)))  # nodes with one name are in one part
+            new = [np.zeros((0, h.shape[1]))]
+            for rows in np.split(own, np.flatnonzero(part[1:] != part[:-1]) + 1):
+                j, i = np.nonzero(linked(ids[None, :], ids[rows, None]) & (not pd.isna(key[0])))
+                values = np.asarray(attributes(ids[i], ids[rows[j]]), dtype=float).reshape(len(i), layer[2].shape[0])
+                new.append(attention(h, np.array([place[i], place[rows[j]]]), values, layer, weights.heads, rows))
+            return left.loc[own, [*NAMES, "id"]].assign(h=list(elu(np.concatenate(new)) + h[own]))
+
+        return run
+
+    size = saved(nodes.groupBy("graph").agg(F.ceil(F.count("*") * F.count("*") / pairs).cast("int").alias("n")))
+    state = saved(_enter(nodes, weights, ("id",)))
+    for layer in weights.layers:
+        spread = _spread(state, size, *NAMES, "h", "id")
+        state = saved(spread.groupBy("graph", "block").applyInPandas(step(layer), f"{_schema(nodes)}, id {nodes.schema['id'].dataType.simpleString()}"), instead=state)
+    return _leave(state, weights)
 
 
 # ---------------------------------------------------------------- losses and scores

@@ -171,3 +171,24 @@ def test_broken_circuits_raise():
         circuit(["Y q VSS n", "Y q VDD p", "q Y VSS n", "q Y VDD p"], "Y").depth()
     with pytest.raises(ValueError, match="neither"):
         circuit(["Y A VSS n", "Y A VDD p"], "A B Y")
+
+
+def test_edges_that_follow_from_the_nodes(spark, monkeypatch):
+    """No edge is a row, a call meets few edges, and the result is that of the edges written out; two nodes share a name, one graph is null."""
+    rng = random.Random(9)
+    w = model.Weights.seeded(3, 2, hidden=8, heads=2, layers=2, two_head=True, seed=5)
+    rows = [(g, f"n{i if i != 7 else 6}", [rng.uniform(-1, 1) for _ in range(3)], i % 2 == 0, i) for g in (1, 2, None) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "graph int, name string, x array<double>, mask boolean, id long").coalesce(1)
+    edges = [(g, f"n{i if i != 7 else 6}", f"n{j if j != 7 else 6}", [i % 2 * 1.0, j % 5 / 5.0]) for g in (1, 2) for i in range(40) for j in range(40) if i != j and (i + j) % 3 == 0]
+    want = model.predict(nodes.drop("id"), spark.createDataFrame(edges, "graph int, src string, dst string, attributes array<double>"), w)
+
+    def few(h, edges, *rest, attention=model.attention):
+        if edges.shape[1] > 200:
+            raise ValueError("a whole graph's edges")
+        return attention(h, edges, *rest)
+
+    want = sorted((str(r.graph), r.name, round(r.pred, 9), round(r.scale, 9)) for r in want.collect())
+    monkeypatch.setattr(model, "attention", few)
+    linked = lambda i, j: (i != j) & ((i + j) % 3 == 0)
+    got = model.predict_pairs(nodes, linked, lambda i, j: np.column_stack((i % 2, j % 5 / 5.0)), w, pairs=600, most=200)
+    assert sorted((str(r.graph), r.name, round(r.pred, 9), round(r.scale, 9)) for r in got.collect()) == want
