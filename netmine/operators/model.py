@@ -126,22 +126,24 @@ def attention(h: np.ndarray, edges: np.ndarray, attributes: np.ndarray, layer, h
         return np.zeros((0, hidden))
     src, at = edges[0], np.searchsorted(targets, edges[1])
     count = np.bincount(at, minlength=n)
-    own = np.column_stack([np.zeros((n, 0)), *(np.bincount(at, c, n) for c in attributes.T)]) / np.maximum(count, 1)[:, None]
+    own = np.array([np.bincount(at, c, n) for c in attributes.T]).reshape(-1, n) / np.maximum(count, 1)
     at = np.append(at, np.arange(n))
     order = np.argsort(at, kind="stable")  # a target's edges are together
     src, at = np.append(src, targets)[order], at[order]
     first = np.cumsum(count + 1) - count - 1
-    sent = (h @ w_source)[src]
-    z = np.concatenate([attributes, own])[order] @ w_edge
+    sent = (h @ w_source).T.take(src, axis=1)  # an edge is a column, so a target's edges lie in a row
+    z = w_edge.T @ np.concatenate([attributes.T, own], axis=1).take(order, axis=1)
     z += sent
-    z += (h[targets] @ w_target)[at]
-    each = np.zeros((hidden, heads))  # a head's score of its own part
-    each[np.arange(hidden), np.arange(hidden) // (hidden // heads)] = score.ravel()
-    s = np.maximum(z, 0.2 * z) @ each
-    e = np.exp(s - np.maximum.reduceat(s, first)[at])
-    sent = sent.reshape(len(at), heads, -1)
-    out = np.add.reduceat(sent * e[..., None], first) / np.add.reduceat(e, first)[..., None]
-    return out.reshape(n, -1) + bias
+    z += (h[targets] @ w_target).T.take(at, axis=1)
+    each = np.zeros((heads, hidden))  # a head's score of its own part
+    each[np.arange(hidden) // (hidden // heads), np.arange(hidden)] = score.ravel()
+    s = each @ np.maximum(z, 0.2 * z, out=z)
+    s -= np.maximum.reduceat(s, first, axis=1).take(at, axis=1)
+    e = np.exp(s, out=s)
+    sent = sent.reshape(heads, -1, len(at))
+    sent *= e[:, None]
+    out = np.add.reduceat(sent, first, axis=2) / np.add.reduceat(e, first, axis=1)[:, None]
+    return out.reshape(hidden, n).T + bias
 
 
 def forward(x: np.ndarray, edges: np.ndarray, attributes: np.ndarray, mask: np.ndarray, w: Weights) -> tuple[np.ndarray, float | None]:
